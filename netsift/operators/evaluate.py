@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_sum
+from .ordering import neighbours, running_sums
 
 
 def ratio(a: Column, b: Column, undefined: str = "null") -> Column:
@@ -37,13 +37,7 @@ def rates(counts: DataFrame, undefined: str = "null") -> DataFrame:
 def score_steps(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row for each distinct score: positives, negatives, and both summed from the highest score down."""
     by = df.where(F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    d = by.withColumn("_down", -F.col("threshold"))
-    d = running_sum(d, "_down", "pos", "tp").drop("_range")
-    return running_sum(d, "_down", "neg", "fp").drop("_range", "_down")
-
-
-def _totals(steps: DataFrame) -> DataFrame:
-    return steps.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return running_sums(by.withColumn("_down", -F.col("threshold")), "_down", {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -65,21 +59,15 @@ def roc_points(df: DataFrame, y: str, score: str, drop_collinear: bool = False)
     ``drop_collinear`` leaves out interior points on a straight piece of the curve.
     """
     s = score_steps(df, y, score)
-    t = _totals(s)
-    r = s.crossJoin(F.broadcast(t)).select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("p")).alias("tpr"), ratio(F.col("fp"), F.col("n")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
-    if not drop_collinear:
-        return r
-    from .ordering import previous
-
-    up = previous(r.withColumn("_down", -F.col("threshold")), "_down", "tp", "_tp")
-    up = previous(up, "_down", "fp", "_fp").drop("_range")
-    up = previous(up.withColumn("_up", F.col("threshold")), "_up", "tp", "_tp2").drop("_range")
-    up = previous(up, "_up", "fp", "_fp2").drop("_range")
-    # the curve begins at (0, 0), above the highest score
-    a, b = F.col("tp") - F.coalesce("_tp", F.lit(0)), F.col("fp") - F.coalesce("_fp", F.lit(0))
-    c, d = F.col("_tp2") - F.col("tp"), F.col("_fp2") - F.col("fp")
-    bent = F.col("_tp2").isNull() | (a != c) | (b != d)
-    return up.where(bent).select(*r.columns)
+    t = df.where(F.col(y).isNotNull()).agg(F.sum(F.col(y).cast("long")).alias("p"), F.sum((1 - F.col(y)).cast("long")).alias("n"))
+    if drop_collinear:
+        s = neighbours(s, "_down", before={"_tp1": "tp", "_fp1": "fp"}, after={"_tp2": "tp", "_fp2": "fp"})
+        # the curve begins at (0, 0), above the highest score
+        a, b = F.col("tp") - F.coalesce("_tp1", F.lit(0)), F.col("fp") - F.coalesce("_fp1", F.lit(0))
+        c, d = F.col("_tp2") - F.col("tp"), F.col("_fp2") - F.col("fp")
+        s = s.where(F.col("_tp2").isNull() | (a != c) | (b != d))
+    s = s.crossJoin(F.broadcast(t))  # one row
+    return s.select("threshold", "tp", "fp", ratio(F.col("tp"), F.col("p")).alias("tpr"), ratio(F.col("fp"), F.col("n")).alias("fpr"), ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def threshold_at_fpr(points: DataFrame, budgets: list[float]) -> DataFrame:
@@ -87,11 +75,11 @@ def threshold_at_fpr(points: DataFrame, budgets: list[float]) -> DataFrame:
 
     Only the point above all scores fits: threshold = highest score + 1, recall 0.
     """
-    b = points.sparkSession.createDataFrame([(x,) for x in budgets], "budget double")
-    top = points.agg((F.max("threshold") + 1).alias("above"))
-    ok = points.crossJoin(F.broadcast(b)).where("fpr <= budget")
-    best = ok.groupBy("budget").agg(F.max_by(F.struct("threshold", "tpr", "fpr"), F.struct("tpr", "threshold")).alias("x"))
-    d = b.join(best, "budget", "left").crossJoin(F.broadcast(top))
+    point, best = F.struct("threshold", "tpr", "fpr"), F.struct("tpr", "threshold")
+    one = [F.max_by(F.when(F.col("fpr") <= x, point), F.when(F.col("fpr") <= x, best)).alias(f"x{i}") for i, x in enumerate(budgets)]
+    a = points.agg((F.max("threshold") + 1).alias("above"), *one)
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("budget"), F.col(f"x{i}").alias("x")) for i, x in enumerate(budgets)])).alias("b")
+    d = a.select("above", each).select("above", "b.budget", "b.x")
     return d.select("budget", F.coalesce("x.threshold", "above").alias("threshold"), F.coalesce("x.tpr", F.lit(0.0)).alias("recall"), F.coalesce("x.fpr", F.lit(0.0)).alias("fpr"), F.col("x").isNotNull().alias("satisfiable"))
 
 

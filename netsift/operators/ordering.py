@@ -24,26 +24,47 @@ def _inside(pos: str) -> Window:
     return Window.partitionBy("_range").orderBy(pos)
 
 
-def previous(df: DataFrame, pos: str, value: str, out: str) -> DataFrame:
-    """The value of the row before in position order, across ranges."""
+def neighbours(df: DataFrame, pos: str, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
+    """Columns of the row before and of the row after in position order, across ranges.
+
+    ``before`` and ``after`` name the new columns and the columns that they hold. ``_range`` stays.
+    """
+    before, after = before or {}, after or {}
     d = df if "_range" in df.columns else ranged(df, pos)
-    last = d.groupBy("_range").agg(F.max_by(value, pos).alias("_v"))
-    carry = last.select("_range", F.lag("_v").over(Window.orderBy("_range")).alias("_carry"))
-    first = F.row_number().over(_inside(pos)) == 1
+    ends = d.groupBy("_range").agg(*[F.max_by(c, pos).alias(f"_p_{o}") for o, c in before.items()], *[F.min_by(c, pos).alias(f"_n_{o}") for o, c in after.items()])
+    w = Window.orderBy("_range")
+    carry = ends.select("_range", *[F.lag(f"_p_{o}").over(w).alias(f"_p_{o}") for o in before], *[F.lead(f"_n_{o}").over(w).alias(f"_n_{o}") for o in after])
     d = d.join(F.broadcast(carry), "_range")  # at most RANGES rows
-    return d.withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(_inside(pos)))).drop("_carry")
+    inside = _inside(pos)
+    first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
+    for o, c in before.items():
+        d = d.withColumn(o, F.when(first, F.col(f"_p_{o}")).otherwise(F.lag(c).over(inside)))
+    for o, c in after.items():
+        d = d.withColumn(o, F.when(last, F.col(f"_n_{o}")).otherwise(F.lead(c).over(inside)))
+    return d.drop(*[f"_p_{o}" for o in before], *[f"_n_{o}" for o in after])
 
 
-def running_sum(df: DataFrame, pos: str, value: str | Column, out: str, inclusive: bool = True) -> DataFrame:
-    """Sum of ``value`` over all rows up to this one in position order, across ranges."""
+def previous(df: DataFrame, pos: str, value: str, out: str) -> DataFrame:
+    """The value of the row before in position order, across ranges."""
+    return neighbours(df, pos, before={out: value})
+
+
+def running_sums(df: DataFrame, pos: str, values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """For each name the sum of its column over all rows up to this one in position order, across ranges."""
     d = df if "_range" in df.columns else ranged(df, pos)
-    d = d.withColumn("_n", F.col(value) if isinstance(value, str) else value)
-    sums = d.groupBy("_range").agg(F.sum("_n").alias("_s"))
+    d = d.withColumns({f"_n_{o}": c for o, c in values.items()})
+    sums = d.groupBy("_range").agg(*[F.sum(f"_n_{o}").alias(f"_s_{o}") for o in values])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_carry"))
+    carry = sums.select("_range", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in values])
     d = d.join(F.broadcast(carry), "_range")
-    here = F.sum("_n").over(_inside(pos).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_carry")
-    return d.withColumn(out, here if inclusive else here - F.col("_n")).drop("_carry", "_n")
+    for o in values:
+        here = F.sum(f"_n_{o}").over(_inside(pos).rowsBetween(Window.unboundedPreceding, 0)) + F.col(f"_c_{o}")
+        d = d.withColumn(o, here if inclusive else here - F.col(f"_n_{o}"))
+    return d.drop(*[f"{x}{o}" for o in values for x in ("_n_", "_c_")])
+
+
+def running_sum(df: DataFrame, pos: str, value: str | Column, out: str, inclusive: bool = True) -> DataFrame:
+    return running_sums(df, pos, {out: F.col(value) if isinstance(value, str) else value}, inclusive)
 
 
 def position(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
