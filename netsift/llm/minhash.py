@@ -6,8 +6,9 @@ coordinates make candidates: a pair of similarity 0.75 shares a band with probab
 
 Texts with equal shingle sets fall into one class first (a fingerprint of 128 bits of the sorted
 set), so a group of copies costs one row. Within a bucket every class is compared with a centre, not
-with all others; pairs of classes that are still in different components are compared in blocks
-afterwards, so no link between different texts is left out. Links are confirmed on full sets.
+with all others; pairs of classes that are still in different components are compared afterwards,
+block by block inside tasks that give back only a spanning forest of the links found, so no link
+between different texts is left out and no list of pairs is made. Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from .components import components
 from .shingles import mix, shingle_hashes
 
 BANDS, ROWS = 32, 4
-BLOCK = 2048  # classes of one bucket compared in one task
+BLOCK = 2048  # classes of one bucket compared in one task, at most
+BLOCK_SHINGLES = 1 << 21  # and about so many shingles
 #: A pair of similarity 0.75 agrees on fewer than this share of 128 coordinates with probability 1e-8.
 LEAST_AGREEMENT = 0.53
 _CHUNK = 1 << 15
@@ -89,37 +91,50 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            rep = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(rep)], names=["key", "rep"])
+            rep, size = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), BANDS) for c in ("rep", "n_shingles"))
+            yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(rep), pa.array(size)], names=["key", "rep", "size"])
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether 100 * intersection >= 75 * union holds for two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < 75 * len(large) or not len(small):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= 75 * (len(x) + len(y) - common)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         left, right = _sets(b.column("text_a")), _sets(b.column("text_b"))
-        ok = []
-        for x, y in zip(left, right):
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            if 100 * len(small) < 75 * len(large) or not len(small):
-                ok.append(False)
-                continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[at] == small).sum())
-            ok.append(100 * common >= 75 * (len(x) + len(y) - common))
+        ok = [linked(x, y) for x, y in zip(left, right)]
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _alike(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket's blocks, of different components, whose signatures agree enough."""
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(len(rows), -1)
-    rep, comp, block = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows["block"].to_numpy()
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between components inside one pair of a bucket's blocks, as many as join them."""
+    sets = _sets(pa.array(rows["text"]))
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig = signatures(np.concatenate(sets), off)
+    keys, key = band_keys(sig), int(rows["key"].iloc[0])
+    rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+    comp = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
     mine, other = int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
     left, right = np.flatnonzero(block == mine), np.flatnonzero(block == other)
     found = []
     for i in left:
-        to = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) if mine == other else True)]
+        to = right[comp[right] != comp[i]]
+        to = to[to > i] if mine == other else to
         if len(to):
+            same = keys[to] == keys[i]
+            # a pair is looked at in the first band that it shares
+            to = to[keys[i][same.argmax(1)] == key]
             to = to[(sig[to] == sig[i]).mean(1) >= LEAST_AGREEMENT]
-            found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in to]
+        for j in to:
+            if comp[i] != comp[j] and linked(sets[i], sets[j]):
+                found.append((rep[i], rep[j]))
+                comp[comp == comp[j]] = comp[i]
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
@@ -149,35 +164,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(some.groupBy("print").agg(F.min("doc_id").alias("rep")), "classes")
     reps = written(
-        some.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"]).select(F.col("doc_id").alias("rep"), "print", "sig").dropDuplicates(["rep", "print"]),
+        some.join(classes.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"]).select(F.col("doc_id").alias("rep"), "print", "sig", "n_shingles").dropDuplicates(["rep", "print"]),
         "reps",
     )
-    rows = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long").distinct()
+    rows = reps.select("rep", "sig", "n_shingles").mapInArrow(_keys, "key long, rep long, size long").groupBy("key", "rep").agg(F.max("size").alias("size"))
     centres = rows.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(rows.join(centres, "key"), "buckets")
     members = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = written(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(verified(pairs.distinct(), texts), "links")
-
-    links = confirmed(buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")))
-    # buckets that hold several components: another centre first (a bucket of two was settled above), then whatever is left, in blocks
-    for last in (False, True):
-        placed = _with_component(buckets.where("n > 2"), links)
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep", F.col("key") % 4)).alias("second")).where("c1 <> c2")
-        left = written(placed.join(open_keys.select("key", "m", "second"), "key"), "open")
-        if left.isEmpty():
-            break
-        if not last:
-            again = left.where("rep <> second").select(F.least("rep", "second").alias("a"), F.greatest("rep", "second").alias("b"))
-        else:
-            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            dealt = left.select("key", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"))
-            other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            dealt = dealt.select("*", other.alias("other")).select("key", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-            again = dealt.join(reps.select("rep", "sig"), "rep").groupBy("key", "lo", "hi").applyInPandas(_alike, "a long, b long")
-        links = written(links.unionByName(confirmed(again)), "links")
+    first = buckets.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    links = written(verified(first, texts), "links")
+    # buckets that still hold several components (one of two classes is settled above)
+    placed = _with_component(buckets.where("n > 2").select("key", "rep", "size"), links)
+    several = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles")).where("c1 <> c2")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    left = written(placed.join(several.select("key", blocks.alias("blocks")), "key"), "open")
+    dealt = left.select("key", "rep", "component", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int").alias("block"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    whole = dealt.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    more = whole.groupBy("key", "lo", "hi").applyInPandas(_forest, "a long, b long")
+    links = links.unionByName(written(more, "more"))
     comp = written(components(links).withColumnRenamed("id", "rep"), "components")
     class_comp = written(classes.join(comp, "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id")), "classes")
     # a doc_id whose rows have several texts is one vertex: its texts' classes hang together
