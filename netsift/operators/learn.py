@@ -128,3 +128,71 @@ def drift_events(df: DataFrame, by: str, order: str, error: str, delta: float =
         return rows.loc[[w.add(float(x)) for x in rows[error]], [by, order]]
 
     return df.select(by, order, error).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}")
+
+
+def _forest(train: DataFrame, features: list[str], y: str, seed: int, trees: int = 10, depth: int = 5):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from .prepare import class_weights
+
+    d = train.join(F.broadcast(class_weights(train, y).select(y, "weight")), y)  # one row for each class
+    x = VectorAssembler(inputCols=features, outputCol="_x")
+    return x, RandomForestClassifier(featuresCol="_x", labelCol=y, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(x.transform(d))
+
+
+def importances(train: DataFrame, features: list[str], y: str, seed: int = 42) -> DataFrame:
+    """(feature, importance) of a balanced forest."""
+    _, model = _forest(train, features, y, seed)
+    return train.sparkSession.createDataFrame([(n, float(i)) for n, i in zip(features, model.featureImportances.toArray())], "feature string, importance double")
+
+
+def seed_sweep(train: DataFrame, test: DataFrame, features: list[str], y: str, seeds: list[int]) -> DataFrame:
+    """Test accuracy of a forest over seeds: n, mean, sample deviation, least and most."""
+    runs = None
+    for s in seeds:
+        x, model = _forest(train, features, y, s)
+        one = model.transform(x.transform(test)).agg(F.avg((F.col("prediction") == F.col(y)).cast("double")).alias("accuracy")).withColumn("seed", F.lit(s))
+        runs = one if runs is None else runs.unionByName(one)
+    return runs.agg(F.count(F.lit(1)).alias("n"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("sd"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most"))
+
+
+def unseen_blocks(df: DataFrame, features: list[str], y: str, block: str, held: list[int], seed: int = 42) -> DataFrame:
+    """Accuracy on a fifth of the known blocks' rows and on the held blocks, by a model that saw neither."""
+    fifth = F.pmod(F.xxhash64(block, *features), F.lit(5)) == 0
+    x, model = _forest(df.where(~F.col(block).isin(held) & ~fifth), features, y, seed)
+    rest = df.where(F.col(block).isin(held) | fifth).withColumn("part", F.when(F.col(block).isin(held), "unseen").otherwise("known"))
+    return model.transform(x.transform(rest)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(y)).cast("double")).alias("accuracy"))
+
+
+def kernel_svm(train: DataFrame, test: DataFrame, features: list[str], y: str, landmarks: int = 100, seed: int = 42) -> DataFrame:
+    """``test`` with ``pred``: RBF features against ``landmarks`` training rows, then a balanced linear SVM.
+
+    The landmarks (a bounded number of rows with the smallest hashes) are the only rows that the driver sees.
+    """
+    import numpy as np
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    from .prepare import class_weights, fitted, gamma_scale, transformed
+
+    p = fitted(train, features)
+    a, b = transformed(train, p, features), transformed(test, p, features)
+    gamma = gamma_scale(a, features).first()["gamma"]
+    z = np.array([[r[f] for f in features] for r in a.select(*features).distinct().orderBy(F.xxhash64(F.lit(seed), *features)).limit(landmarks).collect()])
+    k = np.exp(-gamma * ((z[:, None, :] - z[None, :, :]) ** 2).sum(-1))
+    u, s, _ = np.linalg.svd(k)
+    root = u / np.sqrt(np.maximum(s, 1e-10))
+
+    def mapped(batches):
+        for rows in batches:
+            x = rows[features].to_numpy(float)
+            d = (x**2).sum(1)[:, None] + (z**2).sum(1)[None, :] - 2 * x @ z.T
+            rows["_k"] = list(np.exp(-gamma * np.maximum(d, 0)) @ root)
+            yield rows
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema.fields) + ", _k array<double>"
+    vec = lambda d: d.mapInPandas(mapped, schema).withColumn("_x", array_to_vector("_k")).drop("_k")
+    t = vec(a).join(F.broadcast(class_weights(train, y).select(y, "weight")), y)
+    model = LinearSVC(featuresCol="_x", labelCol=y, weightCol="weight", maxIter=15).fit(t)
+    return model.transform(vec(b)).withColumn("pred", F.col("prediction").cast("int")).drop("_x", "rawPrediction", "prediction")

@@ -232,3 +232,55 @@ def ml_random_forest(v: Views) -> DataFrame:
     d = VectorAssembler(inputCols=names, outputCol="x").transform(train.join(F.broadcast(prepare.class_weights(train, "y").select("y", "weight")), "y"))
     model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=10, maxDepth=5, seed=42).fit(d)
     return v.spark.createDataFrame([(n, float(i)) for n, i in zip(names, model.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"))
+
+
+_FROZEN = """
+va AS (SELECT score AS t, sum(sum(y_true)) OVER w AS tp, sum(sum(1 - y_true)) OVER w AS fp, sum(sum(y_true)) OVER () AS p, sum(sum(1 - y_true)) OVER () AS n FROM predictions WHERE y_true IS NOT NULL AND idx % 2 = 0 GROUP BY score WINDOW w AS (ORDER BY score DESC)),
+th AS (SELECT coalesce((SELECT t FROM va WHERE fp / n <= 0.05::DOUBLE ORDER BY tp DESC, t DESC LIMIT 1), (SELECT max(t) + 1 FROM va)) AS t)"""
+
+
+@query("ml_score_at_frozen", "predictions", "SELECT t AS threshold, count(*) FILTER (WHERE y_true = 1 AND score >= t) AS tp, count(*) FILTER (WHERE y_true = 0 AND score >= t) AS fp, count(*) FILTER (WHERE y_true = 1 AND score < t) AS fn, count(*) FILTER (WHERE y_true = 0 AND score < t) AS tn FROM predictions CROSS JOIN th WHERE y_true IS NOT NULL AND idx % 2 = 1 GROUP BY t", _FROZEN)
+def ml_score_at_frozen(v: Views) -> DataFrame:
+    """The threshold comes from the validation half alone; the test half is scored once."""
+    from netsift.operators import evaluate
+
+    frozen = evaluate.threshold_at_fpr(evaluate.roc_points(v.predictions.where("idx % 2 = 0"), "y_true", "score"), [0.05]).select("threshold")
+    test = v.predictions.where("idx % 2 = 1").crossJoin(F.broadcast(frozen))  # one row
+    return evaluate.confusion(test.withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int")), "y_true", "pred", ["threshold"])
+
+
+@query("ml_seed_sweep")
+def ml_seed_sweep(v: Views) -> DataFrame:
+    """Forests of three seeds by one protocol; mean and spread of the test accuracy."""
+    return learn.seed_sweep(v.vectors.where("block < 1997"), v.vectors.where("block >= 1997"), ["f1", "f2", "f3"], "y", [42, 43, 44])
+
+
+@query("ml_kernel_svm")
+def ml_kernel_svm(v: Views) -> DataFrame:
+    """Nystroem map of an RBF kernel and a linear machine, confusion on later blocks."""
+    from netsift.operators import evaluate
+
+    d = v.vectors.select("block", "y", *[F.col(c).cast("double").alias(c) for c in ("f1", "f2", "f3")])
+    scored = learn.kernel_svm(d.where("block < 1997"), d.where("block >= 1997"), ["f1", "f2", "f3"], "y", landmarks=50)
+    return evaluate.confusion(scored, "y", "pred")
+
+
+@query("ml_unseen_capture")
+def ml_unseen_capture(v: Views) -> DataFrame:
+    """Accuracy of one forest on rows of known blocks and of blocks held out whole."""
+    return learn.unseen_blocks(v.vectors, ["f1", "f2", "f3"], "y", "block", [1997, 1998])
+
+
+@query("agg_feature_importance")
+def agg_feature_importance(v: Views) -> DataFrame:
+    """Importances of one-hot features summed by the column that they come from."""
+    d = prepare.one_hot(v.flows.select("proto", "tot_bytes", "tot_pkts", (F.col("label") == "Malicious").cast("int").alias("y")), v.flows, "proto")
+    names = [c for c in d.columns if c not in ("proto", "y")]
+    imp = learn.importances(d, names, "y")
+    return imp.groupBy(F.regexp_replace("feature", "^proto_.*", "proto").alias("source")).agg(F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("features"))
+
+
+@query("sort_rank_importance")
+def sort_rank_importance(v: Views) -> DataFrame:
+    """The most important features; a top-k report."""
+    return learn.importances(v.vectors, ["f1", "f2", "f3"], "y").orderBy(F.desc("importance"), "feature").limit(15)

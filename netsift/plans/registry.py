@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import entropy, episodes, evaluate, ordering, prepare, streaming, study, windows
+from . import entropy, episodes, evaluate, ordering, prepare, sources, streaming, study, windows
 from .base import ORACLES, QUERIES
 
 ENTRY = QUERIES["pipe_entropy"]
@@ -11,4 +11,4 @@ for _name, _sql in ORACLES.items():
     if _sql.startswith("WITH ") and "UNION ALL SELECT o." in _sql:
         ORACLES[_name] = "WITH RECURSIVE " + _sql[5:]
 
-__all__ = ["ENTRY", "ORACLES", "QUERIES", "entropy", "episodes", "evaluate", "ordering", "prepare", "streaming", "study", "windows"]
+__all__ = ["ENTRY", "ORACLES", "QUERIES", "entropy", "episodes", "evaluate", "ordering", "prepare", "sources", "streaming", "study", "windows"]
