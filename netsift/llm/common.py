@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,14 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def free_tokens() -> None:
+    """Empty the token memory that an earlier task left in this Python worker, if any."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens:
+        for e in tokens._made.values():
+            e.clear()
+
+
 def ascii_words_regex() -> str:
     """A word: a run of anything but space, tab, newline, vertical tab, form feed, return."""
     return r"[^\x20\x09-\x0D]+"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import free_tokens, ship, written
 from .components import components
 from .shingles import mix, shingle_hashes
 
@@ -75,6 +75,7 @@ def _sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_tokens()
     for b in batches:
         sets = _sets(b.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
@@ -106,6 +107,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_tokens()
     for b in batches:
         left, right = _sets(b.column("text_a")), _sets(b.column("text_b"))
         ok = [linked(x, y) for x, y in zip(left, right)]

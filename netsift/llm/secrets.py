@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import free_tokens, ship
 
 # Keywords, formats and kinds in the order of the contract, checksummed prefixes after them.
 KINDS = ("assign", "access", "hex", "checksummed")
@@ -95,6 +95,7 @@ def redact(text: str | None) -> str | None:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_tokens()
     for b in batches:
         n: list[list[int]] = [[], [], []]
         base, spans = [], []
@@ -122,6 +123,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_tokens()
     for b in batches:
         i = b.schema.get_field_index("text")
         yield b.set_column(i, b.schema.field(i), pa.array([redact(t) for t in b.column("text").to_pylist()], b.schema.field(i).type))

@@ -4,7 +4,8 @@ The byte-level pre-tokenizer never joins what stands before a space and what fol
 next character is no white space, so a text may be cut there: each piece (with its leading space)
 has the same ids alone as in its text. A worker keeps the ids of the pieces that it has met and of
 their pre-tokens (words, punctuation), and gives the library only new pre-tokens, many in one call.
-Pieces next to runs of white space stay whole. The memory is emptied at ``MOST_PIECES``.
+Pieces next to runs of white space stay whole. The memory of pieces is emptied
+at ``MOST_PIECES``, that of pre-tokens at ``MOST_WORDS``, both when another operator takes the worker.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import numpy as np
 
 MOST_PIECES = 1_000_000
+MOST_WORDS = 300_000
 #: Pre-tokens given to the library in one string, with a character between them that has a token of its own.
 _GROUP, _BETWEEN = 512, "\0"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -39,26 +41,36 @@ class _Numbered(dict):
 
 
 class _Lists:
-    """Lists of ids, one behind the other."""
+    """Lists of ids, one behind the other; 16 bits an id while they fit."""
 
     def __init__(self) -> None:
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.ends = [np.zeros(0, np.int64)]
-        self.start = self.count = np.zeros(0, np.int64)
+        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint16), 0, 0
+        self.start, self.count = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    @staticmethod
+    def _room(a: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(a):
+            return a
+        out = np.zeros(max(size, len(a) * 3 // 2), a.dtype)
+        out[: len(a)] = a
+        return out
 
     def add(self, flat: np.ndarray, count: np.ndarray) -> None:
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start = np.concatenate([self.start, self.used + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.used += len(flat)
+        if len(flat) and self.ids.dtype == np.uint16 and flat.max() > 0xFFFF:
+            self.ids = self.ids.astype(np.uint32)
+        end, last = self.used + len(flat), self.known + len(count)
+        self.ids = self._room(self.ids, end)
+        self.start, self.count = self._room(self.start, last), self._room(self.count, last)
+        self.ids[self.used : end] = flat
+        self.start[self.known : last] = self.used + np.cumsum(count) - count
+        self.count[self.known : last] = count
+        self.used, self.known = end, last
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(total)], count
+        return self.ids[np.repeat(self.start[at] - (ends - count), count) + np.arange(total)].astype(np.uint32), count
 
 
 class Encoder:
@@ -81,7 +93,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.piece_of, self.pieces = _Numbered(), _Lists()
-        self.odd = np.zeros(0, bool)  # pieces with white space at an end, or empty
+        self.odd = np.zeros(1 << 14, bool)  # pieces with white space at an end, or empty
         self.word_of, self.words = _Numbered(), _Lists()
 
     def _learn_words(self) -> None:
@@ -108,7 +120,11 @@ class Encoder:
     def _learn(self) -> None:
         new, self.piece_of.new = self.piece_of.new, []
         words, number, split = [], [], self.pretokens
-        self.odd = np.concatenate([self.odd, np.array([not p or p[-1].isspace() or (p[0].isspace() and p[0] != _FIRST) for p in new], bool)])
+        first = self.pieces.known
+        self.odd = _Lists._room(self.odd, first + len(new))
+        self.odd[first : first + len(new)] = [not p or p[-1].isspace() or (p[0].isspace() and p[0] != _FIRST) for p in new]
+        if len(self.word_of) > MOST_WORDS:
+            self.word_of, self.words = _Numbered(), _Lists()
         for p in new:
             if p.isalpha():  # all letters: one pre-token
                 words.append(" " + p)
