@@ -98,3 +98,32 @@ def prefix_family(headers: DataFrame, frames: DataFrame, size: int) -> DataFrame
     f = frames.select(F.substring("frame", 1, size).alias("_p"), "family").groupBy("_p").agg(F.count_distinct("family").alias("_n"), F.min("family").alias("_f"))
     h = headers.withColumn("_p", F.substring("header", 1, size)).join(f, "_p", "left")
     return h.withColumn("family", F.when(F.col("_n") == 1, F.col("_f"))).drop("_p", "_n", "_f")
+
+
+def prefix_coverage(headers: DataFrame, frames: DataFrame, lengths: list[int]) -> DataFrame:
+    """How many sampled headers are prefixes of received frames, each frame used once, longest headers first.
+
+    ``lengths`` are the few header lengths; for each, headers and frames meet on the prefix, and a
+    prefix's frames are used up in order by running sums. One row: headers, matched, unmatched.
+    """
+    left = frames.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
+    done = None
+    for size in sorted(set(lengths), reverse=True):
+        h = headers.where(F.length("header") == size).groupBy(F.col("header").alias("_p")).agg(F.count(F.lit(1)).alias("_want"))
+        f = left.withColumn("_p", F.substring("frame", 1, size)).join(h, "_p", "left").withColumn("_want", F.coalesce("_want", F.lit(0)))
+        w = Window.partitionBy("_p").orderBy("frame")
+        before = F.sum("_n").over(w) - F.col("_n")
+        f = f.withColumn("_used", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_want") - before)))
+        got = f.agg(F.coalesce(F.sum("_used"), F.lit(0)).alias("matched")).withColumn("length", F.lit(size))
+        total = h.agg(F.coalesce(F.sum("_want"), F.lit(0)).alias("headers"))
+        one = got.crossJoin(total)  # one row each
+        done = one if done is None else done.unionByName(one)
+        left = f.select("frame", (F.col("_n") - F.col("_used")).alias("_n")).where("_n > 0")
+    return done.select("length", "headers", "matched", (F.col("headers") - F.col("matched")).alias("unmatched"))
+
+
+def truth_recheck(saved: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Windows whose saved label or packet count differs from what their packets say."""
+    again = window_truth(rows, by).select(*by, F.col("label").alias("label_again"), F.col("packets").alias("packets_again"))
+    j = saved.select(*by, "label", "packets").join(again, by, "full")
+    return j.where(~F.col("label").eqNullSafe(F.col("label_again")) | ~F.col("packets").eqNullSafe(F.col("packets_again")))

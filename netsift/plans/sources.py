@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.operators import entropy, ordering
@@ -122,19 +122,74 @@ def sink_prediction_log(v: Views) -> DataFrame:
 
 
 
+def _be(c: Column, n: int) -> Column:
+    """A number as ``n`` bytes, highest first."""
+    return F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
+
+
+def _le(c: Column) -> Column:
+    """A number as four bytes, lowest first."""
+    return F.concat(*[_be(F.pmod(F.shiftright(c.cast("long"), 8 * i), F.lit(256)), 1) for i in range(4)])
+
+
+def _whole(records: DataFrame, head: Column) -> DataFrame:
+    """One file's content for each key and 5,000 packet numbers, so at most 5,000 records: the head, then records in order."""
+    g = records.groupBy("flow_key", F.floor(F.col("packet_id") / 5000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("packet_id", "record"))).alias("r"))
+    return g.select(F.concat_ws("-", F.lit("capture"), F.col("flow_key").cast("string"), F.col("part").cast("string")).alias("path"), F.aggregate("r", head, lambda a, x: F.concat(a, x["record"])).alias("content"))
+
+
 def frames(v: Views) -> DataFrame:
     """Ethernet frames of the packets: IPv4 with TCP (SYN where set) or UDP, a VLAN tag on every third."""
-    be = lambda c, n: F.unhex(F.lpad(F.hex(c.cast("long")), 2 * n, "0"))
-    k = F.col("packet_id")
+    be, k = _be, F.col("packet_id")
     tcp = F.col("protocol") == 6
     mac = F.unhex(F.lit("0" * 24))
     tag = F.when(k % 3 == 0, F.unhex(F.lit("81000005"))).otherwise(F.unhex(F.lit("")))
     ip = F.concat(F.unhex(F.lit("4500")), be(F.lit(40), 2), F.unhex(F.lit("0000")), be(F.when(k % 7 == 0, 5).otherwise(0), 2), F.unhex(F.lit("40")), be(F.col("protocol"), 1), F.unhex(F.lit("0000")), be(F.col("flow_key") + 167772160, 4), be(F.lit(167772161), 4))
     l4 = F.concat(be(F.pmod(k, F.lit(60000)), 2), be(F.lit(443), 2), F.unhex(F.lit("00" * 8)), F.unhex(F.lit("50")), be(F.when(F.col("syn"), 2).otherwise(16), 1), F.unhex(F.lit("00" * 6)))
-    return v.packets.select("packet_id", "epoch_us", "protocol", F.concat(mac, tag, F.unhex(F.lit("0800")), ip, F.when(tcp | (F.col("protocol") == 17), l4).otherwise(F.unhex(F.lit("00")))).alias("frame"))
+    return v.packets.select("packet_id", "flow_key", "epoch_us", "protocol", F.concat(mac, tag, F.unhex(F.lit("0800")), ip, F.when(tcp | (F.col("protocol") == 17), l4).otherwise(F.unhex(F.lit("00")))).alias("frame"))
 
 
 @query("proj_header_decode", "packets", "SELECT packet_id, 2048 AS ethertype, protocol, packet_id % 7 = 0 AS fragment, protocol = 6 AND syn AND packet_id % 7 <> 0 AS syn, CASE WHEN protocol IN (6, 17) AND packet_id % 7 <> 0 THEN packet_id % 60000 END AS src_port FROM packets")
 def proj_header_decode(v: Views) -> DataFrame:
     c = readers.decode_header(F.col("frame"))
     return frames(v).select("packet_id", *[c[n].alias(n) for n in ("ethertype", "protocol", "fragment", "syn", "src_port")])
+
+
+@query("src_pcap_job", "packets", "SELECT 'capture-' || flow_key || '-' || packet_id // 5000 AS path, count(*) AS frames, CAST(sum(epoch_us) AS BIGINT) AS time_sum, 0 AS out_of_order FROM packets GROUP BY 1")
+def src_pcap_job(v: Views) -> DataFrame:
+    """Captures built from the packets, one for each key, decoded again."""
+    n = F.length("frame")
+    us = F.col("epoch_us")
+    record = F.concat(_le(F.floor(us / 1_000_000)), _le(F.pmod(us, F.lit(1_000_000))), _le(n), _le(n), F.col("frame"))
+    head = F.unhex(F.lit("d4c3b2a1" + "0200" + "0400" + "00" * 8 + "ffff0000" + "01000000"))
+    got = readers.pcap_rows(_whole(frames(v).select("flow_key", "packet_id", record.alias("record")), head))
+    late = readers.order_faults(got).groupBy("path").agg(F.count(F.lit(1)).alias("_late"))
+    return got.groupBy("path").agg(F.count(F.lit(1)).alias("frames"), F.sum("epoch_us").alias("time_sum")).join(late, "path", "left").select("path", "frames", "time_sum", F.coalesce("_late", F.lit(0)).alias("out_of_order"))
+
+
+@query("src_datagram_log", "packets", "SELECT 'capture-' || flow_key || '-' || packet_id // 5000 AS path, count(*) AS datagrams, CAST(sum(CASE WHEN packet_id % 11 = 0 THEN 0 ELSE 8 END) AS BIGINT) AS bytes FROM packets GROUP BY 1")
+def src_datagram_log(v: Views) -> DataFrame:
+    """Logs of length-prefixed datagrams (time 2.0, the packet's number as payload, every 11th empty), decoded again."""
+    k = F.col("packet_id")
+    two = F.unhex(F.lit("4000000000000000"))  # 2.0 as a double
+    record = F.when(k % 11 == 0, F.concat(two, _be(F.lit(0), 4))).otherwise(F.concat(two, _be(F.lit(8), 4), _be(k, 8)))
+    got = readers.datagram_rows(_whole(v.packets.select("flow_key", "packet_id", record.alias("record")), F.unhex(F.lit(""))))
+    return got.groupBy("path").agg(F.count(F.lit(1)).alias("datagrams"), F.sum(F.length("payload").cast("long")).alias("bytes"))
+
+
+@query("proj_sflow_explode", "packets", "SELECT packet_id AS datagram, CASE WHEN packet_id % 23 <> 0 THEN '0a000001' END AS agent, CASE WHEN packet_id % 23 <> 0 THEN packet_id END AS sequence, CASE WHEN packet_id % 23 <> 0 THEN 64 END AS rate, CASE WHEN packet_id % 23 <> 0 THEN CAST(length AS BIGINT) END AS frame_length, CASE WHEN packet_id % 23 <> 0 AND protocol IN (1, 6, 17) THEN protocol END AS protocol, packet_id % 23 = 0 AS malformed FROM packets WHERE protocol IN (1, 6, 17)")
+def proj_sflow_explode(v: Views) -> DataFrame:
+    """Datagrams with one sampled header each (expanded form on even packets, every 23rd cut), exploded and decoded."""
+    k, n = F.col("packet_id"), F.length("frame")
+    raw = F.concat(_be(F.lit(1), 4), _be(F.col("length"), 4), _be(F.lit(4), 4), _be(n, 4), F.col("frame"))
+    record = F.concat(_be(F.lit(1), 4), _be(F.length(raw), 4), raw)
+    four = lambda *xs: F.concat(*[_be(x if isinstance(x, Column) else F.lit(x), 4) for x in xs])
+    compact = F.concat(four(1, 1, 64, 640, 2, 1, 2, 1), record)
+    wide = F.concat(four(1, 0, 1, 64, 640, 2, 0, 1, 0, 2, 1), record)
+    sample = F.when(k % 2 == 0, F.concat(four(3), four(F.length(wide)), wide)).otherwise(F.concat(four(1), four(F.length(compact)), compact))
+    data = F.concat(four(5, 1), F.unhex(F.lit("0a000001")), four(0, k, 1000, 1), sample)
+    data = F.when(k % 23 == 0, F.substring(data, F.lit(1), F.length(data) - 9)).otherwise(data)
+    f = frames(v).join(v.packets.select("packet_id", "length"), "packet_id").where(F.col("protocol").isin(1, 6, 17))
+    got = readers.sflow_samples(f.select(k.alias("datagram"), data.alias("payload")))
+    protocol = readers.decode_header(F.col("header"))["protocol"]
+    return got.select("datagram", "agent", "sequence", "rate", "frame_length", protocol.alias("protocol"), F.col("error").isNotNull().alias("malformed"))

@@ -170,3 +170,19 @@ def join_sample_delay(v: Views) -> DataFrame:
 def agg_empty_windows(v: Views) -> DataFrame:
     w = windows.tumbling(v.packets, HOUR // 6).withColumns({"flood": F.col("win") % 3 == 0, "alarm": F.col("win") % 5 == 0})
     return w.groupBy("flood").agg(F.avg("empty_window").alias("empty_share"), F.count_if(F.col("alarm") & (F.col("empty_window") == 1)).alias("alarms_empty"), F.count_if(F.col("alarm") & (F.col("empty_window") == 0)).alias("alarms_filled"))
+
+
+@query("int_truth_recheck", "packets flow_labels", f""", tr AS (SELECT epoch_us // {HOUR} AS win, count(*) AS packets, CASE WHEN count(*) FILTER (WHERE label = 1) > 0 THEN 1 WHEN count(*) FILTER (WHERE label IS NULL) > 0 THEN NULL ELSE 0 END AS label FROM pl GROUP BY 1)
+SELECT win, label, packets + 1 AS packets, label AS label_again, packets AS packets_again FROM tr WHERE win % 19 = 0""", MATCH)
+def int_truth_recheck(v: Views) -> DataFrame:
+    rows = _labelled(v).withColumn("win", F.floor(F.col("epoch_us") / HOUR))
+    saved = labels.window_truth(rows, ["win"]).withColumn("packets", F.col("packets") + F.when(F.col("win") % 19 == 0, 1).otherwise(0))
+    return labels.truth_recheck(saved, rows, ["win"])
+
+
+@query("join_prefix_coverage", "packets", """, h AS (SELECT substr(k, 1, 3) AS p, count(*) AS w FROM (SELECT CAST(length AS VARCHAR) || '-' || protocol AS k FROM packets WHERE packet_id % 4 = 0) GROUP BY 1), f AS (SELECT substr(CAST(length AS VARCHAR) || '-' || protocol, 1, 3) AS p, count(*) AS n FROM packets WHERE packet_id % 2 = 1 GROUP BY 1)
+SELECT 3 AS length, CAST(sum(w) AS BIGINT) AS headers, CAST(sum(least(w, coalesce(n, 0))) AS BIGINT) AS matched, CAST(sum(w - least(w, coalesce(n, 0))) AS BIGINT) AS unmatched FROM h LEFT JOIN f ON f.p = h.p""")
+def join_prefix_coverage(v: Views) -> DataFrame:
+    key = F.concat_ws("-", F.col("length").cast("string"), F.col("protocol").cast("string"))
+    headers = v.packets.where("packet_id % 4 = 0").select(F.substring(key, 1, 3).alias("header"))
+    return labels.prefix_coverage(headers, v.packets.where("packet_id % 2 = 1").select(key.alias("frame")), [3])

@@ -96,9 +96,22 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows[0])), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["path", "number", "epoch_us", "frame"])
 
 
+def pcap_rows(files: DataFrame) -> DataFrame:
+    """(path, number, epoch_us, frame) of whole captures in (path, content)."""
+    return files.select("path", "content").mapInArrow(_captures, "path string, number long, epoch_us long, frame binary")
+
+
 def pcap(spark: SparkSession, path: str) -> DataFrame:
-    """(path, number, epoch_us, frame) of capture files; one file is read by one task."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_captures, "path string, number long, epoch_us long, frame binary")
+    """The frames of capture files; one file is read by one task."""
+    return pcap_rows(spark.read.format("binaryFile").load(path))
+
+
+def order_faults(frames: DataFrame) -> DataFrame:
+    """Frames that are older than the one before them in their capture."""
+    from pyspark.sql import Window
+
+    before = F.lag("epoch_us").over(Window.partitionBy("path").orderBy("number"))
+    return frames.withColumn("_b", before).where("epoch_us < _b").drop("_b")
 
 
 def _datagrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +130,77 @@ def _datagrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path] * len(times)), pa.array(times, pa.float64()), pa.array(loads, pa.binary())], names=["path", "epoch", "payload"])
 
 
+def datagram_rows(files: DataFrame) -> DataFrame:
+    """(path, epoch, payload) of whole length-prefixed logs in (path, content); a cut log raises."""
+    return files.select("path", "content").mapInArrow(_datagrams, "path string, epoch double, payload binary")
+
+
 def datagram_log(spark: SparkSession, path: str) -> DataFrame:
-    """(path, epoch, payload) of length-prefixed datagram logs; a cut file raises."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_datagrams, "path string, epoch double, payload binary")
+    return datagram_rows(spark.read.format("binaryFile").load(path))
+
+
+def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, bytes]]]:
+    """Head and (rate, drops, frame length, header bytes) of an sFlow version 5 datagram."""
+    at = 0
+
+    def take(form: str) -> tuple:
+        nonlocal at
+        out = struct.unpack_from("!" + form, data, at)
+        at += struct.calcsize("!" + form)
+        return out
+
+    version, family = take("II")
+    if version != 5 or family not in (1, 2):
+        raise ValueError("not an sFlow version 5 datagram")
+    agent = data[at : at + (4 if family == 1 else 16)]
+    at += len(agent)
+    _, sequence, uptime, number = take("4I")
+    found = []
+    for _ in range(number):
+        kind, size = take("II")
+        end = at + size
+        if end > len(data):
+            raise ValueError("the datagram is cut")
+        if kind in (1, 3):  # flow sample, compact or expanded
+            if kind == 1:
+                _, _, rate, _, drops, _, _, records = take("8I")
+            else:
+                _, _, _, rate, _, drops, _, _, _, _, records = take("11I")
+            for _ in range(records):
+                form, length = take("II")
+                stop = at + length
+                if stop > end:
+                    raise ValueError("a record is cut")
+                if form == 1:  # raw header
+                    protocol, frame, _, held = take("4I")
+                    if protocol == 1:
+                        if at + held > stop:
+                            raise ValueError("a header is cut")
+                        found.append((rate, drops, frame, data[at : at + held]))
+                at = stop
+        at = end
+    return {"agent": agent.hex(), "sequence": sequence, "uptime": uptime}, found
+
+
+def _explode_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["datagram", "agent", "sequence", "uptime", "rate", "drops", "frame_length", "header", "error"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    for b in batches:
+        rows = []
+        for i, p in zip(b.column("datagram").to_pylist(), b.column("payload").to_pylist()):
+            try:
+                head, found = _samples(p or b"")
+                rows += [(i, head["agent"], head["sequence"], head["uptime"], *f, None) for f in found]
+            except (ValueError, struct.error) as e:
+                rows.append((i, *[None] * 7, str(e)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def sflow_samples(datagrams: DataFrame) -> DataFrame:
+    """One row for each sampled header of (datagram, payload); a malformed datagram is a row with its error."""
+    return datagrams.select(F.col("datagram").cast("long").alias("datagram"), "payload").mapInArrow(
+        _explode_samples, "datagram long, agent string, sequence long, uptime long, rate long, drops long, frame_length long, header binary, error string"
+    )
 
 
 def _number(data: Column, at: Column | int, size: int) -> Column:
