@@ -133,12 +133,13 @@ def eval_consistency_audit(v: Views) -> DataFrame:
 
 
 @query("eval_summary_tables", "predictions", f""", r AS (SELECT run_id, {ZERO} FROM cm), u AS (UNPIVOT r ON precision, recall, f1, fpr INTO NAME metric VALUE value)
-SELECT metric, arg_max(run_id, CASE WHEN metric = 'fpr' THEN -value ELSE value END) AS leader, max(value) AS highest, min(value) AS lowest FROM u GROUP BY metric""", CM)
+SELECT metric, arg_max(run_id, [CASE WHEN metric = 'fpr' THEN -value ELSE value END, -run_id]) AS leader, max(value) AS highest, min(value) AS lowest FROM u GROUP BY metric""", CM)
 def eval_summary_tables(v: Views) -> DataFrame:
+    """Leader of each metric; ties go to the smaller run."""
     r = evaluate.rates(evaluate.confusion(_pred(v), "y_true", "pred", ["run_id"]), "zero")
     u = r.unpivot("run_id", ["precision", "recall", "f1", "fpr"], "metric", "value")
     best = F.when(F.col("metric") == "fpr", -F.col("value")).otherwise(F.col("value"))
-    return u.groupBy("metric").agg(F.max_by("run_id", best).alias("leader"), F.max("value").alias("highest"), F.min("value").alias("lowest"))
+    return u.groupBy("metric").agg(F.max_by("run_id", F.struct(best, -F.col("run_id"))).alias("leader"), F.max("value").alias("highest"), F.min("value").alias("lowest"))
 
 
 @query("agg_duplicates", "vectors", """, q AS (SELECT f1, f2, f3, sum(y) AS p, count(*) AS n FROM vectors GROUP BY ALL)
