@@ -26,7 +26,7 @@ from .vectors import usable
 COSINE = 0.93
 WIDTH = 8  # dimensions of a block
 CELL_ROWS = 4096  # rows aimed at for a cell of the grid
-TILE = 1024  # rows of a cell in one block
+TILE = 4096  # rows of a cell in one block
 
 
 def rotation(dim: int) -> np.ndarray:
