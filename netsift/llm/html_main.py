@@ -343,7 +343,7 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     ship(pages.sparkSession)
     if trees is None:
         chosen = pages.where("html IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-        # at most SAMPLE ids: a bounded broadcast; at most SAMPLE pages reach the driver, each cut at none
+        # at most SAMPLE ids: a bounded broadcast; at most SAMPLE whole pages of under 100,000 characters reach the driver
         got = pages.select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id").where(F.length("html") < 100_000).orderBy("page_id", "html").limit(SAMPLE)
         trees = learn([r["html"] for r in got.toLocalIterator()])
 
