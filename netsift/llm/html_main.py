@@ -52,7 +52,10 @@ _GROUP_OF = {w: i for i, g in enumerate(GROUPS) for w in WORDS[g].split()}
 _TAG_GROUP = {"nav": 0, "menu": 0, "header": 1, "footer": 2, "aside": 3, "dialog": 4, "form": 6, "button": 6, "fieldset": 6, "article": 8, "main": 8}
 _KINDS = ("p", "h1 h2 h3 h4 h5 h6", "li dt dd", "a", "td th tr table tbody", "div section span", "article main", "pre blockquote figure figcaption")
 _KIND_BIT = {t: 1 << i for i, ts in enumerate(_KINDS) for t in ts.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# As in browsers a quote opens a value only after "=" (and here only if it is closed again); nothing is given
+# back, so a tag ends at its ">" or, unfinished, with the page.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)(>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}[^>]*(?:>|\Z)", re.I) for t in RAW}
 
@@ -88,7 +91,7 @@ class Page:
         while m := _TOKEN.search(source, at):
             put(source[at : m.start()])
             at = m.end()
-            if not m[2]:
+            if not m[2] or not m[4]:
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -135,8 +138,9 @@ class Page:
                 end = _RAW_END[tag].search(source, at)
                 at = end.end() if end else len(source)
                 pop(len(stack) - 1)
-        if "<" not in source[at:]:
-            put(source[at:])
+        # "</" without a letter is text, unless the page ends inside of it
+        cut = source.find("</", max(at, source.rfind(">") + 1))
+        put(source[at:] if cut < 0 else source[at:cut])
 
     def columns(self) -> tuple[list, ...]:
         """For each node: parent, size, linked size, tags, points, paragraphs, depth, place, text before, inside a link."""

@@ -331,3 +331,23 @@ def test_main_text_of_pages(spark):
     got = html_main.main_text(rows, trees).collect()
     assert len(got) == len(odd) and all(r.n_chars == len(r.text) for r in got)
     assert html_main.main_text(rows.where("false")).collect() == []
+
+
+def runs(source):
+    """The text runs of a page, as they are put out if every node is kept."""
+    p = html_main.Page(source)
+    return p.join([True] * len(p.tag))
+
+
+def test_main_text_keeps_the_tail_and_what_follows_stray_quotes():
+    assert runs("<article><p>a long paragraph <a hre") == "a long paragraph"
+    assert runs('<article><p>a long paragraph <a title="<b> > c" hre') == "a long paragraph"
+    assert runs("<p>one</p><p>with p < 0.05") == "one with p < 0.05"
+    assert runs("plain a < b, c <= d <") == "plain a < b, c <= d <"
+    assert [runs(f"<p>text {x}") for x in ("<!doc", "<?php x", "</", "</ x", "</p", "<!-- x")] == ["text"] * 6
+    assert runs("a </ b> c") == "a </ b> c"
+    assert runs('<p title="5" x">one</p><p class="y">two</p><p>three "four" five</p>') == 'one two three "four" five'
+    assert runs("""<p it's>one</p><p>it's two</p><a href='>'>x</a><i a = ">" b=c'd>y</i><b c=>z</b>""") == "one it's two xyz"
+    assert runs('<p>one <a href="x>two</a> three') == "one two three"
+    for many in ("<a", "</ ", '<a b=">" ', "<a b='", "<a =", "< "):
+        runs(many * 20_000)
