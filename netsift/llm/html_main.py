@@ -29,6 +29,7 @@ SAMPLE = 300
 # Elements by how browsers treat them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math head title textarea select iframe object canvas audio video".split())
+HEAD = frozenset("title meta link base style script noscript template".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup tt u var time data wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -71,6 +72,8 @@ class Page:
 
         def put(raw: str) -> None:
             nonlocal broken
+            if quiet and self.tag[stack[-1]] == "head" and raw.strip():
+                pop(len(stack) - 1)
             if raw and not quiet:
                 t = html_lib.unescape(raw) if "&" in raw else raw
                 self.parent.append(stack[-1])
@@ -103,6 +106,13 @@ class Page:
                         break
                 broken |= tag not in INLINE
                 continue
+            # both tags of head may be left out
+            if tag == "body":
+                k = next((k for k in range(1, len(stack)) if self.tag[stack[k]] == "head"), 0)
+                if k:
+                    pop(k)
+            elif tag not in HEAD and self.tag[stack[-1]] == "head":
+                pop(len(stack) - 1)
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == "p":
@@ -119,8 +129,6 @@ class Page:
             broken |= tag not in INLINE
             if tag in VOID:
                 continue
-            if tag == "body" and len(stack) > 1 and self.tag[stack[-1]] == "head":
-                pop(len(stack) - 1)
             words = {w for a in _ATTR.findall(m[3]) for w in re.split(r"[\s_\"'-]+", a.lower())} if "=" in m[3] else ()
             g = {_GROUP_OF[w] for w in words if w in _GROUP_OF}
             if tag in _TAG_GROUP:

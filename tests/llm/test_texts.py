@@ -351,3 +351,15 @@ def test_main_text_keeps_the_tail_and_what_follows_stray_quotes():
     assert runs('<p>one <a href="x>two</a> three') == "one two three"
     for many in ("<a", "</ ", '<a b=">" ', "<a b='", "<a =", "< "):
         runs(many * 20_000)
+
+
+def test_main_text_of_pages_that_leave_out_the_tags_of_head():
+    silent = "<meta charset=x><link rel=y><base href=z><style>a</style><script>b</script><noscript>c</noscript><template><div>d</div></template>\n"
+    for start in ("<article>", "<body><article>", "</head><body><article>", "</head><article>", "<img><article>"):
+        p = html_main.Page(f"<html><head><title>T</title>{silent}{start}<p>one<p>two</article>")
+        assert p.join([True] * len(p.tag)) == "one two"
+        assert any(html_main.semantic_labels(p))
+    assert runs("<html><head><title>T</title>plain <b>text</b>") == "plain text"
+    assert runs("<head><template><div><body><p>one") == "one"
+    assert runs("<head><foo><body><p>one") == "one"
+    assert runs("<head><title>T</title></head>\n<body>one") == "one"
