@@ -3,7 +3,7 @@
 Documents are dealt to groups by a hash of their id, about ``GROUP`` to a group, and each group is
 packed for itself: a group costs at most one sequence more than packing all together would, one in
 thousands. Inside a group bins are made around the largest document left: fillings of its rest are
-listed, those that another holds (dominated) fall away, and the search goes down the fullest first.
+listed lazily, those that another holds (dominated) fall away, and the search goes down the fullest first.
 A branch ends when its waste exceeds what a better solution could have; best-fit decreasing gives the
 first incumbent and the search stops at the lower bound or after ``NODES`` steps.
 """
@@ -11,6 +11,7 @@ first incumbent and the search stops at the lower bound or after ``NODES`` steps
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from .tokens import encoder, with_end
 CAPACITY = 2048
 GROUP = 8192
 NODES = 20_000  # steps of the search in a group; the incumbent stands when they are used up
-_FILLINGS = 4
+DEAD_ENDS = 16  # ends of the listing without a filling that count as one step
+_COMPARED = 64  # fillings of a bin that later ones are compared with
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -65,89 +67,124 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(count: np.ndarray, rest: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``rest``, fullest first, fewer and larger documents before more.
-
-    For each first document the others are the largest that still fit, so every filling is maximal:
-    nothing left would fit beside it. One that is no fuller than a filling of fewer documents is dropped.
+def _totals(count: list[int], large: int) -> tuple[list[int], list[int]]:
+    """Sizes there are, ascending, and for each of them the totals of it and smaller ones as bits."""
+    values = [s for s in range(1, large + 1) if count[s]]
+    out, bits, mask = [], 1, (2 << (len(count) - 1)) - 1
+    for s in values:
+        left, k = min(count[s], len(count) // s), 1
+        while left:
+            k = min(k, left)
+            bits |= bits << k * s & mask
+            left, k = left - k, 2 * k
+        out.append(bits)
+    return values, out
+
+
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether best fit puts all of ``b`` inside single documents of ``a`` (both descending)."""
+    rooms = sorted(a)
+    for s in b:
+        i = bisect_left(rooms, s)
+        if i == len(rooms):
+            return False
+        insort(rooms, rooms.pop(i) - s)
+    return True
+
+
+def _fillings(count: list[int], large: int, rest: int, room: int, reach: tuple[list[int], list[int]], step: list[int], nodes: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``rest`` beside ``large`` that waste at most ``room``, fullest first.
+
+    Of one total, larger documents come before smaller, so what dominates a filling comes before it.
+    ``reach`` (of this or a larger table) spares totals that can't be made. A filling is a step, as
+    are ``DEAD_ENDS`` dead ends. ``count`` must be the same whenever the next one is asked for.
     """
-    here = np.flatnonzero(count[: rest + 1])
-    if not len(here):
-        return [()]
-    below = np.zeros(rest + 1, np.int64)
-    below[here] = here
-    np.maximum.accumulate(below, out=below)
-    first = here[::-1]
-    room = rest - first
-    second = below[np.minimum(room, first)]
-    second = np.where((second == first) & (count[first] < 2), below[np.maximum(np.minimum(room, first) - 1, 0)], second)
-    order = np.argsort(-(first + second), kind="stable")[: 4 * _FILLINGS]
-    found = {}
-    for i in order:
-        fill, used = [int(first[i])], {int(first[i]): 1}
-        left, top = int(room[i]), int(second[i])
-        while top > 0 and left >= top:
-            if used.get(top, 0) < count[top]:
-                fill.append(top)
-                used[top] = used.get(top, 0) + 1
-                left -= top
-                top = int(below[min(left, top)]) if left else 0
-            else:
-                top = int(below[top - 1])
-        total = rest - left
-        if total not in found or len(fill) < len(found[total]):
-            found[total] = tuple(fill)
-    single = (int(first[0]),)
-    found[single[0]] = single
-    out, least = [], len(count) + 1
-    for total in sorted(found, reverse=True):
-        if len(found[total]) < least:
-            out.append(found[total])
-            least = len(found[total])
-    return out[:_FILLINGS]
+    values, bits = reach
+    taken, kept = {large: 1}, []
+    top = bisect_right(values, rest) - 1
+    totals = bits[top] & ((2 << rest) - 1) if top >= 0 else 1
+    while totals:
+        total = totals.bit_length() - 1
+        if rest - total > room:
+            return
+        totals ^= 1 << total
+        path, need, j = [], total, top
+        while True:
+            if need:
+                j = min(j, bisect_right(values, need) - 1)
+                while j >= 0 and bits[j] >> need & 1:
+                    s = values[j]
+                    if taken.get(s, 0) < count[s] and bits[j] >> (need - s) & 1:
+                        break
+                    j -= 1
+                else:
+                    j = -1
+                if j >= 0:
+                    path.append(j)
+                    taken[s] = taken.get(s, 0) + 1
+                    need -= s
+                    continue
+            step[0] += 1 if need else DEAD_ENDS
+            if step[0] > nodes * DEAD_ENDS:
+                return
+            if not need:
+                fill = tuple(values[i] for i in path)
+                # one more document that fits beside it makes a filling that holds it
+                more = any(taken.get(s, 0) < count[s] for s in values[: bisect_right(values, rest - total)])
+                if not more and not any(_dominates(k, fill) for k in kept):
+                    if len(kept) < _COMPARED:
+                        kept.append(fill)
+                    yield fill
+            if not path:
+                break
+            j = path.pop()
+            taken[values[j]] -= 1
+            need += values[j]
+            j -= 1
 
 
 def complete_bins(sizes: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
-    """Bins (lists of sizes), as few as the search finds; sizes are 1 to ``capacity``."""
+    """Bins (lists of sizes), as few as the search finds; sizes are 1 to ``capacity``.
+
+    They are as few as possible unless the search takes more than ``nodes`` steps.
+    """
     best = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(best) <= bound:
         return best
-    count, total = np.bincount(sizes, minlength=capacity + 1), int(sizes.sum())
-    bins, waste, left, step = [], 0, len(sizes), 0
+    count, total = np.bincount(sizes, minlength=capacity + 1).tolist(), int(sizes.sum())
+    bins, waste, left, step = [], 0, len(sizes), [0]
     choices: list = []
     while True:
-        if left and len(choices) == len(bins):
-            large = int(np.flatnonzero(count)[-1])
-            count[large] -= 1
-            choices.append([large, _fillings(count, capacity - large)])
-            count[large] += 1
-        large, options = choices[-1] if choices else (0, [])
         spare = (len(best) - 1) * capacity - total  # what a better solution may waste
-        if options and step < nodes:
-            step += 1
-            fill = options.pop(0)
-            w = capacity - large - sum(fill)
-            if waste + w > spare:
-                options.clear()  # the others are emptier still
-                continue
+        if left and len(choices) == len(bins):
+            large, reach, then = choices[-1][:3] if choices else (capacity, None, 0)
+            while not count[large]:
+                large -= 1
+            if not reach or 2 * left <= then > 256:  # else the totals of a larger table still hold
+                reach, then = _totals(count, large), left
+            choices.append((large, reach, then, _fillings(count, large, capacity - large, spare - waste, reach, step, nodes)))
+        large, options = choices[-1][0], choices[-1][3]
+        fill = next(options, None)
+        if fill is not None and waste + capacity - large - sum(fill) <= spare:
             bins.append([large, *fill])
-            waste += w
+            waste += capacity - sum(bins[-1])
             left -= len(bins[-1])
-            np.subtract.at(count, bins[-1], 1)
-            if not left:
-                if len(bins) < len(best):
-                    best = [list(b) for b in bins]
-                if len(best) <= bound:
-                    return best
-            else:
+            for s in bins[-1]:
+                count[s] -= 1
+            if left:
                 continue
+            if len(bins) < len(best):
+                best = [list(b) for b in bins]
+            if len(best) <= bound:
+                return best
         else:
-            choices.pop()
-        if not bins or step >= nodes:
+            choices.pop()  # the others are emptier still
+        if not bins or step[0] >= nodes * DEAD_ENDS:
             return best
         back = bins.pop()
-        np.add.at(count, back, 1)
+        for s in back:
+            count[s] += 1
         left += len(back)
         waste -= capacity - sum(back)
 

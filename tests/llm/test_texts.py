@@ -363,3 +363,15 @@ def test_main_text_of_pages_that_leave_out_the_tags_of_head():
     assert runs("<head><template><div><body><p>one") == "one"
     assert runs("<head><foo><body><p>one") == "one"
     assert runs("<head><title>T</title></head>\n<body>one") == "one"
+
+
+def test_bin_completion_lists_all_fillings():
+    got = packing.complete_bins(np.array([1028, 1028, 459, 459, 306, 306, 255, 255]))
+    assert sorted(map(sorted, got)) == [[255, 306, 459, 1028]] * 2
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        s = r.integers(1, r.integers(5, 41), r.integers(1, 11))
+        got = packing.complete_bins(s, 40)
+        assert sorted(x for b in got for x in b) == sorted(s.tolist()) and max(map(sum, got)) <= 40
+        assert len(got) == fewest(s.tolist(), 40)
+    assert sum(map(len, packing.complete_bins(np.repeat(np.arange(640, 760), 9), nodes=50))) == 1080
