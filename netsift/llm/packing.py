@@ -1,8 +1,7 @@
 """Best-fit packing by bin completion with branch and bound.
 
 Documents are dealt to groups by a hash of their id, about ``GROUP`` to a group, and each group is
-packed for itself: a group costs at most one sequence more than packing all together would, one in
-thousands. Inside a group bins are made around the largest document left: fillings of its rest are
+packed for itself; what that costs depends on how lengths fall to groups (README has figures). Inside a group bins are made around the largest document left: fillings of its rest are
 listed lazily, those that another holds (dominated) fall away, and the search goes down the fullest first.
 A branch ends when its waste exceeds what a better solution could have; best-fit decreasing gives the
 first incumbent and the search stops at the lower bound or after ``NODES`` steps.
