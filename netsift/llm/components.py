@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star steps on an edge table.
 
-Every step is a join and an aggregate; the driver only asks whether any vertex is left to move.
+Every step is a join (vertices with very many edges are broadcast) and an aggregate; the driver only asks whether any vertex is left to move.
 """
 
 from __future__ import annotations
@@ -8,18 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One step over (u, v), u > v. Small: neighbours below u; large: neighbours above u."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
     if small:
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = joined(edges, least, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         out = moved.unionByName(least.select("u", F.col("m").alias("v")))
     else:
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = joined(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

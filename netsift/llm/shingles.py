@@ -19,17 +19,19 @@ BASE_INV = pow(BASE, -1, 2**64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 SHINGLE = 5
-_powers: dict[str, np.ndarray] = {}
+#: Bytes hashed at once: what is kept for each byte exists for one block only.
+BLOCK = 1 << 20
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", BASE), ("down", BASE_INV)):
-            a = np.full(size, base, np.uint64)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to BLOCK - 1."""
+    if not _powers:
+        for base in (BASE, BASE_INV):
+            a = np.full(BLOCK, base, np.uint64)
             a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+            _powers.append(np.cumprod(a, dtype=np.uint64))
+    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,10 +70,26 @@ def spans(buf: np.ndarray, off: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A hash of every span (ascending, not overlapping): one block of bytes after the other."""
+    up, down = powers()
+    out, carry = np.zeros(len(starts), np.uint64), np.uint64(0)
+    for lo in range(0, len(buf), BLOCK):
+        part = buf[lo : lo + BLOCK]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.multiply(BYTE_VALUE[part], up[: len(part)], out=total[1:])
+        if lo:
+            total[1:] *= np.uint64(pow(BASE, lo, 2**64))
+        total[0] = carry
+        np.cumsum(total, out=total)
+        i, j = np.searchsorted(starts, (lo, lo + len(part)))
+        out[i:j] -= total[starts[i:j] - lo]
+        i, j = np.searchsorted(ends, (lo + 1, lo + len(part) + 1))
+        out[i:j] += total[ends[i:j] - lo]
+        carry = total[-1]
+    for lo in range(0, len(buf), BLOCK):
+        i, j = np.searchsorted(starts, (lo, lo + BLOCK))
+        out[i:j] *= down[starts[i:j] - lo] * np.uint64(pow(BASE_INV, lo, 2**64))
+    return mix(out)
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
