@@ -95,9 +95,9 @@ _OP4 = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 ok AS (
   SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(e, e) > 0
-), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
-  FROM ok q JOIN ok c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), c AS (SELECT *, row_number() OVER () AS rid FROM ok), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, c.rid, min(sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS score
+  FROM (SELECT DISTINCT vec_id, e FROM ok WHERE vec_id % 100 = 0) q JOIN c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) GROUP BY ALL
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -105,7 +105,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 _OP7 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS h FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CAST(([3, 1, 2])[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap FROM s
@@ -116,15 +116,15 @@ w AS (
   SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap ELSE (arg_min(level, ratio) FILTER (WHERE cap > level * weight) OVER ()) * weight END AS target FROM l
 ), n AS (
   SELECT *, CASE WHEN target >= source_size THEN 1 ELSE 0 END AS base, target - CASE WHEN target >= source_size THEN 1 ELSE 0 END * source_size AS need FROM t
-), g AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h),
-c AS (SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+), g AS (SELECT source, h, sum(size) AS n, count(*) AS m FROM d GROUP BY source, h),
+c AS (SELECT source, h, n, m, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
 e AS (
-  SELECT c.source, min(c.h) AS h, arg_min(c.upto, c.h) AS upto, arg_min(c.upto - c.n, c.h) AS below, any_value(n.need) AS need
+  SELECT c.source, min(c.h) AS h, arg_min(c.n / c.m, c.h) AS one, arg_min(c.upto - c.n, c.h) AS below, any_value(n.need) AS need
   FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE c.upto > n.need GROUP BY c.source
-)
+), k AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS i FROM d)
 SELECT d.doc_id, d.size, n.source_size, n.target,
-  CAST(d.size * (n.base + CASE WHEN e.h IS NULL OR d.h < e.h OR (d.h = e.h AND e.upto - e.need < e.need - e.below) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+  CAST(d.size * (n.base + CASE WHEN e.h IS NULL OR d.h < e.h OR (d.h = e.h AND d.i <= ceil((e.need - e.below) / e.one - 0.5)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
 _OP10 = r"""
