@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
-from .tokens import encoder, with_end
+from .common import by_bytes, ship, written
+from .tokens import ENCODE_BYTES, encoder, with_end
 
 SEGMENT = 1 << 20
 _STEP = 512  # bits for each entry of a rank directory
@@ -47,8 +47,8 @@ def pack(ids: np.ndarray) -> bytes:
 class Codes:
     """Reads a packed code: ``codes[i]`` one id, ``codes.slice(a, b)`` a range."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:4] != b"DAC1":
+    def __init__(self, data: bytes | memoryview) -> None:
+        if bytes(data[:4]) != b"DAC1":
             raise ValueError("not a DAC1 code")
         at, self.levels = 8, []
         for _ in range(struct.unpack_from("<I", data, 4)[0]):
@@ -104,17 +104,15 @@ def _segments(path: str):
                 names=["part", "seq", "docs", "counts", "n_tokens", "dac"],
             )
 
-        for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                c = b.slice(lo, 128)
-                ids, off = with_end(*enc.encode(c.column("text").to_pylist()))
-                docs += c.column("doc_id").to_pylist()
-                counts.append(np.diff(off))
-                held.append(ids)
-                size += len(ids)
-                if size >= SEGMENT:
-                    yield flush()
-                    docs, counts, held, size, seq = [], [], [], 0, seq + 1
+        for c in by_bytes(batches, most=ENCODE_BYTES):
+            ids, off = with_end(*enc.encode(c.column("text").to_pylist()))
+            docs += c.column("doc_id").to_pylist()
+            counts.append(np.diff(off))
+            held.append(ids)
+            size += len(ids)
+            if size >= SEGMENT:
+                yield flush()
+                docs, counts, held, size, seq = [], [], [], 0, seq + 1
         if docs:
             yield flush()
 
@@ -125,25 +123,26 @@ def write_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode every whole text (null: empty), add id 0 behind each, write the segments.
 
     Returns the segments as read back from the shared folder. Order: ascending doc_id, null ids
-    first; rows with one doc_id stand together. An empty table has no segment.
+    first; rows with one doc_id stand together, by a hash of their text. Rows that are alike may lie in
+    several tasks. An empty table has no segment.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "th", "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(rows.mapInArrow(_segments(tokenizer), "part int, seq int, docs array<long>, counts array<long>, n_tokens long, dac binary"), "tokens")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in b.to_pylist():
-            codes = Codes(row["dac"])
-            ends = np.cumsum(row["counts"])
-            starts = ends - np.array(row["counts"])
-            crc = [zlib.crc32(codes.slice(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(starts, ends)]
-            n = len(crc)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(row["docs"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["counts"], pa.int64()), pa.array(crc, pa.int64())],
-                names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
-            )
+        for i in range(b.num_rows):
+            codes = Codes(memoryview(b.column("dac")[i].as_buffer()))
+            docs, counts = (b.column(c)[i].values for c in ("docs", "counts"))
+            size = counts.to_numpy()
+            ends = np.cumsum(size)
+            crc = [zlib.crc32(codes.slice(int(s), int(e)).astype("<u4").tobytes()) for s, e in zip(ends - size, ends)]
+            place = [pa.array(np.full(len(crc), b.column(c)[i].as_py(), np.int32)) for c in ("part", "seq")]
+            yield pa.RecordBatch.from_arrays([*place, docs, pa.array(ends - size), counts, pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:

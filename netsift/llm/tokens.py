@@ -17,6 +17,8 @@ import numpy as np
 
 MOST_PIECES = 1_000_000
 MOST_WORDS = 300_000
+#: Bytes of text given to the encoder in one call; a longer text goes alone.
+ENCODE_BYTES = 1 << 19
 #: Pre-tokens given to the library in one string, with a character between them that has a token of its own.
 _GROUP, _BETWEEN = 512, "\0"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
