@@ -1,10 +1,13 @@
 """Best-fit packing by bin completion with branch and bound.
 
-Documents are dealt to groups by a hash of their id, about ``GROUP`` to a group, and each group is
-packed for itself; what that costs depends on how lengths fall to groups (README has figures). Inside a group bins are made around the largest document left: fillings of its rest are
-listed lazily, those that another holds (dominated) fall away, and the search goes down the fullest first.
-A branch ends when its waste exceeds what a better solution could have; best-fit decreasing gives the
-first incumbent and the search stops at the lower bound or after ``NODES`` steps.
+A piece of 2048 ids fills a sequence alone. The others are dealt to groups by a hash, about ``GROUP`` to
+a group, and each group is packed for itself. Then the sequences that any group left with more than
+``ROOM`` ids of room are taken apart and their pieces packed once more, those of a sequence staying
+together in one group, so what a group lacked another may have; the second packing stands only where it
+needs fewer sequences. Inside a group bins are made around the largest document left: fillings of its
+rest are listed lazily, those that another holds (dominated) fall away, and the search goes down the
+fullest first. A branch ends when its waste exceeds what a better solution could have; best-fit
+decreasing gives the first incumbent and the search stops at the lower bound or after ``NODES`` steps.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
-from .tokens import encoder, with_end
+from .common import by_bytes, ship, written
+from .tokens import ENCODE_BYTES, encoder, with_end
 
 CAPACITY = 2048
 GROUP = 8192
+ROOM = 64
 NODES = 20_000  # steps of the search in a group; the incumbent stands when they are used up
 DEAD_ENDS = 16  # ends of the listing without a filling that count as one step
 _COMPARED = 64  # fillings of a bin that later ones are compared with
@@ -191,26 +195,20 @@ def complete_bins(sizes: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
 def _cut(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                c = b.slice(lo, 128)
-                ids, off = with_end(*enc.encode(c.column("text").to_pylist()))
-                raw = ids.astype("<u4")
-                doc, piece, start, length, crc = [], [], [], [], []
-                for i, d in enumerate(c.column("doc_id").to_pylist()):
-                    n, at, k = int(off[i + 1] - off[i]), 0, 0
-                    while at < n:
-                        size = (n % CAPACITY or CAPACITY) if k == 0 else CAPACITY
-                        doc.append(d)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(raw[off[i] + at : off[i] + at + size].tobytes()))
-                        at, k = at + size, k + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for c in by_bytes(batches, most=ENCODE_BYTES):
+            ids, off = with_end(*enc.encode(c.column("text").to_pylist()))
+            raw, docs = ids.astype("<u4"), np.diff(off)
+            number = -(-docs // CAPACITY)  # pieces of each document
+            doc = np.repeat(np.arange(len(docs)), number)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+            first = (docs - 1) % CAPACITY + 1  # only the first may be shorter
+            length = np.where(piece == 0, first[doc], CAPACITY)
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * CAPACITY)
+            begin = off[doc] + start
+            crc = [zlib.crc32(raw[i : i + n]) for i, n in zip(begin.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [c.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return run
 
@@ -223,29 +221,46 @@ def pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """Places of a group's pieces. Where they have places already, those stand unless fewer sequences do."""
     rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
     sizes = rows["length"].to_numpy()
+    bins = complete_bins(sizes)
+    if rows["sequence_id"].notna().all() and len(bins) >= rows["sequence_id"].nunique():
+        return rows[_COLUMNS]
     last = np.searchsorted(sizes, np.arange(CAPACITY + 2))  # documents of one size are alike
-    seq, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-    for b, filled in enumerate(complete_bins(sizes)):
+    seq, offset, room = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for b, filled in enumerate(bins):
         at = 0
         for s in filled:
             i = last[s]
             last[s] += 1
-            seq[i], offset[i] = b, at
+            seq[i], offset[i], room[i] = b, at, CAPACITY - sum(filled)
             at += s
-    rows["sequence_id"], rows["offset"] = (rows["grp"].to_numpy(np.int64) << 32) + seq, offset
-    return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    rows["sequence_id"], rows["offset"], rows["room"] = (rows["grp"].to_numpy(np.int64) << 32) + seq, offset, room
+    return rows[_COLUMNS]
+
+
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "room"]
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, room long"
 
 
 def packed(docs: DataFrame, tokenizer: str, group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece.
 
     Null text counts as empty and is the end id alone; repeated rows are packed as often as they
-    occur; rows without doc_id are packed too; an empty table gives an empty result.
+    occur; rows without doc_id are packed too; an empty table gives an empty result. Other columns of
+    ``docs`` are ignored.
     """
-    groups = max(1, -(-docs.count() // group))
-    cut = pieces(docs, tokenizer)
-    deal = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int")
-    out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return cut.withColumn("grp", deal).groupBy("grp").applyInPandas(_pack, out)
+    cut = written(pieces(docs, tokenizer), "pieces").withColumn("row", F.monotonically_increasing_id())
+    whole = cut.where(F.col("length") == CAPACITY).withColumns({"sequence_id": F.col("row") + (1 << 61), "offset": F.lit(0).cast("long")})
+    some = cut.where(F.col("length") < CAPACITY)
+    groups = max(1, -(-some.count() // group))
+    no = F.lit(None).cast("long")
+    # the row's number: pieces that are alike are dealt to different groups
+    some = some.withColumns({"grp": F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(groups)), "sequence_id": no, "offset": no, "room": no})
+    once = written(some.groupBy("grp").applyInPandas(_pack, _SCHEMA), "once")
+    loose = once.where(F.col("room") > ROOM)
+    again = max(1, -(-loose.count() // group))
+    twice = loose.withColumn("grp", F.pmod(F.xxhash64("sequence_id"), F.lit(again)) + groups).groupBy("grp").applyInPandas(_pack, _SCHEMA)
+    last = _COLUMNS[:-1]
+    return once.where(F.col("room") <= ROOM).select(*last).unionByName(twice.select(*last)).unionByName(whole.select(*last))
