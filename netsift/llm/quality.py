@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_tokens, ship
+from .common import by_bytes, free_tokens, ship
 from .gbt import Trees, fit
 from .shingles import IS_SPACE, span_hashes, spans, string_bytes
 
@@ -67,7 +67,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     free_tokens()
-    for b in batches:
+    for b in by_bytes(batches):
         x = statistics(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -99,7 +99,7 @@ def scored(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_tokens()
-        for b in batches:
+        for b in by_bytes(batches):
             s = trees.score(statistics(b.column("text")))
             yield (b if keep else b.select(["doc_id"])).append_column("score", pa.array(s, pa.float64()))
 
