@@ -6,7 +6,8 @@ Boosted trees give each node the odds of holding main text. Decoding picks the m
 nodes in which a kept node's ancestors are kept, so an ancestor and a descendant never contradict.
 
 The trees learn from pages laid out by a generator (``layouts``), whose labels are known by
-construction, and from at most ``SAMPLE`` pages of the table itself, labelled by their semantic tags.
+construction and a third of which have class names that say nothing, and from nodes of at most
+``SAMPLE`` pages of the table itself, labelled by their semantic tags.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import by_bytes, ship
 from .gbt import Trees, fit
 
-SAMPLE = 300
+SAMPLE = 300  # pages of the table that are learned from: those with the smallest hashes
+NODES = 100_000  # their labelled nodes that are learned from, at most: those with the smallest hashes
+#: Elements inside one another, at most; deeper ones become siblings, as in browsers.
+DEPTH = 512
+PAGE_BYTES = 1 << 19  # bytes of html parsed at once; a longer page alone
+OPAQUE = 0.35  # share of generated pages whose class names say nothing
 
 # Elements by how browsers treat them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,6 +75,8 @@ class Page:
         #: For each node, whether a block boundary lies before it.
         self.breaks = [True]
         stack, at, broken, quiet = [0], 0, True, 0
+        #: How many elements of each name are open: what is not open need not be looked for.
+        is_open: dict[str, int] = {}
 
         def put(raw: str) -> None:
             nonlocal broken
@@ -88,6 +96,7 @@ class Page:
             nonlocal quiet, broken
             while len(stack) > to:
                 t = self.tag[stack.pop()]
+                is_open[t] -= 1
                 quiet -= t in SILENT
                 broken |= t not in INLINE
 
@@ -98,7 +107,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if is_open.get(tag) else ():
                     if self.tag[stack[k]] == tag:
                         pop(k)
                         break
@@ -107,20 +116,20 @@ class Page:
                 broken |= tag not in INLINE
                 continue
             # both tags of head may be left out
-            if tag == "body":
+            if tag == "body" and is_open.get("head"):
                 k = next((k for k in range(1, len(stack)) if self.tag[stack[k]] == "head"), 0)
                 if k:
                     pop(k)
             elif tag not in HEAD and self.tag[stack[-1]] == "head":
                 pop(len(stack) - 1)
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and is_open.get("p"):
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == "p":
                         pop(k)
                         break
                     if self.tag[stack[k]] not in INLINE:
                         break
-            for k in range(len(stack) - 1, 0, -1) if tag in SAME else ():
+            for k in range(len(stack) - 1, 0, -1) if any(is_open.get(t) for t in SAME.get(tag, ())) else ():
                 if self.tag[stack[k]] in SAME[tag]:
                     pop(k)
                     break
@@ -133,6 +142,8 @@ class Page:
             g = {_GROUP_OF[w] for w in words if w in _GROUP_OF}
             if tag in _TAG_GROUP:
                 g.add(_TAG_GROUP[tag])
+            if len(stack) > DEPTH:
+                pop(DEPTH)
             self.parent.append(stack[-1])
             self.tag.append(tag)
             self.text.append("")
@@ -141,6 +152,7 @@ class Page:
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
             stack.append(len(self.tag) - 1)
+            is_open[tag] = is_open.get(tag, 0) + 1
             quiet += tag in SILENT
             if tag in _RAW_END:
                 end = _RAW_END[tag].search(source, at)
@@ -200,9 +212,24 @@ class Page:
         return features([self])
 
     def decode(self, margin: np.ndarray) -> list[bool]:
-        """Kept nodes: the most likely choice in which every kept node's parent is kept."""
+        """Kept nodes: the most likely choice in which every kept node's parent is kept.
+
+        The text runs of one block stand or fall together, by the mean of their margins weighted by
+        length; inline elements have no say.
+        """
         n = len(self.tag)
         gain = margin.tolist()
+        runs = [i for i in range(1, n) if not self.tag[i]]
+        if runs:
+            at = np.array(runs)
+            block = np.cumsum([self.breaks[i] for i in runs])
+            size = np.array([len(self.text[i]) for i in runs], float)
+            mean = np.bincount(block, margin[at] * size) / np.maximum(np.bincount(block, size), 1)
+            for i, m in zip(runs, mean[block].tolist()):
+                gain[i] = m
+        for i in range(1, n):
+            if self.tag[i] in INLINE:
+                gain[i] = 0.0
         for i in range(n - 1, 0, -1):  # what keeping a node and the best of what is below brings
             if gain[i] > 0:
                 gain[self.parent[i]] += gain[i]
@@ -225,18 +252,20 @@ class Page:
 def features(pages: list[Page]) -> np.ndarray:
     """One row for each node of all pages, computed a column at a time."""
     if not pages:
-        return np.zeros((0, 16 + len(_KINDS) + 2 * len(GROUPS)))
+        return np.zeros((0, 20 + len(_KINDS) + 2 * len(GROUPS)))
     sizes = np.array([len(p.tag) for p in pages])
     first = np.cumsum(sizes) - sizes
     root = np.repeat(first, sizes)
     up = np.maximum(np.array([x for p in pages for x in p.parent]), 0) + root
     cols = [np.array([x for c in column for x in c], float) for column in zip(*(p.columns() for p in pages))]
     size, links, tags, points, paras, depth, nth, kids, in_link, before = cols
+    above = up[up]  # a text run's element says little, what that lies in says more
     is_text = np.array([not t for p in pages for t in p.tag], float)
     some, total = np.maximum(size, 1), np.maximum(size[root], 1)
     out = [
         is_text, depth, nth, kids[up], np.log1p(size), links / some, size / (tags + 1), points / some, np.log1p(paras),
         before / total, np.log1p(size[up]), links[up] / some[up], paras[up], size / total, in_link, np.log1p(size[root]),
+        paras[above], np.log1p(size[above]), links[above] / some[above], kids[above],
     ]
     for bits, width in zip(zip(*(p.flags() for p in pages)), (len(_KINDS), len(GROUPS), len(GROUPS))):
         word = np.array([x for b in bits for x in b], np.int64)
@@ -264,22 +293,28 @@ def _upward(page: Page, good: list[bool]) -> list[bool]:
     return good
 
 
-def layouts(number: int, seed: int = 7) -> Iterator[tuple[str, str]]:
-    """Pages of many layouts with a marker in the main text: (source, marker)."""
+def layouts(number: int, seed: int = 7, opaque: float = OPAQUE) -> Iterator[tuple[str, str]]:
+    """Pages of many layouts with a marker in the main text: (source, marker).
+
+    A share of them have made-up class names and mostly plain elements.
+    """
     r = random.Random(seed)
     mark = "⁣"
 
     def words(a: int, b: int) -> str:
         w = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(1, 8))) for _ in range(r.randint(a, b))]
-        return " ".join(x + ("," if r.random() < 0.08 else ". " if r.random() < 0.06 else "") for x in w).capitalize() + "."
+        return " ".join(x + ("," if r.random() < 0.08 * marks else ". " if r.random() < 0.06 * marks else "") for x in w).capitalize() + "."
 
     def link_list(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/x">{words(1, 2)}</a></li>' for _ in range(k)) + "</ul>"
 
+    def made_up() -> str:
+        return r.choice(["css-", "x", "sc-", "b__", ""]) + "".join(r.choice("abcdefghkmpqz0123456789") for _ in range(r.randint(4, 8)))
+
     def junk(group: str) -> str:
         tag = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form"}.get(group, "div")
-        named = r.choice(WORDS[group].split())
-        tag = tag if r.random() < 0.6 else r.choice(["div", "section"])
+        named = made_up() if plain else r.choice(WORDS[group].split())
+        tag = tag if r.random() < (0.3 if plain else 0.6) else r.choice(["div", "section"])
         attr = f' {r.choice(["class", "id"])}="{named}"' if tag in ("div", "section") or r.random() < 0.4 else ""
         body = {
             "menu": lambda: link_list(r.randint(2, 9)),
@@ -303,9 +338,19 @@ def layouts(number: int, seed: int = 7) -> Iterator[tuple[str, str]]:
             return f"<p><b>{words(1, 8)}{mark}<br><p>{x}</p>"
         if kind < 0.3:
             return f'<p><a href="/y">{words(1, 3)}{mark}</a> {x}</p>'
+        if kind < 0.35:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{words(1, 6)}{mark}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(2, 5))) + "</table>"
+        if kind < 0.4:
+            return f"<figure><img src=i><figcaption>{words(2, 15)}{mark}</figcaption></figure>"
+        if kind < 0.46:
+            return "<ol>" + "".join(f"<li>{words(1, 25)}{mark}</li>" for _ in range(r.randint(2, 6))) + "</ol>"
+        if kind < 0.5:
+            return f"<h3>{words(1, 6)}{mark}</h3><p>{x}</p>"
         return f"<p>{x}" + ("</p>" if r.random() < 0.8 else "")
 
+    plain, marks = False, 1.0
     for _ in range(number):
+        plain, marks = r.random() < opaque, r.choice((0.0, 0.4, 1.0, 1.0))
         before = [junk(g) for g in ("head", "menu", "notice", "ad") if r.random() < 0.55]
         after = [junk(g) for g in ("side", "comment", "ad", "form", "notice", "foot") if r.random() < 0.45]
         parts = [f"<h1>{words(2, 9)}{mark}</h1>"] * (r.random() < 0.8) + [block() for _ in range(r.randint(1, 14))]
@@ -315,27 +360,40 @@ def layouts(number: int, seed: int = 7) -> Iterator[tuple[str, str]]:
             if r.random() < 0.15:
                 parts.insert(r.randint(1, len(parts)), junk(g))
         tag = r.choice(["article", "main", "div", "div", "section", "article"])
-        attr = f' class="{r.choice(WORDS["content"].split())}"' if tag in ("div", "section") and r.random() < 0.7 else ""
+        attr = f' class="{made_up() if plain else r.choice(WORDS["content"].split())}"' if tag in ("div", "section") and r.random() < 0.7 else ""
         body = f"<{tag}{attr}>" + "".join(parts) + f"</{tag}>"
         if r.random() < 0.3:
             body = f"<div>{body}{junk('side') if r.random() < 0.5 else ''}</div>"
         yield f"<html><head><title>{words(1, 6)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", mark
 
 
-def learn(sources: list[str]) -> Trees:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in by_bytes(batches, "html", most=PAGE_BYTES):
+        for h, source in zip(b.column("h").to_pylist(), b.column("html").to_pylist()):
+            page = Page(source)
+            good = semantic_labels(page)
+            if any(good):
+                x = page.features()
+                n = len(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.arange(n)), pa.array(np.array(good, float)), pa.array(list(x), pa.list_(pa.float64()))], names=["h", "node", "y", "x"])
+
+
+def learn(pages: DataFrame | None = None) -> Trees:
+    """Trees from generated pages and, where a table is given, from at most NODES nodes of SAMPLE of its pages."""
     x, y = [], []
-    for source, mark in layouts(500):
+    for source, mark in layouts(700):
         page = Page(source)
         # a run of main text carries the marker
         good = [mark in t for t in page.text]
         x.append(page.features())
         y.append(np.array(_upward(page, good), float))
-    for source in sources:
-        page = Page(source)
-        good = semantic_labels(page)
-        if any(good):
-            x.append(page.features())
-            y.append(np.array(good, float))
+    if pages is not None:
+        some = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
+        chosen = some.select("h").distinct().orderBy("h").limit(SAMPLE)  # at most SAMPLE numbers: a bounded broadcast
+        got = some.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).mapInArrow(_labelled, "h long, node long, y double, x array<double>")
+        for r in got.orderBy(F.xxhash64("h", "node"), "h", "node").limit(NODES).orderBy("h", "node").toLocalIterator():
+            x.append(np.array([r["x"]]))
+            y.append(np.array([r["y"]]))
     return fit(np.concatenate(x), np.concatenate(y), trees=40, depth=5, rate=0.25, bins=32)
 
 
@@ -354,13 +412,10 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """
     ship(pages.sparkSession)
     if trees is None:
-        chosen = pages.where("html IS NOT NULL").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
-        # at most SAMPLE ids: a bounded broadcast; at most SAMPLE whole pages of under 100,000 characters reach the driver
-        got = pages.select("page_id", "html").join(F.broadcast(chosen.distinct()), "page_id").where(F.length("html") < 100_000).orderBy("page_id", "html").limit(SAMPLE)
-        trees = learn([r["html"] for r in got.toLocalIterator()])
+        trees = learn(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "html", most=PAGE_BYTES):
             found = [Page(s or "") for s in b.column("html").to_pylist()]
             cut = np.cumsum([len(p.tag) for p in found])[:-1]
             text = [p.join(p.decode(m)) for p, m in zip(found, np.split(trees.margin(features(found)), cut))] if found else []
