@@ -1,11 +1,13 @@
 """Personal data: candidate spans by patterns, boosted trees choose, DataFrame functions only.
 
 Generators propose spans: the four base patterns (their valid matches are always redacted) and looser
-ones, which overlap them. Boosted trees (pyspark.ml, on a bounded sample) score every candidate by its
-format and context; they learn from the base patterns' own matches, valid ones against failing ones.
-Thresholds are set for each kind on sampled documents that the trees have not seen. A loose span is
-redacted if its score reaches its kind's threshold and no base span overlaps it; what a kind's own
-check refuses (Luhn, octets, digits) never is.
+ones, which overlap them. Boosted trees (pyspark.ml) score every candidate by its format and context.
+They learn from generated sentences (``examples``): personal data in several spellings, and what looks
+like it but is an order number, a version, a serial number or plain words. Thresholds are set for each
+kind where precision is high enough on generated sentences that the trees have not seen and on all base
+matches of the table, valid ones against those that fail their kind's check. A loose span is redacted if
+its score reaches its kind's threshold and no base span overlaps it; what a kind's own check refuses
+(Luhn, octets) never is.
 
 Everything about one text stays in its row: no shuffle, no key. Positions are code points: the texts
 between the matches give the starts, summed in blocks of ``BLOCK`` matches so that a text with many
@@ -14,17 +16,16 @@ matches costs little more than its length.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000  # documents learned from: those whose ids have the smallest hashes
+EXAMPLES = 6000  # generated sentences, a third of them for the thresholds
+SHORT = 7  # shorter matches that fail their check look like nothing and are not counted
 BLOCK = 256
 PRECISION = 0.98
 GRID = tuple(x / 20 for x in range(10, 20))
@@ -45,7 +46,7 @@ LOOSE = {
     "phone": (r"(?<![0-9+])\(?[0-9]{3}\)?[.\x20-][0-9]{3}[.\x20-][0-9]{4}(?![0-9])", "[0-9]{3}[.\\x20-][0-9]{4}"),
 }
 IP_VALID = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"
-CONTEXT = ("mail|contact|write|@", "tel|phone|call|fax|mobile", "card|visa|pay|account", "ip|host|server|addr")
+CONTEXT = ("mail|contact|write|@", "tel|phone|call|fax|mobile", "card|visa|pay|account", "ip|host|server|addr", "order|ticket|version|release|serial|part|isbn|invoice|ref|model|sku|no[.]|#|score|section|build|item|lot")
 PLAIN = {"@", "+", "at", "[.]"}
 FEATURES = ("kind", "size", "digits", "spaces", "dots", "dashes", "brackets", "letters", "plus", "groups", "after_word", "before_word", "at_end", "at_start", *(f"context{i}" for i in range(len(CONTEXT))))
 
@@ -79,7 +80,7 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, text: Column) -> Column:
     digits = F.regexp_replace(text, "[^0-9]", "")
     if kind == "ip":
-        return text.rlike(IP_VALID)
+        return F.translate(text, "[]", "").rlike(IP_VALID)
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
     return F.length(digits).between(10, 15) if kind == "phone" else F.lit(True)
@@ -106,7 +107,7 @@ def _placed(name: str, kind: str, base: bool) -> Column:
             s = acc["pos"] + x["gap"]
             e = s + F.length(x["t"])
             one = F.struct(
-                s.alias("start"), k.alias("kind"), e.alias("end"), (_valid(kind, x["t"]) if base else F.lit(False)).alias("base"), (~_valid(kind, x["t"]) if base or kind == "card" else F.lit(False)).alias("failing"), x["t"].alias("text"), x["before"].alias("before"), x["after"].alias("after")
+                s.alias("start"), k.alias("kind"), e.alias("end"), (_valid(kind, x["t"]) if base else F.lit(False)).alias("base"), (~_valid(kind, x["t"]) if base or kind in ("card", "ip") else F.lit(False)).alias("failing"), x["t"].alias("text"), x["before"].alias("before"), x["after"].alias("after")
             )
             return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
 
@@ -143,58 +144,134 @@ def _features(x: Column) -> list[Column]:
     ]
 
 
+# The words of the generated sentences.
+_BEFORE = {
+    "email": ("mail me: ", "please contact ", "write to ", "my e-mail is ", "send mail to "),
+    "ip": ("the host ", "server at ", "my ip is ", "address ", "logged in from host "),
+    "card": ("my card ", "visa ", "paid with card ", "account ", "pay by card: "),
+    "phone": ("call me on ", "tel. ", "phone: ", "fax ", "my mobile is ", "telephone "),
+}
+_PLAIN = ("reach me at ", "you find me under ", "Smith, ", "it is ", "", "just use ", "thanks! ", "yours, Ann ")
+_OTHER = ("order ", "ticket ", "version ", "serial ", "part number ", "ISBN ", "invoice ", "ref. ", "model ", "SKU ", "release ", "item no. ", "lot # ", "section ", "build ", "score ")
+_AFTER = (" today", ".", ", thanks", "", " and so on", "!", " (work)")
+_NAMES = ("ann", "bob.miller", "c_lee", "d-ray77", "eva.k", "info", "sales.team", "j.r.doe")
+_HOSTS = ("example", "my-mail", "uni", "post9", "shop24", "acme")
+_ENDS = ("com", "org", "net", "de", "co")
+_WORDS = ("look", "stay", "meet", "arrive", "laughing", "begins", "sold", "works", "priced")
+_PLACES = ("noon", "home", "once", "the", "3", "room12", "them", "5")
+_NEXT = ("We", "Then", "30", "It", "50", "And", "She")
+
+
+def examples(spark: SparkSession, number: int = EXAMPLES) -> DataFrame:
+    """(doc_id, text, kind, label): generated sentences with one candidate each, the same ones every time."""
+    salt = iter(range(10**6))
+    any_of = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64("doc_id", F.lit(next(salt))), F.lit(len(xs))) + 1).cast("int"))
+    chance = lambda p: F.pmod(F.xxhash64("doc_id", F.lit(next(salt))), F.lit(100)) < p
+    number_below = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(next(salt))), F.lit(n)).cast("string")
+    digits = lambda n: F.lpad(number_below(10**n), n, "0")
+    def joined(sep: Column | str, parts: list[Column]) -> Column:
+        sep = F.lit(sep) if isinstance(sep, str) else sep
+        return F.concat(parts[0], *[x for p in parts[1:] for x in (sep, p)])
+
+    at, dot = any_of(("(at)", " (at) ", "[at]", " [at] ")), any_of((".", " (dot) ", "[dot]", ".", "(dot)"))
+    email = F.when(chance(30), F.concat(any_of(_NAMES), F.lit("@"), any_of(_HOSTS), F.lit("."), any_of(_ENDS))).otherwise(F.concat(any_of(_NAMES), at, any_of(_HOSTS), dot, any_of(_ENDS)))
+    words = F.concat(any_of(_WORDS), any_of((" (at) ", " [at] ")), any_of(_PLACES), any_of((".", ". ")), any_of(_NEXT))
+    octets = lambda n, sep: joined(sep, [number_below(n) for _ in range(4)])
+    ip = F.when(chance(30), octets(256, ".")).otherwise(octets(256, "[.]"))
+    no_ip = F.when(chance(50), octets(999, ".")).otherwise(octets(12, "[.]"))
+    fifteen = digits(15)
+    # the last digit by the Luhn rule: nine times the sum of all, the first doubled
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(15)), F.lit(0), lambda t, i: t + F.when(i % 2 == 0, F.substring(fifteen, i, F.lit(1)).cast("int")).otherwise(_doubled(F.substring(fifteen, i, F.lit(1)).cast("int"))))
+    sixteen = F.concat(fifteen, F.pmod(total * 9, F.lit(10)).cast("string"))
+    in_fours = lambda x, sep: joined(sep, [F.substring(x, i, 4) for i in (1, 5, 9, 13)])
+    card = F.when(chance(30), sixteen).otherwise(F.when(chance(70), in_fours(sixteen, ".")).otherwise(in_fours(sixteen, "-")))
+    no_card = F.when(chance(40), in_fours(digits(16), "-")).otherwise(in_fours(sixteen, "."))
+    local = F.when(chance(30), F.concat(F.lit("("), digits(3), F.lit(") "), digits(3), F.lit("-"), digits(4))).otherwise(joined(any_of(("-", ".", " ")), [digits(3), digits(3), digits(4)]))
+    phone = F.when(chance(25), F.concat(F.lit("+"), number_below(90), F.lit(" "), digits(3), F.lit(" "), digits(7))).otherwise(local)
+    no_phone = F.when(chance(25), F.concat(F.lit("+"), digits(2), F.lit(" "), digits(3))).otherwise(joined(any_of(("-", ".", " ")), [digits(3), digits(3), digits(4)]))
+    df = spark.range(0, number, 1, 4).select(F.col("id").alias("doc_id")).withColumns(_planted())
+    good, bad, before = F.lit(""), F.lit(""), F.lit("")
+    for i, (kind, yes, no) in enumerate((("email", email, words), ("ip", ip, no_ip), ("card", card, no_card), ("phone", phone, no_phone))):
+        mine = F.col("kind") == i
+        good, bad, before = F.when(mine, yes).otherwise(good), F.when(mine, no).otherwise(bad), F.when(mine, any_of(_BEFORE[kind])).otherwise(before)
+    other = F.when((F.col("kind") == 0) & chance(70), any_of(_PLAIN)).otherwise(any_of(_OTHER))
+    yes, no = F.concat(F.when(chance(60), before).otherwise(any_of(_PLAIN)), good), F.concat(other, bad)
+    return df.withColumn("text", F.concat(F.when(F.col("label") == 1, yes).otherwise(no), any_of(_AFTER)))
+
+
+def _planted() -> dict[str, Column]:
+    """Kind and label of a generated sentence, from its number."""
+    return {"kind": (F.col("doc_id") % len(KINDS)).cast("int"), "label": F.pmod(F.xxhash64("doc_id", F.lit(-1)), F.lit(2)).cast("int")}
+
+
+def _doubled(v: Column) -> Column:
+    return 2 * v - F.when(v > 4, 9).otherwise(0)
+
+
 def tree_rules(model: GBTClassificationModel) -> list[tuple[float, object]]:
-    """(weight, tree) with a tree as a number or (feature, threshold, left, right), from its printed form."""
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees):
-        lines = [x.strip() for x in tree.toDebugString.splitlines()[1:] if x.strip()]
+    """(weight, tree) with a tree as a number or (feature, threshold, left, right)."""
 
-        def node(at: int) -> tuple[object, int]:
-            if m := re.match(r"Predict: (\S+)", lines[at]):
-                return float(m[1]), at + 1
-            m = re.match(r"If \(feature (\d+) <= (\S+)\)", lines[at])
-            left, at = node(at + 1)
-            right, at = node(at + 1)  # the line "Else (...)" lies between
-            return (int(m[1]), float(m[2]), left, right), at
+    def node(n) -> object:
+        if n.getClass().getSimpleName() == "LeafNode":
+            return float(n.prediction())
+        split = n.split()
+        return int(split.featureIndex()), float(split.threshold()), node(n.leftChild()), node(n.rightChild())
 
-        out.append((weight, node(0)[0]))
-    return out
+    return [(weight, node(tree._call_java("rootNode"))) for weight, tree in zip(model.treeWeights, model.trees)]
 
 
 def score(rules: list[tuple[float, object]], features: list[Column]) -> Column:
-    def walk(tree: object) -> Column:
+    """The trees' probability; the features are computed once, as an array that the trees look into."""
+
+    def walk(tree: object, weight: float, x: Column) -> Column:
         if isinstance(tree, float):
-            return F.lit(tree)
+            return F.lit(weight * tree)
         j, t, left, right = tree
-        return F.when(features[j] <= t, walk(left)).otherwise(walk(right))
+        return F.when(x[j] <= t, walk(left, weight, x)).otherwise(walk(right, weight, x))
 
-    margin = F.lit(0.0)
-    for weight, tree in rules:
-        margin = margin + F.lit(float(weight)) * walk(tree)
-    return 1 / (1 + F.exp(-2 * margin))
+    def total(x: Column) -> Column:
+        terms = F.array(*[walk(tree, float(weight), x) for weight, tree in rules])
+        return 1 / (1 + F.exp(-2 * F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)))
 
+    return F.get(F.transform(F.array(F.array(*features)), total), F.lit(0))
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list, dict[str, float]]:
-    """(rules, threshold of each kind) from the candidates of at most ``sample`` documents.
 
-    Without both valid and failing candidates nothing is learned: no rules, no loose span is redacted.
-    """
-    chosen = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids: a bounded broadcast
-    # written before explode(): inlined into the generator, the spans would be found again for each row
-    some = written(candidates(docs.join(F.broadcast(chosen), "doc_id")), "found").select("doc_id", F.explode("found").alias("x"))
-    rows = some.where("x.base OR x.failing").select("doc_id", "x.kind", F.col("x.base").cast("double").alias("label"), *[c.alias(n) for c, n in zip(_features(F.col("x")), FEATURES) if n != "kind"])
-    rows = written(rows, "candidates")
-    train, held = (rows.where(F.expr(f"(pmod(xxhash64(doc_id, 1), 3) = 0) = {h}")) for h in ("false", "true"))
-    if train.select("label").distinct().count() < 2:
-        return [], {}
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train).select("features", "label").coalesce(4)
-    model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=7, maxBins=32).fit(table)
-    rules = tree_rules(model)
-    scored = held.select("kind", "label", score(rules, [F.col(n).cast("double") for n in FEATURES]).alias("score"))
+def _least(scored: DataFrame) -> DataFrame:
+    """(kind, t): the first step of the grid at which enough of what lies above it is labelled 1."""
     grid = scored.select("kind", "label", "score", F.explode(F.array(*[F.lit(g) for g in GRID])).alias("t")).where("score >= t")
-    by = grid.groupBy("kind", "t").agg(F.avg("label").alias("precision")).where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("t").alias("t"))
-    return rules, {KINDS[r["kind"]]: r["t"] for r in by.collect()}  # at most four rows
+    return grid.groupBy("kind", "t").agg(F.avg("label").alias("precision")).where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("t").alias("t"))
+
+
+def _rows(found: DataFrame, label: Column) -> DataFrame:
+    return found.select("kind", label.cast("double").alias("label"), *[c.alias(n) for c, n in zip(_features(F.col("x")), FEATURES) if n != "kind"], *(c for c in ("doc_id",) if c in found.columns))
+
+
+def _scored(rows: DataFrame, rules: list) -> DataFrame:
+    return rows.select("kind", "label", score(rules, [F.col(n).cast("double") for n in FEATURES]).alias("score"))
+
+
+def learn(spark: SparkSession, number: int = EXAMPLES) -> tuple[list, dict[int, float]]:
+    """(rules, threshold of each kind) from generated sentences alone: the same ones every time."""
+    # written before explode(): inlined into the generator, the spans would be found again for each row
+    found = written(candidates(examples(spark, number)), "examples").select("doc_id", F.explode("found").alias("x")).withColumns(_planted()).where("x.kind = kind")
+    rows = written(_rows(found, F.col("label")), "candidates")
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("doc_id % 3 <> 0")).orderBy("doc_id", *FEATURES).select("features", "label").coalesce(1)
+    rules = tree_rules(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=7, maxBins=32).fit(table))
+    return rules, {r["kind"]: r["t"] for r in _least(_scored(rows.where("doc_id % 3 = 0"), rules)).collect()}  # at most four rows
+
+
+_learned: list = []
+
+
+def thresholds(found: DataFrame, rules: list, made: dict[int, float]) -> dict[int, float]:
+    """The threshold of each kind: the larger of those by generated sentences and by all of the table.
+
+    A kind without enough precision in the sentences has the last step of the grid; a kind that the
+    table lacks has that by the sentences.
+    """
+    x = found.select(F.explode(F.filter("found", lambda x: x["base"] | x["failing"])).alias("x")).select(F.col("x.kind").alias("kind"), "x")
+    here = {r["kind"]: r["t"] for r in _least(_scored(_rows(x, F.col("x.base")), rules)).collect()}  # at most four rows
+    return {k: max(made.get(k, GRID[-1]), here.get(k, 0.0)) for k in range(len(KINDS))}
 
 
 def _joined(found: Column) -> Column:
@@ -209,19 +286,21 @@ def spans(docs: DataFrame) -> DataFrame:
     Null text counts as empty and has no span. Rows are independent: repeated rows, null ids and empty
     tables need no special case; other columns are ignored.
     """
-    rules, thresholds = learn(docs)
-    df = candidates(docs)
-    df = df.select("doc_id", F.filter("found", lambda x: x["base"]).alias("base"), F.filter("found", lambda x: ~x["base"] & ~x["failing"]).alias("loose"))
-    chosen = F.filter("loose", lambda x: F.lit(False))
-    if rules and thresholds:
-        least = F.lit(None).cast("double")
-        def above(x: Column) -> Column:
-            t = least
-            for kind, value in thresholds.items():
-                t = F.when(x["kind"] == KINDS.index(kind), F.lit(value)).otherwise(t)
-            return F.coalesce(score(rules, _features(x)) >= t, F.lit(False)) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-
-        chosen = F.when(F.size("loose") > 0, F.filter("loose", above)).otherwise(chosen)
+    if not _learned:  # sentences and seed are fixed: once for each driver
+        _learned.append(learn(docs.sparkSession))
+    rules, made = _learned[0]
+    found = candidates(docs).select("doc_id", F.filter("found", lambda x: ~x["failing"] | (F.length(x["text"]) >= SHORT)).alias("found"))
+    found = written(found, "found")
+    limits = thresholds(found, rules, made)
+    df = found.select("doc_id", F.filter("found", lambda x: x["base"]).alias("base"), F.filter("found", lambda x: ~x["base"] & ~x["failing"]).alias("loose"))
+
+    def above(x: Column) -> Column:
+        limit = F.lit(None).cast("double")
+        for kind, t in limits.items():
+            limit = F.when(x["kind"] == kind, F.lit(t)).otherwise(limit)
+        return (score(rules, _features(x)) >= limit) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+    chosen = F.when(F.size("loose") > 0, F.filter("loose", above)).otherwise(F.filter("loose", lambda x: F.lit(False)))
     df = df.select("doc_id", "base", chosen.alias("more"))
     brief = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     df = df.select("doc_id", F.array_sort(brief("base")).alias("base"), F.array_sort(F.array_distinct(F.concat(brief("base"), brief("more")))).alias("every"))
