@@ -100,3 +100,19 @@ def test_components_of_a_long_path(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900, 950: 900}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_near_vectors_gives_one_component_an_id(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    got = near_vectors.near_vectors(frame(spark, [(3, a, 1), (5, a, 1), (5, b, 1), (9, b, 1), (11, [0.0, 0.0, 1.0], 1)])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (9, 1, 3, False), (11, 0, 11, True)]
+
+
+def test_nearest_asks_a_repeated_query_once_and_breaks_ties_by_id(spark):
+    data = [(i, [float(abs(i - 100)), 1.0], 0) for i in range(90, 111)]
+    df = frame(spark, [*data, (100, [0.0, 1.0], 0), (100, [0.0, 1.0], 0), *[(95, [5.0, 1.0], 0)] * 40])
+    got = sorted((r.rank, r.vec_id, r.score) for r in nearest.nearest(df, df.where("vec_id = 100"), k=10).collect())
+    # equal distances: the smaller id first; a candidate row counts as often as it occurs
+    assert got == [(1, 99, 1.0), (2, 101, 1.0), (3, 98, 2.0), (4, 102, 2.0), (5, 97, 3.0), (6, 103, 3.0), (7, 96, 4.0), (8, 104, 4.0), (9, 95, 5.0), (10, 95, 5.0)]
+    two = frame(spark, [(0, [1.0, 1.0], 0), (0, [3.0, 1.0], 0), (1, [1.0, 1.0], 0), (2, [3.5, 1.0], 0)])
+    assert [(r.rank, r.vec_id, r.score) for r in nearest.nearest(two, two.where("vec_id = 0"), k=5).orderBy("rank").collect()] == [(1, 1, 0.0), (2, 2, 0.5)]
