@@ -139,8 +139,8 @@ def datagram_log(spark: SparkSession, path: str) -> DataFrame:
     return datagram_rows(spark.read.format("binaryFile").load(path))
 
 
-def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, bytes]]]:
-    """Head and (rate, drops, frame length, header bytes) of an sFlow version 5 datagram."""
+def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, int, bytes]]]:
+    """Head and (rate, drops, frame length, header protocol, header bytes) of an sFlow version 5 datagram."""
     at = 0
 
     def take(form: str) -> tuple:
@@ -166,6 +166,8 @@ def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, bytes]]]:
                 _, _, rate, _, drops, _, _, records = take("8I")
             else:
                 _, _, _, rate, _, drops, _, _, _, _, records = take("11I")
+            if rate < 1:
+                raise ValueError("the sampling rate is not positive")
             for _ in range(records):
                 form, length = take("II")
                 stop = at + length
@@ -173,18 +175,17 @@ def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, bytes]]]:
                     raise ValueError("a record is cut")
                 if form == 1:  # raw header
                     protocol, frame, _, held = take("4I")
-                    if protocol == 1:
-                        if at + held > stop:
-                            raise ValueError("a header is cut")
-                        found.append((rate, drops, frame, data[at : at + held]))
+                    if at + held > stop:
+                        raise ValueError("a header is cut")
+                    found.append((rate, drops, frame, protocol, data[at : at + held]))
                 at = stop
         at = end
     return {"agent": agent.hex(), "sequence": sequence, "uptime": uptime}, found
 
 
 def _explode_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["datagram", "agent", "sequence", "uptime", "rate", "drops", "frame_length", "header", "error"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    names = ["datagram", "agent", "sequence", "uptime", "rate", "drops", "frame_length", "link", "header", "error"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     for b in batches:
         rows = []
         for i, p in zip(b.column("datagram").to_pylist(), b.column("payload").to_pylist()):
@@ -192,14 +193,14 @@ def _explode_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 head, found = _samples(p or b"")
                 rows += [(i, head["agent"], head["sequence"], head["uptime"], *f, None) for f in found]
             except (ValueError, struct.error) as e:
-                rows.append((i, *[None] * 7, str(e)))
+                rows.append((i, *[None] * 8, str(e)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
 def sflow_samples(datagrams: DataFrame) -> DataFrame:
-    """One row for each sampled header of (datagram, payload); a malformed datagram is a row with its error."""
+    """One row for each sampled header of (datagram, payload), of any header protocol (``link``); a malformed datagram is a row with its error."""
     return datagrams.select(F.col("datagram").cast("long").alias("datagram"), "payload").mapInArrow(
-        _explode_samples, "datagram long, agent string, sequence long, uptime long, rate long, drops long, frame_length long, header binary, error string"
+        _explode_samples, "datagram long, agent string, sequence long, uptime long, rate long, drops long, frame_length long, link long, header binary, error string"
     )
 
 
@@ -209,25 +210,33 @@ def _number(data: Column, at: Column | int, size: int) -> Column:
     return F.conv(F.hex(F.substring(data, start, F.lit(size))), 16, 10).cast("long")
 
 
-def decode_header(frame: Column) -> dict[str, Column]:
-    """Columns of an Ethernet frame: ethertype behind a VLAN tag, protocol, SYN, addresses, ports.
+def decode_header(frame: Column, link: Column | None = None) -> dict[str, Column]:
+    """Columns of a sampled frame: ethertype behind its VLAN tags, protocol, SYN, addresses, ports.
 
-    Fragments after the first and frames that are cut have no ports; other frames have no protocol.
+    ``link`` is the header protocol of the sample: 1 Ethernet (also without ``link``), 11 bare IPv4, 12
+    bare IPv6. Tags of both kinds may be stacked. What can't be read has no protocol, address or port:
+    other links and ethertypes, cut headers, an IPv4 version or header length that is none, and IPv6 with
+    extension headers. Fragments after the first and frames that are cut have no ports.
     """
-    tagged = _number(frame, 12, 2) == 0x8100
-    base = F.when(tagged, 18).otherwise(14)
-    kind = F.when(tagged, _number(frame, 16, 2)).otherwise(_number(frame, 12, 2))
+    link = F.lit(1) if link is None else link
+    behind = F.hex(F.substring(frame, F.lit(13), F.length(frame)))
+    tags = (F.length(F.regexp_extract(behind, "^((?:(?:8100|88A8)[0-9A-F]{4})*)", 1)) / 8).cast("int")
+    wired = link == 1
+    base = F.when(wired, 14 + 4 * tags).otherwise(0)
+    kind = F.when(wired & (F.length(frame) >= base), _number(frame, 12 + 4 * tags, 2)).when(link == 11, 0x0800).when(link == 12, 0x86DD)
     v4, v6 = kind == 0x0800, kind == 0x86DD
-    head = F.when(v4, F.pmod(_number(frame, base, 1), F.lit(16)) * 4).when(v6, F.lit(40)).cast("int")
-    whole = F.length(frame) >= base + F.when(v4, 20).otherwise(40)
-    proto = F.when(whole & v4, _number(frame, base + 9, 1)).when(whole & v6, _number(frame, base + 6, 1))
-    later = v4 & (F.pmod(_number(frame, base + 6, 2), F.lit(8192)) > 0)
+    first = F.when(F.length(frame) > base, _number(frame, base, 1))
+    head = F.when(v4, F.pmod(first, F.lit(16)) * 4).when(v6, F.lit(40)).cast("int")
+    whole4 = v4 & (F.length(frame) >= base + 20) & (F.shiftright(first, 4) == 4) & (head >= 20) & (F.length(frame) >= base + head)
+    whole6 = v6 & (F.length(frame) >= base + 40) & F.when(F.length(frame) >= base + 40, _number(frame, base + 6, 1)).isin(6, 17, 58)
+    proto = F.when(whole4, _number(frame, base + 9, 1)).when(whole6, _number(frame, base + 6, 1))
+    later = F.coalesce(whole4 & (F.pmod(_number(frame, base + 6, 2), F.lit(8192)) > 0), F.lit(False))
     at = base + head
-    ports = proto.isin(6, 17) & ~F.coalesce(later, F.lit(False)) & (F.length(frame) >= at + 4)
-    syn = (proto == 6) & ~F.coalesce(later, F.lit(False)) & (F.length(frame) >= at + 14) & (_number(frame, at + 13, 1).bitwiseAND(2) > 0)
+    ports = proto.isin(6, 17) & ~later & (F.length(frame) >= at + 4)
+    syn = (proto == 6) & ~later & (F.length(frame) >= at + 14) & (_number(frame, at + 13, 1).bitwiseAND(2) > 0)
     part = lambda o, n: F.hex(F.substring(frame, base + o + 1, F.lit(n)))
     return {
-        "ethertype": kind, "protocol": proto, "fragment": F.coalesce(later, F.lit(False)), "syn": F.coalesce(syn, F.lit(False)),
-        "src": F.when(whole & v4, part(12, 4)).when(whole & v6, part(8, 16)), "dst": F.when(whole & v4, part(16, 4)).when(whole & v6, part(24, 16)),
+        "ethertype": kind, "protocol": proto, "fragment": later, "syn": F.coalesce(syn, F.lit(False)),
+        "src": F.when(whole4, part(12, 4)).when(whole6, part(8, 16)), "dst": F.when(whole4, part(16, 4)).when(whole6, part(24, 16)),
         "src_port": F.when(ports, _number(frame, at, 2)), "dst_port": F.when(ports, _number(frame, at + 2, 2)),
     }
