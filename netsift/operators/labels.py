@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,11 @@ def _bucketed(labels: DataFrame, bucket_us: int, tolerance_us: int) -> DataFrame
     return d.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / bucket_us), F.floor(F.col("_hi") / bucket_us))))
 
 
+def _kinds(column: str) -> Column:
+    """0, 1 or 2 (several) different values."""
+    return F.when(F.min(column).isNull(), 0).when(F.min(column) == F.max(column), 1).otherwise(2)
+
+
 def interval_matches(packets: DataFrame, labels: DataFrame, bucket_us: int, tolerance_us: int = 1) -> DataFrame:
     """(packet_id, n_matches, labels, families) for packets inside an interval of their key.
 
@@ -20,7 +25,7 @@ def interval_matches(packets: DataFrame, labels: DataFrame, bucket_us: int, tole
     """
     p = packets.withColumn("_b", F.floor(F.col("epoch_us") / bucket_us))
     j = p.join(_bucketed(labels, bucket_us, tolerance_us), ["flow_key", "_b"]).where("epoch_us BETWEEN _lo AND _hi")
-    return j.groupBy("packet_id").agg(F.count(F.lit(1)).alias("n_matches"), F.count_distinct("label").alias("n_labels"), F.min("label").alias("label"), F.count_distinct("family").alias("n_families"), F.min("family").alias("family"))
+    return j.groupBy("packet_id").agg(F.count(F.lit(1)).alias("n_matches"), _kinds("label").alias("n_labels"), F.min("label").alias("label"), _kinds("family").alias("n_families"), F.min("family").alias("family"))
 
 
 def packet_labels(packets: DataFrame, labels: DataFrame, bucket_us: int, tolerance_us: int = 1) -> DataFrame:
@@ -42,14 +47,17 @@ def packet_audit(packets: DataFrame, labels: DataFrame, bucket_us: int, toleranc
     return d.groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("packets"))
 
 
-def contained(windows: DataFrame, timeline: DataFrame) -> DataFrame:
+def contained(windows: DataFrame, timeline: DataFrame, bucket_us: int) -> DataFrame:
     """Windows wholly inside a label interval take its label, the earliest interval first; others are unknown.
 
-    The timeline is small (intervals of one capture); Spark broadcasts it when it is.
+    Of intervals that begin together the smallest label and family count. Intervals are dealt to time
+    buckets; a window meets those of its start, so the join has a key.
     """
-    j = windows.join(timeline, (F.col("start_us") >= F.col("label_start_us")) & (F.col("end_us") <= F.col("label_end_us")), "left")
-    first = F.min_by(F.struct("label", "family"), "label_start_us")
-    return j.groupBy("win").agg(first.alias("_x")).select("win", "_x.label", "_x.family")
+    spans = timeline.where("label_start_us <= label_end_us").withColumn("_b", F.explode(F.sequence(F.floor(F.col("label_start_us") / bucket_us), F.floor(F.col("label_end_us") / bucket_us))))
+    at = windows.select("win", "start_us", "end_us", F.floor(F.col("start_us") / bucket_us).alias("_b"))
+    j = at.join(spans, "_b").where("start_us >= label_start_us AND end_us <= label_end_us")
+    first = j.groupBy("win").agg(F.min(F.struct("label_start_us", "label", "family")).alias("_x"))
+    return windows.select("win").join(first, "win", "left").select("win", "_x.label", "_x.family")
 
 
 def asof_state(df: DataFrame, by: str = "run_id", idx: str = "idx", at: str = "observed_us", available: str = "available_us", y: str = "y_true") -> DataFrame:

@@ -28,11 +28,11 @@ def src_flow_csv(v: Views) -> DataFrame:
     return readers.flow_csv(v.spark, _csv(d, "flows"), "pos long, src_addr string, dport string, proto string, tot_bytes long, dur double, label string")
 
 
-@query("src_flow_csv_projected", "flows", "SELECT CAST(pos AS VARCHAR) AS pos, CASE WHEN pos % 3 <> 0 THEN dport END AS dport FROM flows WHERE pos < 500")
+@query("src_flow_csv_projected", "flows", "SELECT CAST(pos AS VARCHAR) AS pos, CASE WHEN pos % 3 <> 0 THEN dport END AS dport FROM flows")
 def src_flow_csv_projected(v: Views) -> DataFrame:
     d = v.flows.select("pos", "proto", F.when(F.col("pos") % 3 == 0, "  ").otherwise(F.concat(F.lit(" "), "dport")).alias("dport"))
     path = _csv(d, "projected", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return readers.projected_csv(v.spark, path, ["pos", "dport"], ["absent"]).where(F.col("pos").cast("long") < 500)
+    return readers.projected_csv(v.spark, path, ["pos", "dport"], ["absent"])
 
 
 @query("src_header_check", "flows", "SELECT 'missing columns: nothing_here' AS message, count(*) AS n_rows FROM flows")
@@ -191,5 +191,5 @@ def proj_sflow_explode(v: Views) -> DataFrame:
     data = F.when(k % 23 == 0, F.substring(data, F.lit(1), F.length(data) - 9)).otherwise(data)
     f = frames(v).join(v.packets.select("packet_id", "length"), "packet_id").where(F.col("protocol").isin(1, 6, 17))
     got = readers.sflow_samples(f.select(k.alias("datagram"), data.alias("payload")))
-    protocol = readers.decode_header(F.col("header"))["protocol"]
+    protocol = readers.decode_header(F.col("header"), F.col("link"))["protocol"]
     return got.select("datagram", "agent", "sequence", "rate", "frame_length", protocol.alias("protocol"), F.col("error").isNotNull().alias("malformed"))

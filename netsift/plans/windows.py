@@ -100,14 +100,14 @@ def agg_pure_truth(v: Views) -> DataFrame:
     return labels.pure_truth(_labelled(v).withColumn("win", F.floor(F.col("epoch_us") / (HOUR // 6))), ["win"])
 
 
-_TIMELINE = """, tl AS (SELECT start_us AS s, start_us + 43200000000 AS e, label, family FROM flow_labels WHERE flow_key % 8 = 3)"""
+_TIMELINE = """, tl AS (SELECT start_us AS s, start_us + 43200000000 AS e, label, family FROM flow_labels)"""
 
 
-@query("join_window_timeline", "packets flow_labels", TUMBLE.replace("\ne AS", ", e AS", 1) + _TIMELINE + f""" SELECT win, arg_min(label, s) AS label, arg_min(family, s) AS family FROM tw LEFT JOIN tl ON start_us >= s AND start_us + {WIN} <= e GROUP BY win""")
+@query("join_window_timeline", "packets flow_labels", TUMBLE.replace("\ne AS", ", e AS", 1) + _TIMELINE + f""" SELECT win, arg_min(label, [s, label, CASE family WHEN 'Benign' THEN 0 WHEN 'SYNFlood' THEN 1 ELSE 2 END]) AS label, arg_min(family, [s, label, CASE family WHEN 'Benign' THEN 0 WHEN 'SYNFlood' THEN 1 ELSE 2 END]) AS family FROM tw LEFT JOIN tl ON start_us >= s AND start_us + {WIN} <= e GROUP BY win""")
 def join_window_timeline(v: Views) -> DataFrame:
-    tl = v.flow_labels.where("flow_key % 8 = 3").select(F.col("start_us").alias("label_start_us"), (F.col("start_us") + 43200000000).alias("label_end_us"), "label", "family")
+    tl = v.flow_labels.select(F.col("start_us").alias("label_start_us"), (F.col("start_us") + 43200000000).alias("label_end_us"), "label", "family")
     w = windows.tumbling(v.packets, WIN).select("win", "start_us", (F.col("start_us") + WIN).alias("end_us"))
-    return labels.contained(w, tl)
+    return labels.contained(w, tl, 12 * HOUR)
 
 
 ASOF = """

@@ -28,7 +28,7 @@ SELECT event_id AS packet_id, {US} AS epoch_us, user_id % 40 AS flow_key, CAST(r
     "flow_labels": """
 SELECT user_id % 40 AS flow_key, {US} AS start_us, {US} + 43200000000 AS end_us,
   CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END AS label, CASE user_id % 3 WHEN 0 THEN 'Benign' WHEN 1 THEN 'SYNFlood' ELSE 'UDPFlood' END AS family
-FROM events WHERE event_id % 10 = 0""",
+FROM events""",
     "predictions": """
 SELECT user_id % 3 AS run_id, event_id AS idx, {US} AS observed_us, {US} + (event_id % 4) * 300000000 AS available_us,
   CASE WHEN event_id % 11 = 0 THEN NULL WHEN value > 30 THEN 1 ELSE 0 END AS y_true,
@@ -38,7 +38,7 @@ SELECT l_quantity AS f1, l_discount AS f2, l_tax AS f3, CASE WHEN l_returnflag =
     "trials": """
 SELECT l_returnflag AS scenario, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 10 WHEN 5 THEN 20 ELSE 50 END AS sampling_rate,
   l_suppkey % 3 + 1 AS trial_id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc_sum, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty_sum, count(*) AS n
-FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2, 3""",
+FROM lineitem GROUP BY 1, 2, 3""",
 }
 _TABLE = {"vectors": "lineitem", "trials": "lineitem"}
 
