@@ -73,14 +73,15 @@ def roc_points(df: DataFrame, y: str, score: str, drop_collinear: bool = False)
 def threshold_at_fpr(points: DataFrame, budgets: list[float]) -> DataFrame:
     """For each budget the point with most recall whose FPR is within it, the highest threshold on ties.
 
-    Only the point above all scores fits: threshold = highest score + 1, recall 0.
+    Only the point above all scores fits: threshold = highest score + 1, recall 0. A budget at which
+    nothing is found (recall 0) is not satisfiable.
     """
     point, best = F.struct("threshold", "tpr", "fpr"), F.struct("tpr", "threshold")
     one = [F.max_by(F.when(F.col("fpr") <= x, point), F.when(F.col("fpr") <= x, best)).alias(f"x{i}") for i, x in enumerate(budgets)]
     a = points.agg((F.max("threshold") + 1).alias("above"), *one)
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("budget"), F.col(f"x{i}").alias("x")) for i, x in enumerate(budgets)])).alias("b")
     d = a.select("above", each).select("above", "b.budget", "b.x")
-    return d.select("budget", F.coalesce("x.threshold", "above").alias("threshold"), F.coalesce("x.tpr", F.lit(0.0)).alias("recall"), F.coalesce("x.fpr", F.lit(0.0)).alias("fpr"), F.col("x").isNotNull().alias("satisfiable"))
+    return d.select("budget", F.coalesce("x.threshold", "above").alias("threshold"), F.coalesce("x.tpr", F.lit(0.0)).alias("recall"), F.coalesce("x.fpr", F.lit(0.0)).alias("fpr"), (F.coalesce("x.tpr", F.lit(0.0)) > 0).alias("satisfiable"))
 
 
 def threshold_sweep(df: DataFrame, y: str, score: str, first: int = 5, last: int = 95) -> DataFrame:

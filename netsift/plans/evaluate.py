@@ -70,7 +70,7 @@ def eval_roc_points(v: Views) -> DataFrame:
 
 _AT = """, bu(budget) AS (VALUES {}), top AS (SELECT max(threshold) + 1 AS above FROM pt),
 be AS (SELECT budget, arg_max({{'t': threshold, 'r': tpr, 'f': fpr}}, [tpr, threshold]) AS x FROM {} JOIN bu ON fpr <= budget GROUP BY budget)
-SELECT bu.budget, coalesce(x.t, above) AS threshold, coalesce(x.r, 0) AS recall, coalesce(x.f, 0) AS fpr, x IS NOT NULL AS satisfiable FROM bu LEFT JOIN be ON be.budget = bu.budget CROSS JOIN top"""
+SELECT bu.budget, coalesce(x.t, above) AS threshold, coalesce(x.r, 0) AS recall, coalesce(x.f, 0) AS fpr, coalesce(x.r, 0) > 0 AS satisfiable FROM bu LEFT JOIN be ON be.budget = bu.budget CROSS JOIN top"""
 
 
 @query("eval_threshold_at_fpr", "predictions", _AT.format("(0.01::DOUBLE)", "dc"), STEPS)
