@@ -82,13 +82,14 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out
     """s_t = alpha v_t + (1 - alpha) s_(t-1) over the rows with a value; null rows keep null (hold).
 
     Values further back than L rows weigh less than 1e-18 and are left out, so a row folds a bounded
-    list. ``initial`` stands before the first value.
+    list; where L is long (small alpha), rows are summed in chunks and a chunk starts from the states of
+    the three before it. ``initial`` stands before the first value.
     """
     if not 0 < alpha <= 1:
         raise ValueError("0 < alpha <= 1")
-    length = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha))
-    if length > 4000:
-        raise ValueError("alpha below 0.01 needs a longer history than is folded here")
+    length = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log1p(-alpha))
+    if length > FOLDED:
+        return _chunked_ewma(df, by, order, value, alpha, out, initial, length)
     w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(order)
     hist = F.collect_list(value).over(w.rowsBetween(-length, 0))
     first = F.get("_h", F.lit(0)) if initial is None else F.when(F.row_number().over(w) <= length + 1, F.lit(alpha) * F.get("_h", F.lit(0)) + F.lit((1 - alpha) * initial)).otherwise(F.get("_h", F.lit(0)))
@@ -97,6 +98,32 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out
     return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first")
 
 
+FOLDED = 1000  # rows of history that are folded row by row, at most
+
+
+def _chunked_ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str, initial: float | None, length: int) -> DataFrame:
+    size, keep = -(-length // 3), 1 - alpha  # three chunks hold all that weighs anything
+    valid = F.col(value).isNotNull()
+    n = F.row_number().over(Window.partitionBy(*by, F.col(value).isNull()).orderBy(order)) - 1
+    d = df.withColumn("_n", F.when(valid, n)).withColumn("_c", F.floor(F.col("_n") / size)).withColumn("_j", F.pmod(F.col("_n"), F.lit(size)))
+    # the state before the first value is that value, or ``initial``
+    weight = F.lit(alpha) if initial is not None else F.when(F.col("_n") == 0, 1.0).otherwise(alpha)
+    # inside a chunk: weights are taken from its first row on, at most (1 - alpha) ** -size = 1e6
+    d = d.withColumn("_x", weight * F.col(value) * F.pow(F.lit(keep), -F.col("_j")))
+    chunk = Window.partitionBy(*by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_own", F.when(valid, F.sum("_x").over(chunk) * F.pow(F.lit(keep), F.col("_j"))))
+    ends = d.where(valid).groupBy(*by, "_c").agg(F.max_by("_own", "_j").alias("_e"))
+    before, q = Window.partitionBy(*by).orderBy("_c"), keep**size
+    carry = sum(F.coalesce(F.lag("_e", k).over(before), F.lit(0.0)) * q ** (k - 1) for k in range(1, 5))
+    start = carry + (F.pow(F.lit(q), F.col("_c")) * initial if initial is not None else F.lit(0.0))
+    carries = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_c").alias("_kc"), start.alias("_start"))
+    on = F.col("_c") == F.col("_kc")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    d = d.join(carries, on, "left")
+    return d.withColumn(out, F.when(valid, F.col("_own") + F.col("_start") * F.pow(F.lit(keep), F.col("_j") + 1))).drop("_n", "_c", "_j", "_x", "_own", "_kc", "_start", *[f"_k{i}" for i in range(len(by))])
+
+
 def median_of(a: Column) -> Column:
     """Mean of the two middle elements of a sorted array."""
     n = F.size(a)

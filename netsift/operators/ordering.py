@@ -9,15 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a position column is cut into: at least so many, and at least the session's shuffle partitions.
 RANGES = 64
 
 
-def ranged(df: DataFrame, pos: str, ranges: int = RANGES) -> DataFrame:
+def _ranges(df: DataFrame) -> int:
+    """Grows with the cluster: who sets thousands of shuffle partitions gets thousands of ranges."""
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _below(bounds: Column, x: Column, most: int) -> Column:
+    """How many of the ascending ``bounds`` (at most ``most``) lie below ``x``: a binary search."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, w: F.when(F.get(bounds, at + w - 1) < x, at + w).otherwise(at))
+
+
+def ranged(df: DataFrame, pos: str, ranges: int | None = None) -> DataFrame:
     """``df`` with ``_range``: the number of bounds below the position (at most ``ranges``)."""
+    ranges = ranges or _ranges(df)
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = df.agg(F.coalesce(F.percentile_approx(pos, shares, 10_000), F.array().cast(f"array<{df.schema[pos].dataType.simpleString()}>")).alias("_bounds"))
+    bounds = df.agg(F.coalesce(F.percentile_approx(pos, shares, max(10_000, 4 * ranges)), F.array().cast(f"array<{df.schema[pos].dataType.simpleString()}>")).alias("_bounds"))
     # one row with at most ``ranges`` numbers
-    return df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(pos)))).drop("_bounds")
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_range", _below(F.col("_bounds"), F.col(pos), ranges)).drop("_bounds")
 
 
 def _inside(pos: str) -> Window:
@@ -34,7 +47,7 @@ def neighbours(df: DataFrame, pos: str, before: dict[str, str] | None = None, af
     ends = d.groupBy("_range").agg(*[F.max_by(c, pos).alias(f"_p_{o}") for o, c in before.items()], *[F.min_by(c, pos).alias(f"_n_{o}") for o, c in after.items()])
     w = Window.orderBy("_range")
     carry = ends.select("_range", *[F.lag(f"_p_{o}").over(w).alias(f"_p_{o}") for o in before], *[F.lead(f"_n_{o}").over(w).alias(f"_n_{o}") for o in after])
-    d = d.join(F.broadcast(carry), "_range")  # at most RANGES rows
+    d = d.join(F.broadcast(carry), "_range")  # one row for each range
     inside = _inside(pos)
     first, last = F.row_number().over(inside) == 1, F.lead(F.lit(1)).over(inside).isNull()
     for o, c in before.items():

@@ -92,6 +92,40 @@ def test_threshold_at_fpr_above_all_scores(spark):
     assert (r.threshold, r.recall, r.satisfiable) == (1.9, 0.0, False)
 
 
+def test_a_budget_at_which_nothing_is_found_is_not_satisfiable(spark):
+    d = spark.createDataFrame([(0, 0.9)] + [(0, 0.1)] * 199 + [(1, 0.5)], "y int, s double")
+    r = evaluate.threshold_at_fpr(evaluate.roc_points(d, "y", "s").where("threshold > 0.5"), [0.01]).first()
+    assert (r.recall, r.satisfiable) == (0.0, False)
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.02])
+@pytest.mark.parametrize("initial", [None, 7.0])
+def test_ewma_of_small_alpha(spark, monkeypatch, alpha, initial):
+    monkeypatch.setattr(entropy, "FOLDED", 10)
+    r = random.Random(6)
+    xs = [None if r.random() < 0.1 else r.gauss(3, 1) for _ in range(9000 if alpha > 0.01 else 3000)]
+    d = spark.createDataFrame([("s", i, x) for i, x in enumerate(xs)], "k string, i int, x double")
+    got, s = [x.ewma for x in entropy.ewma(d, ["k"], "i", "x", alpha, initial=initial).orderBy("i").collect()], initial
+    for x, g in zip(xs, got):
+        if x is None:
+            assert g is None
+            continue
+        s = x if s is None else alpha * x + (1 - alpha) * s
+        assert math.isclose(s, g, rel_tol=1e-9)
+
+
+def test_windows_inside_intervals_against_brute_force(spark):
+    r = random.Random(8)
+    wins = [(i, s := i * 10, s + 10) for i in range(60)]
+    spans = [(s := r.randint(0, 600), s + r.randint(0, 80), r.choice([0, 1]), r.choice(["a", "b"])) for _ in range(25)]
+    w = spark.createDataFrame(wins, "win long, start_us long, end_us long")
+    t = spark.createDataFrame(spans, "label_start_us long, label_end_us long, label int, family string")
+    got = {x.win: (x.label, x.family) for x in labels.contained(w, t, 37).collect()}
+    for i, s, e in wins:
+        m = sorted((a, y, f) for a, b, y, f in spans if a <= s and e <= b)
+        assert got[i] == (m[0][1:] if m else (None, None))
+
+
 def test_interval_join_against_brute_force(spark):
     r = random.Random(2)
     packets = [(i, r.randint(0, 1000), r.randint(0, 3)) for i in range(300)]
