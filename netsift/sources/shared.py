@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; only where the session names none, a local folder of our own."""
+    """A new path under spark.checkpoint.dir; only a local master that names none gets a folder of our own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-netsift-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/netsift/{uuid.uuid4().hex}/{tag}"
