@@ -166,3 +166,26 @@ def consistency(counts: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     again = rates(counts.select("tp", "fp", "fn", "tn", *[F.col(c).alias(f"_{c}") for c in ("precision", "recall", "fpr")]), "zero")
     off = [F.abs(F.col(c) - F.col(f"_{c}")) for c in ("precision", "recall", "fpr")]
     return again.withColumn("deviation", F.greatest(*off)).withColumn("consistent", F.col("deviation") <= tolerance)
+
+
+def measurements(df: DataFrame, by: list[str], y: str, pred: str, latency_ms: str, family: str, unseen: str | None = None) -> DataFrame:
+    """(by, metric, value, reason) for each group in one pass; a metric without a value says why.
+
+    Rates of the attack class and of both classes, mean and 95th percentile of the latency, and the recall
+    of the attack family ``unseen`` in training (None: not such a scenario). Rows without label or
+    prediction count for the latency alone.
+    """
+    t, p = F.col(y), F.col(pred)
+    cell = lambda a, b: F.count_if((t == a) & (p == b))
+    held = (t == 1) & (F.col(family) == F.lit(unseen)) & p.isNotNull()
+    g = df.groupBy(*by).agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(1, 0).alias("fn"), cell(0, 0).alias("tn"), F.avg(latency_ms).alias("mean"), F.percentile(latency_ms, 0.95).alias("p95"), F.count_if(held).alias("held"), F.count_if(held & (p == 1)).alias("caught"))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    rows = [
+        ("precision", ratio(tp, tp + fp), "no positive predictions"), ("recall", ratio(tp, tp + fn), "no positive labels"), ("f1", ratio(2 * tp, 2 * tp + fp + fn), "no positive labels or predictions"),
+        ("false_positive_rate", ratio(fp, fp + tn), "no negative labels"), ("latency_ms", F.col("mean"), "no latency"), ("latency_p95_ms", F.col("p95"), "no latency"),
+        ("unseen_recall", ratio(F.col("caught"), F.col("held")), "no attacks of the held-out family") if unseen is not None else ("unseen_recall", F.lit(None), "no family is held out"),
+        ("attack_precision", ratio(tp, tp + fp), "no positive predictions"), ("attack_recall", ratio(tp, tp + fn), "no positive labels"), ("attack_f1", ratio(2 * tp, 2 * tp + fp + fn), "no positive labels or predictions"),
+        ("benign_precision", ratio(tn, tn + fn), "no negative predictions"), ("benign_recall", ratio(tn, tn + fp), "no negative labels"), ("benign_f1", ratio(2 * tn, 2 * tn + fp + fn), "no negative labels or predictions"),
+    ]
+    each = [F.struct(F.lit(n).alias("metric"), x.cast("double").alias("value"), F.when(x.isNull(), why).alias("reason")) for n, x, why in rows]
+    return g.select(*by, F.inline(F.array(*each)))

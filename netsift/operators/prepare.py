@@ -81,13 +81,36 @@ def schema_report(df: DataFrame, required: list[str], features: list[str], label
     return fixed.unionByName(nulls).unionByName(by)
 
 
-def feature_decisions(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row for each column: keep or drop, share missing, distinct values. One pass."""
+def carrier(proto: Column, packets: Column, port: Column, most: int = 5) -> Column:
+    """Whether a flow is TCP of at most ``most`` packets without a destination port; null counts as not."""
+    return F.coalesce((F.lower(F.trim(proto)) == "tcp") & (packets <= most) & port.isNull(), F.lit(False))
+
+
+def resolved_ports(df: DataFrame, key: str, port: str, proofs: DataFrame) -> DataFrame:
+    """The port, or where it is null the one that ``proofs`` (key, proven) shows; proofs that contradict each other or the port raise."""
+    p = proofs.groupBy(key).agg(F.min("proven").alias("_lo"), F.max("proven").alias("_hi"))
+    bad = (F.col("_lo") != F.col("_hi")) | (F.col(port) != F.col("_lo"))
+    value = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit("contradicting ports of "), F.col(key).cast("string"))).cast("string")).otherwise(F.coalesce(port, "_lo"))
+    return df.join(p, key, "left").withColumn("port", value).drop("_lo", "_hi")
+
+
+def binary_inputs(df: DataFrame, by: list[str], y: str, score: str) -> DataFrame:
+    """Rows, null labels, labels other than 0 and 1, and labels without a score (or the reverse) by group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y).isNull()).alias("null_labels"), F.count_if(~F.col(y).isin(0, 1)).alias("not_binary"), F.count_if(F.col(y).isNull() != F.col(score).isNull()).alias("unpaired"))
+
+
+def feature_decisions(df: DataFrame, features: list[str], categorical: list[str] = (), roles: dict[str, str] | None = None) -> DataFrame:
+    """One row for each column: keep or drop, role, share missing, distinct values. One pass.
+
+    A kept column is a categorical or numeric feature; any other has the role that ``roles`` gives it
+    (target, target_metadata, identifier, excluded), else unused.
+    """
     cols = df.columns
     a = df.agg(F.count(F.lit(1)).alias("_n"), *[F.struct(F.count(c).alias("some"), F.count_distinct(c).alias("values")).alias(c) for c in cols])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.some").alias("some"), F.col(f"{c}.values").alias("values"), F.lit(c in features).alias("kept")) for c in cols])).alias("x")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.some").alias("some"), F.col(f"{c}.values").alias("values"), F.lit(c in features).alias("kept"), F.lit("categorical_feature" if c in categorical else "numeric_feature").alias("as_feature"), F.lit((roles or {}).get(c, "unused")).alias("as_other")) for c in cols])).alias("x")
     d = a.select("_n", each).select("_n", "x.*")
-    return d.select("column", F.when(F.col("kept") & (F.col("values") > 1), "KEEP").otherwise("DROP").alias("decision"), (100.0 * (F.col("_n") - F.col("some")) / F.col("_n")).alias("missing_pct"), "values")
+    keep = F.col("kept") & (F.col("values") > 1)
+    return d.select("column", F.when(keep, "KEEP").otherwise("DROP").alias("decision"), F.when(keep, F.col("as_feature")).otherwise(F.col("as_other")).alias("role"), (100.0 * (F.col("_n") - F.col("some")) / F.col("_n")).alias("missing_pct"), "values")
 
 
 def data_audit(df: DataFrame, label: str) -> DataFrame:
@@ -115,7 +138,7 @@ def fitted(train: DataFrame, columns: list[str]) -> DataFrame:
     d = train.crossJoin(F.broadcast(m)).select(*[F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")).alias(c) for c in columns])  # one row
     g = d.agg(*[((F.skewness(c) > 2) & (F.min(c) >= 0)).alias(f"{c}_log") for c in columns])
     e = d.crossJoin(F.broadcast(g)).select(*[F.when(F.coalesce(f"{c}_log", F.lit(False)), F.log1p(c)).otherwise(F.col(c)).alias(c) for c in columns])
-    s = e.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_sd"))])
+    s = e.agg(F.count(F.lit(1)).alias("fitted_rows"), *[x for c in columns for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"{c}_sd"))])
     return m.crossJoin(g).crossJoin(s)  # one row each
 
 
@@ -126,13 +149,45 @@ def transformed(df: DataFrame, parameters: DataFrame, columns: list[str]) -> Dat
     return d.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
-def one_hot(df: DataFrame, train: DataFrame, column: str) -> DataFrame:
+def leakage_audit(prepared: DataFrame, parameters: DataFrame, features: list[str], split: str, y: str, target: list[str], metadata: list[str], identifiers: list[str], dropped: list[str]) -> DataFrame:
+    """(check, passed, amount): ten checks of a prepared table; ``parameters`` is what ``fitted`` gave.
+
+    A forbidden column survives under its own name or as a prefix of a feature; amount is how many do, rows
+    that the fit saw beyond the training rows, rows that aren't finite, the spread of the share of positives
+    in percentage points (null without a split), features named twice, rows whose vector stands in another
+    split (counted, never a failure), and indicators of missing values.
+    """
+    alive = lambda names: sum(any(f == c or f.startswith(f"{c}_") for f in features) for c in names)
+    named = {
+        "target_excluded": alive(target), "metadata_excluded": alive(metadata), "identifiers_excluded": alive(identifiers), "dropped_absent": alive(dropped),
+        "deterministic_feature_order": len(features) - len(set(features)), "no_missingness_indicators": sum("missing" in f.lower() for f in features),
+    }
+    fixed = prepared.sparkSession.createDataFrame([(k, n == 0, float(n)) for k, n in named.items()], "check string, passed boolean, amount double")
+    finite = F.lit(True)
+    for c in dict.fromkeys(features):
+        finite = finite & F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    by = prepared.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite).alias("bad"), (100.0 * F.avg(y)).alias("share"))
+    a = by.agg(F.sum(F.when(F.col(split) == "train", F.col("n")).otherwise(0)).alias("train"), F.sum("bad").alias("bad"), (F.max("share") - F.min("share")).alias("spread"))
+    v = prepared.groupBy(*dict.fromkeys(features)).agg(F.count(F.lit(1)).alias("n"), (F.min(split) != F.max(split)).alias("both")).agg(F.coalesce(F.sum(F.when(F.col("both"), F.col("n")).otherwise(0)), F.lit(0)).alias("shared"))
+    one = a.crossJoin(v).crossJoin(parameters.select("fitted_rows"))  # one row each
+    row = lambda k, passed, amount: F.struct(F.lit(k).alias("check"), passed.alias("passed"), amount.cast("double").alias("amount"))
+    beyond = F.col("fitted_rows") - F.coalesce("train", F.lit(0))
+    checks = [
+        row("fitted_on_train_only", beyond == 0, beyond), row("finite", F.coalesce("bad", F.lit(0)) == 0, F.coalesce("bad", F.lit(0))),
+        row("class_prior_stable", F.coalesce(F.col("spread") < 1, F.lit(False)), F.col("spread")), row("shared_vectors_counted", F.col("shared").isNotNull(), F.col("shared")),
+    ]
+    return fixed.unionByName(one.select(F.inline(F.array(*checks))))
+
+
+def one_hot(df: DataFrame, train: DataFrame, column: str, most: int = 1000) -> DataFrame:
     """A column for each training category in sorted order; null is a category, unseen ones are all 0.
 
-    The categories come to the driver: they become columns, so their number is small.
+    The categories come to the driver, as they become columns; more than ``most`` raise.
     """
     value = F.coalesce(F.col(column), F.lit(MISSING))
-    names = sorted(r[0] for r in train.select(value.alias("v")).distinct().collect())
+    names = sorted(r[0] for r in train.select(value.alias("v")).distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return df.select("*", *[(value == n).cast("int").alias(f"{column}_{n}") for n in names])
 
 

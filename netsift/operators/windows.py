@@ -56,18 +56,26 @@ def gap_guard(packets: DataFrame, width_us: int, most: int, by: str, order: str)
     return d.withColumn("fault", kind).where("fault IS NOT NULL").drop("_p")
 
 
-def recent_history(windows: DataFrame, horizon_us: int, width_us: int) -> DataFrame:
-    """Context of the last ``horizon_us`` with the window itself: weighted size, rates, share of empty windows.
-
-    Each window is dealt to the windows whose context it belongs to and summed there, so no task holds
-    a whole series. Windows without a gap between them are expected, as ``tumbling`` makes them.
+def recent_history(windows: DataFrame, horizon_us: int) -> DataFrame:
+    """Context of the last ``horizon_us`` up to the end of each window (win, start_us, end_us, ...), itself included.
+
+    A window that the horizon cuts counts by the part inside. Packets, mean size and shares are weighted by
+    packets (0 without any), rates by time, and history_empty is the share of the covered time in windows
+    without packets. The covered time runs from the first part inside to the end, gaps included. Windows
+    may have any bounds, but none is longer than the horizon and none overlap.
+    Both sides meet by time bucket as wide as the horizon, so no task holds a whole series.
     """
-    k = max(1, horizon_us // width_us)
-    d = windows.select("win", "packets", "packets_per_second", "mean_packet_size", "empty_window", F.explode(F.sequence("win", F.col("win") + (k - 1))).alias("at"))
-    p = F.sum("packets")
-    h = d.groupBy(F.col("at").alias("win")).agg(
-        p.alias("history_packets"), F.avg("packets_per_second").alias("history_rate"), F.coalesce(F.try_divide(F.sum(F.col("mean_packet_size") * F.col("packets")), p), F.lit(0.0)).alias("history_size"), F.avg("empty_window").alias("history_empty")
-    )
+    bucket = F.floor(F.col("end_us") / horizon_us)
+    shares = [c for c in windows.columns if c.endswith("_fraction")]
+    now = windows.select("win", F.col("end_us").alias("_at"), bucket.alias("_b"))
+    past = windows.select("start_us", "end_us", "packets", "packets_per_second", "bytes_per_second", "mean_packet_size", *shares, F.explode(F.array(bucket, bucket + 1)).alias("_b"))
+    d = now.join(past, "_b").where((F.col("end_us") <= F.col("_at")) & (F.col("end_us") > F.col("_at") - horizon_us))
+    d = d.withColumn("_from", F.greatest("start_us", F.col("_at") - horizon_us)).withColumn("_us", F.col("end_us") - F.col("_from"))
+    n = F.col("packets") * F.col("_us") / (F.col("end_us") - F.col("start_us"))
+    span, count = F.max("_at") - F.min("_from"), F.sum(n)
+    rate = lambda c: (F.sum(F.col(c) * F.col("_us")) / span).alias(f"history_{c}")
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * n), count), F.lit(0.0)).alias(f"history_{c}")
+    h = d.groupBy("win").agg(count.alias("history_packets"), rate("packets_per_second"), rate("bytes_per_second"), mean("mean_packet_size"), *[mean(c) for c in shares], (F.sum(F.when(F.col("packets") == 0, F.col("_us")).otherwise(0)) / span).alias("history_empty"))
     return windows.join(h, "win")
 
 

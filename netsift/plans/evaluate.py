@@ -39,18 +39,21 @@ def eval_rates_zero(v: Views) -> DataFrame:
     return evaluate.rates(evaluate.confusion(_pred(v), "y_true", "pred", ["run_id"]), "zero")
 
 
-@query("eval_measurements", "predictions", """, d AS (SELECT run_id, (available_us - observed_us) / 1000::DOUBLE AS delay_ms FROM predictions)
-SELECT run_id, 'delay_ms' AS metric, avg(delay_ms) AS mean, quantile_cont(delay_ms, 0.95) AS p95, 'available' AS status FROM d GROUP BY run_id
-UNION ALL SELECT run_id, 'recall', tp::DOUBLE / nullif(tp + fn, 0), NULL, CASE WHEN tp + fn > 0 THEN 'available' ELSE 'no positive label' END FROM cm
-UNION ALL SELECT run_id, 'precision', tp::DOUBLE / nullif(tp + fp, 0), NULL, CASE WHEN tp + fp > 0 THEN 'available' ELSE 'no alarm' END FROM cm""", CM)
+_POS, _NEG = ("tp::DOUBLE / nullif(tp + fp, 0)", "tp::DOUBLE / nullif(tp + fn, 0)", "2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0)"), ("tn::DOUBLE / nullif(tn + fn, 0)", "tn::DOUBLE / nullif(tn + fp, 0)", "2.0::DOUBLE * tn / nullif(2 * tn + fp + fn, 0)")
+_METRICS = [
+    ("precision", _POS[0], "no positive predictions"), ("recall", _POS[1], "no positive labels"), ("f1", _POS[2], "no positive labels or predictions"), ("false_positive_rate", "fp::DOUBLE / nullif(fp + tn, 0)", "no negative labels"),
+    ("latency_ms", "mean", "no latency"), ("latency_p95_ms", "p95", "no latency"), ("unseen_recall", "caught::DOUBLE / nullif(held, 0)", "no attacks of the held-out family"),
+    ("attack_precision", _POS[0], "no positive predictions"), ("attack_recall", _POS[1], "no positive labels"), ("attack_f1", _POS[2], "no positive labels or predictions"),
+    ("benign_precision", _NEG[0], "no negative predictions"), ("benign_recall", _NEG[1], "no negative labels"), ("benign_f1", _NEG[2], "no negative labels or predictions"),
+]
+
+
+@query("eval_measurements", "predictions", """, me AS (SELECT run_id, avg((available_us - observed_us) / 1000::DOUBLE) AS mean, quantile_cont((available_us - observed_us) / 1000::DOUBLE, 0.95) AS p95, count(*) FILTER (WHERE y_true = 1 AND idx % 7 = 0) AS held, count(*) FILTER (WHERE y_true = 1 AND idx % 7 = 0 AND score >= 0.5) AS caught FROM predictions GROUP BY run_id), al AS (SELECT * FROM me JOIN cm USING (run_id))
+""" + " UNION ALL ".join(f"SELECT run_id, '{n}' AS metric, {x} AS value, CASE WHEN {x} IS NULL THEN '{why}' END AS reason FROM al" for n, x, why in _METRICS), CM)
 def eval_measurements(v: Views) -> DataFrame:
-    d = v.predictions.withColumn("delay_ms", (F.col("available_us") - F.col("observed_us")) / 1000)
-    delay = d.groupBy("run_id").agg(F.lit("delay_ms").alias("metric"), F.avg("delay_ms").alias("mean"), F.percentile("delay_ms", 0.95).alias("p95"), F.lit("available").alias("status"))
-    c = evaluate.rates(evaluate.confusion(_pred(v), "y_true", "pred", ["run_id"]))
-    for name, reason in (("recall", "no positive label"), ("precision", "no alarm")):
-        one = c.select("run_id", F.lit(name).alias("metric"), F.col(name).alias("mean"), F.lit(None).cast("double").alias("p95"), F.when(F.col(name).isNull(), reason).otherwise("available").alias("status"))
-        delay = delay.unionByName(one)
-    return delay
+    """Every seventh row stands for the family held out."""
+    d = _pred(v).withColumn("latency", (F.col("available_us") - F.col("observed_us")) / 1000).withColumn("family", F.when(F.col("idx") % 7 == 0, "SYNFlood").otherwise("UDPFlood"))
+    return evaluate.measurements(d, ["run_id"], "y_true", "pred", "latency", "family", "SYNFlood")
 
 
 @query("eval_roc_auc", "predictions", "SELECT sum(neg * (tp - pos) * 2 + pos * neg)::DOUBLE / nullif(2 * any_value(p) * any_value(n), 0) AS roc_auc FROM cu", STEPS)

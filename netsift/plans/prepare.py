@@ -65,7 +65,7 @@ def proj_flow_key(v: Views) -> DataFrame:
 
 @query("proj_carrier_mask", "flows", "SELECT pos FROM flows WHERE proto = 'tcp' AND tot_pkts <= 5 AND dport IS NULL")
 def proj_carrier_mask(v: Views) -> DataFrame:
-    return v.flows.where((F.col("proto") == "tcp") & (F.col("tot_pkts") <= 5) & F.col("dport").isNull()).select("pos")
+    return v.flows.where(prepare.carrier(F.col("proto"), F.col("tot_pkts"), F.col("dport"))).select("pos")
 
 
 @query("proj_time_of_hour_match", "packets", "SELECT packet_id, packet_id % 3 = 0 AS matches FROM packets")
@@ -78,8 +78,8 @@ def proj_time_of_hour_match(v: Views) -> DataFrame:
 
 @query("proj_port_resolve", "flows", ", proof AS (SELECT DISTINCT pos FROM flows WHERE dport IS NULL AND proto = 'icmp') SELECT f.pos, CASE WHEN f.dport IS NOT NULL THEN f.dport WHEN proof.pos IS NOT NULL THEN '0' END AS port FROM flows f LEFT JOIN proof ON proof.pos = f.pos")
 def proj_port_resolve(v: Views) -> DataFrame:
-    proof = v.flows.where("dport IS NULL AND proto = 'icmp'").select("pos", F.lit(True).alias("ok"))
-    return v.flows.join(proof, "pos", "left").select("pos", F.coalesce("dport", F.when(F.col("ok"), "0")).alias("port"))
+    proof = v.flows.where("dport IS NULL AND proto = 'icmp'").select("pos", F.lit("0").alias("proven"))
+    return prepare.resolved_ports(v.flows, "pos", "dport", proof).select("pos", "port")
 
 
 @query("val_schema", "flows", """SELECT 'error' AS severity, 'missing column absent' AS message, 0 AS n UNION ALL SELECT 'info', 'nulls in dport', count(*) FILTER (WHERE dport IS NULL) FROM flows UNION ALL SELECT 'info', 'nulls in proto', count(*) FILTER (WHERE proto IS NULL) FROM flows UNION ALL SELECT 'info', 'label ' || label, count(*) FROM flows GROUP BY label""")
@@ -92,24 +92,18 @@ def val_dataset(v: Views) -> DataFrame:
     return v.flows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("label").isin("Benign", "Malicious")).alias("unknown_labels"), F.bool_and(F.col("dur").eqNullSafe(F.round("dur", 4))).alias("twin_holds"), F.bool_and(F.col("tot_bytes").eqNullSafe(F.col("tot_pkts"))).alias("twin_broken"))
 
 
-_COLS = ["src_addr", "dport", "proto", "tot_bytes", "label"]
+_COLS = ["src_addr", "dport", "proto", "tot_bytes", "label", "attack_type"]
+_ROLES = dict(zip(_COLS, ["identifier", "numeric_feature", "categorical_feature", "numeric_feature", "target", "target_metadata"]))
 
 
-@query("val_feature_decisions", "flows", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'DROP' if c == 'label' else 'KEEP'}' AS decision, 100.0::DOUBLE * (count(*) - count({c})) / count(*) AS missing_pct, count(DISTINCT {c}) AS \"values\" FROM flows" for c in _COLS))
+@query("val_feature_decisions", "flows", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{'KEEP' if 'feature' in _ROLES[c] else 'DROP'}' AS decision, '{_ROLES[c]}' AS role, 100.0::DOUBLE * (count(*) - count({c})) / count(*) AS missing_pct, count(DISTINCT {c}) AS \"values\" FROM flows" for c in _COLS))
 def val_feature_decisions(v: Views) -> DataFrame:
-    return prepare.feature_decisions(v.flows.select(*_COLS), ["src_addr", "dport", "proto", "tot_bytes"])
+    return prepare.feature_decisions(v.flows.select(*_COLS), ["dport", "proto", "tot_bytes"], ["proto"], {"src_addr": "identifier", "label": "target", "attack_type": "target_metadata"})
 
 
-@query("val_leakage_audit", "flows", ", a AS (SELECT count(*) FILTER (WHERE label = 'Malicious' AND split = 'train')::DOUBLE / count(*) FILTER (WHERE split = 'train') AS p1, count(*) FILTER (WHERE label = 'Malicious' AND split = 'test')::DOUBLE / count(*) FILTER (WHERE split = 'test') AS p2, count(DISTINCT pos) = count(*) AS d FROM sp) SELECT 'priors_within_1pp' AS \"check\", abs(p1 - p2) < 0.01 AS passed FROM a UNION ALL SELECT 'rows_once', d FROM a", _SPLIT)
-def val_leakage_audit(v: Views) -> DataFrame:
-    bad = lambda s: F.count_if((F.col("label") == "Malicious") & (F.col("split") == s)) / F.count_if(F.col("split") == s)
-    a = _split(v).agg((F.abs(bad("train") - bad("test")) < 0.01).alias("priors_within_1pp"), (F.count_distinct("pos") == F.count(F.lit(1))).alias("rows_once"))
-    return a.unpivot([], ["priors_within_1pp", "rows_once"], "check", "passed")
-
-
-@query("val_binary_inputs", "predictions", "SELECT run_id, count(*) AS n, count(*) FILTER (WHERE y_true IS NULL) AS null_labels, count(*) FILTER (WHERE y_true NOT IN (0, 1)) AS not_binary FROM predictions GROUP BY run_id")
+@query("val_binary_inputs", "predictions", "SELECT run_id, count(*) AS n, count(*) FILTER (WHERE y_true IS NULL) AS null_labels, count(*) FILTER (WHERE y_true NOT IN (0, 1)) AS not_binary, count(*) FILTER (WHERE (y_true IS NULL) <> (score IS NULL)) AS unpaired FROM predictions GROUP BY run_id")
 def val_binary_inputs(v: Views) -> DataFrame:
-    return v.predictions.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_true").isNull()).alias("null_labels"), F.count_if(~F.col("y_true").isin(0, 1)).alias("not_binary"))
+    return prepare.binary_inputs(v.predictions, ["run_id"], "y_true", "score")
 
 
 @query("val_data_audit", "flows", ", q AS (SELECT src_addr, dport, proto, label, count(*) AS k FROM flows GROUP BY ALL) SELECT CAST(sum(k) AS BIGINT) AS n_rows, CAST(sum(k - 1) AS BIGINT) AS repeated, CAST(sum(CASE WHEN dport IS NULL THEN k ELSE 0 END) AS BIGINT) AS missing_cells, CAST(sum(CASE WHEN label = 'Malicious' THEN k ELSE 0 END) AS BIGINT) AS malicious FROM q")
@@ -151,6 +145,21 @@ al AS (SELECT pos, split, coalesce(CAST(tot_bytes AS DOUBLE), ma) AS a, coalesce
 tf AS (SELECT pos, split, (CASE WHEN la THEN ln(1 + a) ELSE a END - ea) / sa AS a, (CASE WHEN lb THEN ln(1 + b) ELSE b END - eb) / sb AS b, (CASE WHEN lc THEN ln(1 + c) ELSE c END - ec) / sc AS c FROM al CROSS JOIN lg CROSS JOIN st)"""
 
 
+_AUDIT = _TRANSFORM + """,
+pv AS (SELECT tf.*, CASE WHEN sp.label = 'Malicious' THEN 1 ELSE 0 END AS y FROM tf JOIN sp ON sp.pos = tf.pos), bs AS (SELECT split, count(*) AS n, 100.0::DOUBLE * avg(y) AS share, count(*) FILTER (WHERE NOT coalesce(isfinite(a) AND isfinite(b) AND isfinite(c), false)) AS bad FROM pv GROUP BY split),
+sv AS (SELECT coalesce(sum(n) FILTER (WHERE k > 1), 0)::DOUBLE AS shared FROM (SELECT count(*) AS n, count(DISTINCT split) AS k FROM pv GROUP BY a, b, c)),
+dt AS (SELECT max(share) - min(share) AS spread, sum(bad)::DOUBLE AS bad, (SELECT count(*) FROM il) - sum(n) FILTER (WHERE split = 'train')::DOUBLE AS beyond FROM bs)"""
+
+
+@query("val_leakage_audit", "flows", "".join(f"SELECT '{k}' AS \"check\", {p} AS passed, {n}::DOUBLE AS amount UNION ALL " for k, p, n in (("target_excluded", "true", 0), ("metadata_excluded", "true", 0), ("identifiers_excluded", "true", 0), ("dropped_absent", "false", 1), ("deterministic_feature_order", "true", 0), ("no_missingness_indicators", "true", 0)))
+       + "SELECT 'fitted_on_train_only', beyond = 0, beyond FROM dt UNION ALL SELECT 'finite', bad = 0, bad FROM dt UNION ALL SELECT 'class_prior_stable', spread < 1, spread FROM dt UNION ALL SELECT 'shared_vectors_counted', true, shared FROM sv", _AUDIT)
+def val_leakage_audit(v: Views) -> DataFrame:
+    """Column b is named as dropped though it is a feature, so that one check fails."""
+    d = _split(v).select("pos", "split", (F.col("label") == "Malicious").cast("int").alias("y"), F.col("tot_bytes").cast("double").alias("a"), F.col("dur").alias("b"), F.col("dport").cast("double").alias("c"))
+    p = prepare.fitted(d.where("split = 'train'"), ["a", "b", "c"])
+    return prepare.leakage_audit(prepare.transformed(d, p, ["a", "b", "c"]), p, ["a", "b", "c"], "split", "y", ["label"], ["attack_type"], ["src_addr"], ["b"])
+
+
 @query("ml_standardise", "flows", "SELECT pos, split, a, b, c FROM tf", _TRANSFORM)
 def ml_standardise(v: Views) -> DataFrame:
     d, p = _numbers(v)

@@ -30,11 +30,13 @@ def str_watermark(v: Views) -> DataFrame:
     return windows.drained(windows.tumbling(_packets(v), "1 hour", "2 days"), "watermark")
 
 
-@query("str_label_reveal", "", "SELECT a.event_id, b.event_id AS label_id, b.value > 30 AS label FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) AND epoch_us(a.ts) + 7200000000 WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1")
+@query("str_label_reveal", "", """WITH m AS (SELECT a.event_id, b.event_id AS label_id, b.value > 30 AS label FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) AND epoch_us(a.ts) + 7200000000 WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1),
+w AS (SELECT least(max(epoch_us(ts)) FILTER (WHERE event_id % 2 = 0), max(epoch_us(ts)) FILTER (WHERE event_id % 2 = 1)) // 1000 * 1000 - 60000000 AS mark FROM events)
+SELECT * FROM m UNION ALL SELECT event_id, NULL, NULL FROM events CROSS JOIN w WHERE event_id % 2 = 0 AND epoch_us(ts) <= mark - 7200000000 AND event_id NOT IN (SELECT event_id FROM m)""")
 def str_label_reveal(v: Views) -> DataFrame:
     p = _packets(v).where("event_id % 2 = 0").select("event_id", F.col("user_id").alias("p_key"), F.col("ts").alias("predicted_at"))
     t = _packets(v).where("event_id % 2 = 1").select(F.col("event_id").alias("label_id"), F.col("user_id").alias("t_key"), F.col("ts").alias("revealed_at"), (F.col("value") > 30).alias("label"))
-    return windows.drained(windows.reveal(p, t, "1 minute", "2 hours").where("label_id > event_id").select("event_id", "label_id", "label"), "reveal")
+    return windows.drained(windows.reveal(p, t, "1 minute", "2 hours", F.col("label_id") > F.col("event_id")).select("event_id", "label_id", "label"), "reveal")
 
 
 @query("str_count_window", "", """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), g AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM r)
@@ -59,9 +61,6 @@ def str_late_strict(v: Views) -> DataFrame:
 
 @query("str_progress_metrics", "packets", "SELECT count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, max(epoch_us) AS latest_us FROM packets")
 def str_progress_metrics(v: Views) -> DataFrame:
-    """Running totals of a stream, as its observed metrics would report them, from a complete-mode aggregate."""
-    s = _packets(v).agg(F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.max(F.unix_micros("ts")).alias("latest_us"))
-    name = "progress_" + v.sf_dir.strip("/").replace("/", "_").replace(".", "_").replace(":", "_")
-    q = s.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()  # one row
-    return v.spark.table(name)
+    """Totals over the metrics that the stream's batches report."""
+    b = windows.observed(_packets(v), packets=F.count(F.lit(1)), bytes=F.sum("length"), latest_us=F.max(F.unix_micros("ts")))
+    return b.agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"), F.max("latest_us").alias("latest_us"))

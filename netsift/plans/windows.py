@@ -49,11 +49,16 @@ def win_gap_guard(v: Views) -> DataFrame:
     return windows.gap_guard(v.packets, HOUR, 20, "flow_key", "packet_id").select("packet_id", "epoch_us", "fault")
 
 
-@query("win_recent_history", "packets", f"""SELECT win, CAST(sum(packets) OVER w AS BIGINT) AS history_packets, avg(packets_per_second) OVER w AS history_rate, coalesce(sum(mean_packet_size * packets) OVER w / nullif(sum(packets) OVER w, 0), 0) AS history_size, sum(empty_window) OVER w / (count(*) OVER w) AS history_empty
-FROM tw WINDOW w AS (ORDER BY start_us RANGE BETWEEN {4 * WIN} PRECEDING AND CURRENT ROW)""", TUMBLE)
+_MEANS = ["mean_packet_size", "udp_fraction", "tcp_fraction", "icmp_fraction", "syn_fraction"]
+
+
+@query("win_recent_history", "packets", f""", pc AS (SELECT a.win, a.start_us + {WIN} AS tick, b.* EXCLUDE (win), greatest(b.start_us, a.start_us + {WIN} - {9 * WIN // 2}) AS since FROM tw a JOIN tw b ON b.start_us <= a.start_us AND b.start_us > a.start_us - {9 * WIN // 2}),
+pd AS (SELECT *, start_us + {WIN} - since AS us, packets * (start_us + {WIN} - since) / {WIN}::DOUBLE AS n FROM pc)
+SELECT win, sum(n) AS history_packets, {", ".join(f"sum({c} * us) / (max(tick) - min(since)) AS history_{c}" for c in ("packets_per_second", "bytes_per_second"))}, {", ".join(f"coalesce(sum({c} * n) / nullif(sum(n), 0), 0) AS history_{c}" for c in _MEANS)},
+CAST(coalesce(sum(us) FILTER (WHERE packets = 0), 0) AS DOUBLE) / (max(tick) - min(since)) AS history_empty FROM pd GROUP BY win""", TUMBLE)
 def win_recent_history(v: Views) -> DataFrame:
-    d = windows.recent_history(windows.tumbling(v.packets, WIN), 5 * WIN, WIN)
-    return d.select("win", "history_packets", "history_rate", "history_size", "history_empty")
+    t = windows.tumbling(v.packets, WIN).withColumn("end_us", F.col("start_us") + WIN)
+    return windows.recent_history(t, 9 * WIN // 2).select("win", "history_packets", "history_packets_per_second", "history_bytes_per_second", *[f"history_{c}" for c in _MEANS], "history_empty")
 
 
 @query("win_empty_streak", "packets", """, g AS (SELECT *, sum(1 - empty_window) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING) AS g FROM tw) SELECT win, CAST(sum(empty_window) OVER (PARTITION BY g ORDER BY win) AS BIGINT) AS streak FROM g""", TUMBLE.replace(str(WIN), str(HOUR // 6)))

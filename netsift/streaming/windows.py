@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -33,12 +33,16 @@ def tumbling(packets: DataFrame, width: str, delay: str, at: str = "ts") -> Data
     return w.agg(F.count(F.lit(1)).alias("packets"), F.sum("length").alias("bytes"), F.count_if("syn").alias("syn")).select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "packets", "bytes", "syn")
 
 
-def reveal(predictions: DataFrame, truth: DataFrame, delay: str, wait: str) -> DataFrame:
-    """Predictions joined to labels that come later: both sides have watermarks, so state is dropped."""
+def reveal(predictions: DataFrame, truth: DataFrame, delay: str, wait: str, more: Column | None = None) -> DataFrame:
+    """Predictions left-joined to labels that come later, by at most ``wait``; ``more`` narrows the match.
+
+    Both sides have watermarks, so state is dropped; a prediction without a label comes out with nulls
+    once the watermark says that none can come any more.
+    """
     p = predictions.withWatermark("predicted_at", delay)
     t = truth.withWatermark("revealed_at", delay)
     cond = (F.col("p_key") == F.col("t_key")) & (F.col("revealed_at") >= F.col("predicted_at")) & (F.col("revealed_at") <= F.col("predicted_at") + F.expr(f"INTERVAL {wait}"))
-    return p.join(t, cond, "inner")
+    return p.join(t, cond if more is None else cond & more, "left_outer")
 
 
 def count_windows(rows: DataFrame, key: str, order: str, value: str, width: int, step: int) -> DataFrame:
@@ -93,6 +97,25 @@ def ewma_mad(rows: DataFrame, key: str, order: str, value: str, alpha: float, hi
     return rows.select(key, order, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at long, ewma double, alarm boolean", "last double, hist array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def observed(stream: DataFrame, **metrics: Column) -> DataFrame:
+    """Metrics of each micro-batch of a stream run over what is there now, as its progress reports them; one row a batch with rows.
+
+    The rows go nowhere: ``observe`` counts them as they pass. The progress of every batch is kept for the run.
+    """
+    spark = stream.sparkSession
+    keep = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(keep)
+    spark.conf.set(keep, str(2**31 - 1))  # read when the query starts
+    try:
+        q = stream.observe("passed", F.count(F.lit(1)).alias("_n"), *[x.alias(k) for k, x in metrics.items()]).writeStream.format("noop").option("checkpointLocation", shared_path(spark, "observed")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen = [(p.batchId, r) for p in q.recentProgress if (r := p.observedMetrics.get("passed")) is not None and r["_n"]]
+    finally:
+        spark.conf.set(keep, before)
+    schema = "batch long, " + ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(metrics, stream.sparkSession.createDataFrame([], stream.schema).agg(*[x.alias(k) for k, x in metrics.items()]).schema))
+    return spark.createDataFrame([(b, *[r[k] for k in metrics]) for b, r in seen], schema)
+
+
 def late_rows(packets: DataFrame, width: str, delay: str, at: str, tag: str, strict: bool = False) -> tuple[DataFrame, int]:
     """Windows of the stream and the number of rows that came behind the watermark; ``strict`` raises on any."""
     spark = packets.sparkSession

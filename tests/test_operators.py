@@ -225,3 +225,60 @@ def test_tumbling_has_empty_windows(spark):
     d = spark.createDataFrame([(0, 100, 17, False, 1), (10, 50, 6, True, 2), (35, 60, 6, False, 1)], "epoch_us long, length int, protocol int, syn boolean, sample_rate int")
     got = [(r.win, r.packets, r.empty_window, r.tcp_fraction) for r in windows.tumbling(d, 10).orderBy("win").collect()]
     assert got == [(0, 1, 0, 0.0), (1, 1, 0, 1.0), (2, 0, 1, 0.0), (3, 1, 0, 1.0)]
+
+
+def test_recent_history_cuts_windows_at_the_horizon(spark):
+    """Windows of different widths with a gap, against a loop over all pairs."""
+    names = ["packets_per_second", "bytes_per_second", "mean_packet_size", "udp_fraction"]
+    data = [(0, 0, 10, 4, 4.0, 40.0, 10.0, 0.5), (1, 10, 14, 0, 0.0, 0.0, 0.0, 0.0), (2, 14, 24, 2, 2.0, 90.0, 45.0, 1.0), (3, 90, 100, 0, 0.0, 0.0, 0.0, 0.0), (4, 100, 107, 7, 10.0, 20.0, 2.0, 0.0)]
+    d = spark.createDataFrame(data, "win long, start_us long, end_us long, packets long, " + ", ".join(f"{n} double" for n in names))
+    horizon, want = 15, {}
+    for win, _, at, *_ in data:
+        inside = [(max(s, at - horizon), s, e, n, f) for _, s, e, n, *f in data if at - horizon < e <= at]
+        span, parts = at - min(x[0] for x in inside), [n * (e - c) / (e - s) for c, s, e, n, _ in inside]
+        total = sum(parts)
+        by_time = [sum(f[k] * (e - c) for c, _, e, _, f in inside) / span for k in (0, 1)]
+        by_packet = [sum(f[k] * w for (*_, f), w in zip(inside, parts)) / total if total else 0.0 for k in (2, 3)]
+        want[win] = [total, *by_time, *by_packet, sum(e - c for c, _, e, n, _ in inside if n == 0) / span]
+    for r in windows.recent_history(d, horizon).collect():
+        assert [r["history_packets"], *[r[f"history_{n}"] for n in names], r["history_empty"]] == pytest.approx(want.pop(r.win))
+    assert not want
+
+
+def test_measurements_say_why_they_are_missing(spark):
+    d = spark.createDataFrame([("a", 1, 1, 2.0, "S"), ("a", 1, 0, 4.0, "U"), ("a", 0, None, None, "S"), ("b", 0, 0, None, None), ("b", None, 1, None, "S")], "g string, y int, p int, ms double, f string")
+    got = {(r.g, r.metric): (r.value, r.reason) for r in evaluate.measurements(d, ["g"], "y", "p", "ms", "f", "S").collect()}
+    assert got["a", "recall"] == (0.5, None) and got["a", "unseen_recall"] == (1.0, None) and got["a", "latency_ms"] == (3.0, None)
+    assert got["a", "benign_recall"] == (None, "no negative labels") and got["b", "precision"] == (None, "no positive predictions")
+    assert got["b", "unseen_recall"] == (None, "no attacks of the held-out family") and got["b", "latency_p95_ms"] == (None, "no latency")
+    none = evaluate.measurements(d, ["g"], "y", "p", "ms", "f").where("metric = 'unseen_recall'").collect()
+    assert all(r.value is None and r.reason == "no family is held out" for r in none)
+
+
+def test_ports_proven_twice_raise(spark):
+    d = spark.createDataFrame([(1, None), (2, "53"), (3, None)], "k int, port string")
+    proof = lambda *x: spark.createDataFrame(list(x), "k int, proven string")
+    got = prepare.resolved_ports(d, "k", "port", proof((1, "80"), (1, "80"), (2, "53"))).collect()
+    assert {r.k: r.port for r in got} == {1: "80", 2: "53", 3: None}
+    for wrong in (proof((1, "80"), (1, "81")), proof((2, "80"))):
+        with pytest.raises(Exception, match="contradicting ports"):
+            prepare.resolved_ports(d, "k", "port", wrong).collect()
+
+
+def test_leakage_audit_finds_each_fault(spark):
+    schema = "split string, y int, a double, label_x double"
+    good = spark.createDataFrame([("train", 1, 1.0, 1.0), ("train", 0, 2.0, 1.0), ("test", 1, 1.0, 1.0), ("test", 0, 3.0, 1.0)], schema)
+    audit = lambda d, fit, fs: {r.check: (r.passed, r.amount) for r in prepare.leakage_audit(d, prepare.fitted(fit, ["a"]), fs, "split", "y", ["label"], ["tool"], ["ip"], []).collect()}
+    ok = audit(good, good.where("split = 'train'"), ["a"])
+    assert len(ok) == 10 and all(p for p, _ in ok.values()) and ok["shared_vectors_counted"] == (True, 2.0)
+    bad = audit(good.unionByName(spark.createDataFrame([("test", 1, float("nan"), None), ("test", 1, None, 0.0)], schema)), good, ["a", "label_x", "a"])
+    assert {c for c, (p, _) in bad.items() if not p} == {"target_excluded", "fitted_on_train_only", "finite", "class_prior_stable", "deterministic_feature_order"}
+    empty = audit(good.limit(0), good.limit(0), ["a"])
+    assert {c for c, (p, _) in empty.items() if not p} == {"class_prior_stable"}
+
+
+def test_categories_beyond_the_bound_raise(spark):
+    d = spark.createDataFrame([("x",), ("y",), (None,)], "c string")
+    assert prepare.one_hot(d, d, "c", most=3).columns == ["c", "c___missing__", "c_x", "c_y"]
+    with pytest.raises(ValueError):
+        prepare.one_hot(d, d, "c", most=2)
