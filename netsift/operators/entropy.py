@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 MAD_SCALE = 1.4826
 
 
@@ -19,23 +21,21 @@ def window_spine(df: DataFrame, width: int, step: int, session: str = "session_i
     if width < 1 or step < 1:
         raise ValueError("width and step must be positive")
     n = df.groupBy(session).agg(F.count(F.lit(1)).alias("n"))
-    s = n.select(session, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("p"))
-    s = s.where((F.col("p") == 0) | (F.col("p") + width - step <= F.col("n")))
+    last = F.least(F.col("n") - 1, F.col("n") - width + step)  # start of the last window, if there are several
+    windows = F.greatest(F.floor(last / step), F.lit(0)) + 1
     if not keep_partial:
-        s = s.where(F.col("p") + width <= F.col("n"))
-    per = s.groupBy(session).agg(F.count(F.lit(1)).alias("_w"))
-    before = per.select(session, (F.sum("_w").over(Window.orderBy(session)) - F.col("_w")).alias("_before"))
-    first = n.select(session, (F.sum("n").over(Window.orderBy(session)) - F.col("n")).alias("_first"))
-    s = s.join(before, session).join(first, session)
-    number = F.row_number().over(Window.partitionBy(session).orderBy("p")) - 1 + F.col("_before")
+        windows = F.when(F.col("n") >= width, F.least(windows, F.floor((F.col("n") - width) / step) + 1)).otherwise(0)
+    # sessions are numbers: their sums are carried by range
+    s = ordering.running_sums(n, session, {"_first": F.col("n"), "_before": windows.cast("long")}, inclusive=False)
+    s = s.withColumn("_w", windows.cast("long")).where("_w > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_w") - 1)).alias("_k"))
+    s = s.withColumn("p", F.col("_k") * step)
     end = F.least(F.col("p") + width, F.col("n"))
-    return s.select(session, "p", number.cast("long").alias("window_id"), (F.col("p") + F.col("_first")).alias("start_idx"), (end + F.col("_first")).alias("end_idx"), (F.col("p") + width <= F.col("n")).alias("is_complete"))
+    return s.select(session, "p", (F.col("_k") + F.col("_before")).cast("long").alias("window_id"), (F.col("p") + F.col("_first")).alias("start_idx"), (end + F.col("_first")).alias("end_idx"), (F.col("p") + width <= F.col("n")).alias("is_complete"))
 
 
 def row_windows(df: DataFrame, width: int, step: int, session: str = "session_id", pos: str = "pos") -> DataFrame:
     """Rows with the start ``p`` of every window that holds them (a row is in width / step windows)."""
-    w = Window.partitionBy(session)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(pos)).cast("long") - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    d = ordering.numbered(df, [session], [pos], "_r", "_n")
     lo = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_r") - width + 1) / step))
     d = d.withColumn("_lo", lo).withColumn("_hi", F.floor(F.col("_r") / step)).where("_lo <= _hi")
     d = d.withColumn("_w", F.explode(F.sequence("_lo", "_hi"))).withColumn("p", F.col("_w") * step).drop("_w")
@@ -58,14 +58,11 @@ def window_entropy(df: DataFrame, features: list[str], width: int, step: int, se
     not rows, are dealt to windows.
     """
     long = "stack({}, {}) AS (feature, v)".format(len(features), ", ".join(f"'{f}', CAST(`{f}` AS STRING)" for f in features))
-    n = df.groupBy(session).agg(F.count(F.lit(1)).alias("_n"))
     if width % step == 0:
-        w = Window.partitionBy(session).orderBy(pos)
-        d = df.withColumn("_pane", F.floor((F.row_number().over(w) - 1) / step).cast("long"))
+        d = ordering.numbered(df, [session], [pos], "_r").withColumn("_pane", F.floor(F.col("_r") / step).cast("long"))
         c = d.selectExpr(f"`{session}`", "_pane", long).groupBy(session, "_pane", "feature", "v").agg(F.count(F.lit(1)).alias("_c"))
         k = width // step
         c = c.withColumn("_w", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_pane") - (k - 1)), F.col("_pane")))).withColumn("p", F.col("_w") * step)
-        c = c.join(n, session).where((F.col("p") == 0) | (F.col("p") + width - step <= F.col("_n")))
         c = c.groupBy(session, "p", "feature", "v").agg(F.sum("_c").alias("_c"))
     else:
         d = row_windows(df, width, step, session, pos)
@@ -74,6 +71,8 @@ def window_entropy(df: DataFrame, features: list[str], width: int, step: int, se
     t = c.groupBy(session, "p", "feature").agg(
         F.coalesce(F.sum(seen), F.lit(0)).cast("long").alias("observed"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("_c"))), F.lit(0)).cast("long").alias("missing"), F.sum(seen * F.log("_c")).alias("_l")
     )
+    # a window is kept while p + width - step <= rows: while it holds width - step rows
+    t = t.where((F.col("p") == 0) | (F.col("observed") + F.col("missing") >= width - step))
     h = (F.log("observed") - F.col("_l") / F.col("observed")) / math.log(base)
     return t.select(session, "p", "feature", "observed", "missing", F.when(F.col("observed") >= max(1, min_observed), h).alias("entropy"))
 
@@ -90,12 +89,14 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out
     length = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log1p(-alpha))
     if length > FOLDED:
         return _chunked_ewma(df, by, order, value, alpha, out, initial, length)
-    w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(order)
+    d = ordering.numbered(df.withColumn("_gone", F.col(value).isNull()), [*by, "_gone"], [order], "_no")
+    w = Window.partitionBy(*by, "_gone", "_chunk").orderBy("_no")
     hist = F.collect_list(value).over(w.rowsBetween(-length, 0))
-    first = F.get("_h", F.lit(0)) if initial is None else F.when(F.row_number().over(w) <= length + 1, F.lit(alpha) * F.get("_h", F.lit(0)) + F.lit((1 - alpha) * initial)).otherwise(F.get("_h", F.lit(0)))
-    d = df.withColumn("_h", hist).withColumn("_first", first)
+    first = F.get("_h", F.lit(0)) if initial is None else F.when(F.col("_no") <= length, F.lit(alpha) * F.get("_h", F.lit(0)) + F.lit((1 - alpha) * initial)).otherwise(F.get("_h", F.lit(0)))
+    # the history reaches into the chunk before, whose last rows come again
+    d = ordering.chunked(d, "_no", length, ~F.col("_gone")).withColumn("_h", hist).where("_own").withColumn("_first", first)
     fold = F.aggregate(F.slice("_h", 2, length + 1), F.col("_first"), lambda s, v: F.lit(alpha) * v + F.lit(1 - alpha) * s)
-    return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first")
+    return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first", "_no", "_gone", "_chunk", "_own")
 
 
 FOLDED = 1000  # rows of history that are folded row by row, at most
@@ -104,8 +105,8 @@ FOLDED = 1000  # rows of history that are folded row by row, at most
 def _chunked_ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str, initial: float | None, length: int) -> DataFrame:
     size, keep = -(-length // 3), 1 - alpha  # three chunks hold all that weighs anything
     valid = F.col(value).isNotNull()
-    n = F.row_number().over(Window.partitionBy(*by, F.col(value).isNull()).orderBy(order)) - 1
-    d = df.withColumn("_n", F.when(valid, n)).withColumn("_c", F.floor(F.col("_n") / size)).withColumn("_j", F.pmod(F.col("_n"), F.lit(size)))
+    d = ordering.numbered(df.withColumn("_gone", F.col(value).isNull()), [*by, "_gone"], [order], "_n").drop("_gone")
+    d = d.withColumn("_n", F.when(valid, F.col("_n"))).withColumn("_c", F.floor(F.col("_n") / size)).withColumn("_j", F.pmod(F.col("_n"), F.lit(size)))
     # the state before the first value is that value, or ``initial``
     weight = F.lit(alpha) if initial is not None else F.when(F.col("_n") == 0, 1.0).otherwise(alpha)
     # inside a chunk: weights are taken from its first row on, at most (1 - alpha) ** -size = 1e6
@@ -136,11 +137,13 @@ def rolling_mad(df: DataFrame, by: list[str], order: str, value: str, history: i
     An invalid (null) value raises no alarm and adds nothing to the history.
     """
     valid = F.col(value).isNotNull()
-    w = Window.partitionBy(*by).orderBy(order)
+    # chunks are cut by the number of valid values before a row: its history lies in its chunk
+    d = ordering.chunked(ordering.running_within(df, by, [order], {"_no": valid.cast("long")}, inclusive=False), "_no", history, valid)
+    w = Window.partitionBy(*by, "_chunk").orderBy("_no", order)
     # collect_list skips nulls, so a frame over valid rows is carried to the rows between them
-    v = Window.partitionBy(*by, F.col(value).isNull()).orderBy(order).rowsBetween(-(history - 1), 0)
-    d = df.withColumn("_upto", F.when(valid, F.collect_list(value).over(v)))
-    d = d.withColumn("_h", F.array_sort(F.coalesce(F.last("_upto", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>"))))
+    v = Window.partitionBy(*by, "_chunk", F.col(value).isNull()).orderBy("_no", order).rowsBetween(-(history - 1), 0)
+    d = d.withColumn("_upto", F.when(valid, F.collect_list(value).over(v)))
+    d = d.withColumn("_h", F.array_sort(F.coalesce(F.last("_upto", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")))).where("_own")
     d = d.withColumn("baseline", F.when(F.size("_h") > 0, median_of(F.col("_h"))))
     d = d.withColumn("mad", F.when(F.size("_h") > 0, median_of(F.array_sort(F.transform("_h", lambda x: F.abs(x - F.col("baseline")))))))
     spread = F.lit(k * MAD_SCALE) * F.greatest("mad", F.lit(floor))
@@ -148,7 +151,7 @@ def rolling_mad(df: DataFrame, by: list[str], order: str, value: str, history: i
     d = d.withColumn("lower", F.when(~F.col("warmup"), F.col("baseline") - spread)).withColumn("upper", F.when(~F.col("warmup"), F.col("baseline") + spread))
     low, high = F.col(value) < F.col("lower"), F.col(value) > F.col("upper")
     hit = {"lower": low, "upper": high, "both": low | high}[direction]
-    return d.withColumn("alarm", F.coalesce(valid & hit, F.lit(False))).drop("_upto", "_h")
+    return d.withColumn("alarm", F.coalesce(valid & hit, F.lit(False))).drop("_upto", "_h", "_no", "_chunk", "_own")
 
 
 def vote(df: DataFrame, by: list[str], votes: int, value: str) -> DataFrame:

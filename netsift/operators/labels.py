@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def _bucketed(labels: DataFrame, bucket_us: int, tolerance_us: int) -> DataFrame:
     lo, hi = F.col("start_us") - tolerance_us, F.col("end_us") + tolerance_us
@@ -68,8 +70,8 @@ def asof_state(df: DataFrame, by: str = "run_id", idx: str = "idx", at: str = "o
     predict = df.select(by, idx, F.col(at).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_y"))
     # a label counts from its own row on, never before its row was predicted
     label = df.where(F.col(y).isNotNull()).select(by, idx, F.greatest(F.col(available), F.col(at)).alias("_t"), F.lit(1).alias("_kind"), F.col(y).alias("_y"))
-    w = Window.partitionBy(by).orderBy("_t", idx, "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    d = predict.unionByName(label).withColumn("known", F.count("_y").over(w)).withColumn("known_positive", F.coalesce(F.sum("_y").over(w), F.lit(0)))
+    counts = {"known": F.col("_y").isNotNull().cast("long"), "known_positive": F.coalesce("_y", F.lit(0)).cast("long")}
+    d = ordering.running_within(predict.unionByName(label), [by], ["_t", idx, "_kind"], counts, inclusive=False)
     return d.where("_kind = 0").select(by, idx, "known", "known_positive")
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def prequential_nb(df: DataFrame, features: list[str], by: str = "run_id", idx: str = "idx", at: str = "observed_us", available: str = "available_us", y: str = "y_true", underflow_one: bool = False) -> DataFrame:
     """Score of each row by a Gaussian naive Bayes that has learned only from labels available by its time.
@@ -16,19 +19,21 @@ def prequential_nb(df: DataFrame, features: list[str], by: str = "run_id", idx:
     order. A class without two rows or with zero variance in a feature is neutral in it. Without a
     label the score is 0.5. ``underflow_one``: a density that underflows to 0 counts as log 1.
     """
-    cols = [F.col(f) for f in features]
+    centre = df.agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"_m_{f}") for f in features])  # one row: sums of squares of centred values keep their digits
+    cols = [(F.col(f).cast("double") - F.col(f"_m_{f}")).alias(f) for f in features]
+    at_label = F.greatest(F.col(available), F.col(at))
+    df = df.select(by, idx, at, available, y, *features).crossJoin(F.broadcast(centre))
     predict = df.select(by, idx, F.col(at).alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_y"), *cols)
-    label = df.where(F.col(y).isNotNull()).select(by, idx, F.greatest(F.col(available), F.col(at)).alias("_t"), F.lit(1).alias("_kind"), F.col(y).alias("_y"), *cols)
-    w = Window.partitionBy(by).orderBy("_t", idx, "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    d, sums = predict.unionByName(label), {}
+    label = df.where(F.col(y).isNotNull()).select(by, idx, at_label.alias("_t"), F.lit(1).alias("_kind"), F.col(y).alias("_y"), *cols)
+    sums = {}
     for k in (0, 1):
-        mine = F.col("_y") == k
-        sums[f"_n{k}"] = F.count_if(mine).over(w)
+        mine = F.coalesce(F.col("_y") == k, F.lit(False))
+        sums[f"_n{k}"] = mine.cast("long")
         for f in features:
-            x = F.when(mine, F.col(f).cast("double"))
-            sums[f"_s{k}_{f}"] = F.coalesce(F.sum(x).over(w), F.lit(0.0))
-            sums[f"_q{k}_{f}"] = F.coalesce(F.sum(x * x).over(w), F.lit(0.0))
-    d = d.withColumns(sums).where("_kind = 0")
+            x = F.when(mine & F.col(f).isNotNull(), F.col(f)).otherwise(0.0)
+            sums[f"_s{k}_{f}"], sums[f"_q{k}_{f}"] = x, x * x
+    # a prediction adds nothing itself, so the sums up to it are those before it
+    d = ordering.running_within(predict.unionByName(label), [by], ["_t", idx, "_kind"], sums).where("_kind = 0")
     total = F.col("_n0") + F.col("_n1")
     votes = []
     for k in (0, 1):
@@ -119,15 +124,24 @@ class AdaptiveWindow:
 
 
 def drift_events(df: DataFrame, by: str, order: str, error: str, delta: float = 0.002) -> DataFrame:
-    """(series, order) of each row at which the error series' adaptive window is cut. State is one window for each series."""
-    kind = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
+    """(series, order) of each row at which the error series' adaptive window is cut.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        w = AdaptiveWindow(delta)
-        rows = rows.sort_values(order)
-        return rows.loc[[w.add(float(x)) for x in rows[error]], [by, order]]
+    Series stream through tasks in batches; a task holds one adaptive window. Rows without an error are left out.
+    """
+    kind = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
 
-    return df.select(by, order, error).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, w = object(), None
+        for rows in batches:
+            cut = []
+            for k, x in zip(rows[by].tolist(), rows[error].tolist()):
+                if k != key and not (k != k and key != key):  # a null key is one series
+                    key, w = k, AdaptiveWindow(delta)
+                cut.append(w.add(float(x)))
+            yield rows.loc[cut, [by, order]]
+
+    rows = df.select(by, order, error).where(F.col(error).isNotNull())
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}")
 
 
 def _forest(train: DataFrame, features: list[str], y: str, seed: int, trees: int = 10, depth: int = 5):

@@ -80,6 +80,53 @@ def running_sum(df: DataFrame, pos: str, value: str | Column, out: str, inclusiv
     return running_sums(df, pos, {out: F.col(value) if isinstance(value, str) else value}, inclusive)
 
 
+def running_within(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], inclusive: bool = True, totals: dict[str, str] | None = None) -> DataFrame:
+    """For each name the sum of its column over the rows of the same group up to this one, in the order of ``order``.
+
+    The first column of ``order`` is a number and is cut into ranges, so no task sorts a whole group. What
+    a range takes over from the ranges before it is a row of its own that comes first in it: rows meet it
+    without a join. ``totals`` names columns for the sums over whole groups. Null groups are groups.
+    """
+    d = ranged(df.drop("_range"), order[0]).withColumns({f"_v_{o}": c for o, c in values.items()}).withColumn("_row", F.lit(True))
+    sums = d.groupBy(*by, "_range").agg(*[F.sum(f"_v_{o}").alias(f"_v_{o}") for o in values])
+    group = Window.partitionBy(*by)  # at most one row a range
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = {f"_t_{t}": F.sum(f"_v_{o}").over(group) for o, t in (totals or {}).items()}
+    carry = sums.withColumns({**whole, **{f"_c_{o}": F.sum(f"_v_{o}").over(before) for o in values}})
+    carry = carry.select(*by, "_range", *whole, *[F.col(f"_c_{o}").alias(f"_v_{o}") for o in values], F.lit(False).alias("_row"))
+    upto = Window.partitionBy(*by, "_range").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for o in values:
+        here = F.coalesce(F.sum(f"_v_{o}").over(upto), F.lit(0))
+        out[o] = here if inclusive else here - F.coalesce(f"_v_{o}", F.lit(0))
+    out |= {t: F.first(f"_t_{t}").over(upto) for t in (totals or {}).values()}
+    u = d.unionByName(carry, allowMissingColumns=True).withColumns(out).where("_row")
+    return u.drop("_row", "_range", *whole, *[f"_v_{o}" for o in values])
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], out: str, total: str | None = None) -> DataFrame:
+    """0-based number of each row inside its group, and the number of the group's rows."""
+    return running_within(df, by, order, {out: F.lit(1).cast("long")}, inclusive=False, totals={out: total} if total else None)
+
+
+#: Rows of a series that one chunk holds, unless more are looked back at.
+CHUNK = 16_384
+
+
+def chunked(df: DataFrame, number: str, back: int, repeat: Column | None = None) -> DataFrame:
+    """``df`` with ``_chunk``, the number cut into equal parts, and ``_own``; the last ``back`` rows of a chunk come again in the next, not ``_own``.
+
+    Frames of at most ``back`` rows then lie inside (series, ``_chunk``). Only rows of ``repeat`` come again.
+    """
+    size = max(CHUNK, 4 * back)
+    home = F.floor(F.col(number) / size)
+    again = F.pmod(F.col(number), F.lit(size)) >= size - back
+    if repeat is not None:
+        again = again & repeat
+    d = df.withColumn("_home", home).withColumn("_chunk", F.explode(F.when(again, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    return d.withColumn("_own", F.col("_chunk") == F.col("_home")).drop("_home")
+
+
 def position(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
     """0-based number of each row in the order of ``order`` (distinct values)."""
     return running_sum(df, order, F.lit(1).cast("long"), out, inclusive=False).drop("_range")
@@ -118,6 +165,7 @@ def contiguous_runs(df: DataFrame, pos: str, key: str, out: str = "run") -> Data
 
 def rank_gaps(df: DataFrame, pos: str = "pos", rank: str = "rank_no") -> DataFrame:
     """For each session the steps of the rank above one."""
-    s = sessions(df, pos, rank)
-    step = F.col(rank) - F.lag(rank).over(Window.partitionBy("session_id").orderBy(pos))
+    s = previous(sessions(df, pos, rank), pos, rank, "_prev")
+    # the first step of a session is none: it does not rise
+    step = F.col(rank) - F.col("_prev")
     return s.withColumn("_step", step).groupBy("session_id").agg(F.count_if(F.col("_step") > 1).alias("gaps"), F.count(F.lit(1)).alias("n_rows"))

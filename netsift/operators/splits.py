@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def hash_number(*parts: Column | str) -> Column:
     """32 bits of md5 over the joined parts: the same in every engine."""
@@ -18,9 +20,7 @@ def block_label_split(df: DataFrame, block: str = "block", label: str = "label",
     """
     if not (train > 0 and val > 0 and train + val < 1):
         raise ValueError("shares must be positive and leave a test part")
-    w = Window.partitionBy(block, label)
-    k = F.count(F.lit(1)).over(w)
-    d = df.withColumn("_k", k).withColumn("_rn", F.row_number().over(w.orderBy(pos)) - 1)
+    d = ordering.numbered(df, [block, label], [pos], "_rn", "_k")
     shift = F.floor(F.col("_k") * F.lit(rotate))
     d = d.withColumn("_rn", F.pmod(F.col("_rn") - shift, F.col("_k")))
     a, b = F.floor(F.col("_k") * F.lit(train)), F.floor(F.col("_k") * F.lit(train + val))
@@ -42,9 +42,9 @@ def split_manifest(df: DataFrame, block: str = "block", label: str = "label", at
 
 def block_holdout(df: DataFrame, held: list[int], block: str = "block", pos: str = "pos", ratio: float = 0.8) -> DataFrame:
     """Held blocks are 'unseen'; the others are cut by position into train and val."""
-    w = Window.partitionBy(block)
-    rn, k = F.row_number().over(w.orderBy(pos)) - 1, F.count(F.lit(1)).over(w)
-    return df.withColumn("side", F.when(F.col(block).isin(held), "unseen").when(rn < F.floor(k * F.lit(ratio)), "train").otherwise("val"))
+    d = ordering.numbered(df, [block], [pos], "_rn", "_k")
+    train = F.col("_rn") < F.floor(F.col("_k") * F.lit(ratio))
+    return d.withColumn("side", F.when(F.col(block).isin(held), "unseen").when(train, "train").otherwise("val")).drop("_rn", "_k")
 
 
 def isolation(df: DataFrame, held: list[int], block: str = "block") -> DataFrame:
@@ -55,13 +55,21 @@ def isolation(df: DataFrame, held: list[int], block: str = "block") -> DataFrame
 
 
 def stratified_sample(df: DataFrame, n: int, label: str = "label", pos: str = "pos", seed: int = 42) -> DataFrame:
-    """About ``n`` rows, each class by its share, at least one; the smallest hashes of a class are in."""
-    by = df.groupBy(label).agg(F.count(F.lit(1)).alias("_k"))
-    total = by.agg(F.sum("_k").alias("_n"))
-    quota = by.crossJoin(total).select(F.col(label).alias("_label"), F.greatest(F.lit(1), F.least(F.bround(F.lit(n) * F.col("_k") / F.col("_n")).cast("long"), F.col("_k"))).alias("_q"))
-    d = df.withColumn("_h", hash_number(F.lit(str(seed)), F.col(pos).cast("string")))
-    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy("_h", pos)))
-    return d.join(F.broadcast(quota), F.col(label) == F.col("_label")).where("_rn <= _q").drop("_h", "_rn", "_label", "_q")
+    """About ``n`` rows, each class by its share, at least one; the smallest hashes of a class are in.
+
+    Hashes are counted in bins; only the bin in which a class reaches its quota is sorted.
+    """
+    d = df.withColumn("_h", hash_number(F.lit(str(seed)), F.col(pos).cast("string"))).withColumn("_b", F.shiftright("_h", 16))
+    bins = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    total = bins.agg(F.sum("_k").alias("_n"))  # one row
+    of_class = Window.partitionBy(label)  # at most 65,536 bins a class
+    bins = bins.crossJoin(F.broadcast(total)).withColumn("_all", F.sum("_k").over(of_class)).withColumn("_upto", F.sum("_k").over(of_class.orderBy("_b")))
+    bins = bins.withColumn("_q", F.greatest(F.lit(1), F.least(F.bround(F.lit(n) * F.col("_all") / F.col("_n")).cast("long"), F.col("_all"))))
+    # the bin in which a class reaches its quota; the smaller hashes of it fill what is left
+    edge = bins.where("_upto >= _q AND _upto - _k < _q").select(F.col(label).alias("_label"), F.col("_b").alias("_edge"), (F.col("_q") - F.col("_upto") + F.col("_k")).alias("_left"))
+    d = d.join(edge, F.col(label) == F.col("_label"))
+    last = d.where("_b = _edge").withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", pos))).where("_rn <= _left").drop("_rn")
+    return d.where("_b < _edge").unionByName(last).drop("_h", "_b", "_label", "_edge", "_left")
 
 
 def bernoulli_sample(df: DataFrame, one_in: int, key: str = "pos", seed: int = 42) -> DataFrame:
@@ -71,23 +79,21 @@ def bernoulli_sample(df: DataFrame, one_in: int, key: str = "pos", seed: int = 4
 
 def even_downsample(df: DataFrame, limit: int, order: str, by: str) -> DataFrame:
     """``limit`` rows of each series at evenly spaced places, first and last included."""
-    w = Window.partitionBy(by)
-    d = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    place = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(limit - 1)).cast("int"))
+    d = ordering.numbered(df, [by], [order], "_i", "_n")
+    place = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / F.lit(limit - 1)).cast("long"))
     return d.where((F.col("_n") <= limit) | F.array_contains(place, F.col("_i"))).drop("_i", "_n")
 
 
 def stride_thin(df: DataFrame, most: int, order: str, by: str) -> DataFrame:
     """Every k-th row of each series, k = max(1, n // most)."""
-    w = Window.partitionBy(by)
-    k = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / most))
-    return df.withColumn("_k", k).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).where("_i % _k = 0").drop("_k", "_i")
+    d = ordering.numbered(df, [by], [order], "_i", "_n")
+    return d.where(F.col("_i") % F.greatest(F.lit(1), F.floor(F.col("_n") / most)) == 0).drop("_i", "_n")
 
 
 def warmup_prefix(df: DataFrame, n: int, eligible: Column, order: str, by: str) -> DataFrame:
     """Phase of each eligible row: the first ``n`` of a series are warm-up."""
-    rn = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return df.where(eligible).withColumn("phase", F.when(rn <= n, "warmup").otherwise("evaluation"))
+    d = ordering.numbered(df.where(eligible), [by], [order], "_i")
+    return d.withColumn("phase", F.when(F.col("_i") < n, "warmup").otherwise("evaluation")).drop("_i")
 
 
 def disjoint_slices(plans: DataFrame, by: list[str], order: str, count: str) -> DataFrame:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
 from .evaluate import ratio
 
 
 def trailing(df: DataFrame, by: str, pos: str, k: int) -> DataFrame:
     """Over the ``k`` rows strictly before each row of its block: count, sums, means and shares; 0 for the first."""
-    w = Window.partitionBy(by).orderBy(pos).rowsBetween(-k, -1)
+    d = ordering.chunked(ordering.numbered(df, [by], [pos], "_no"), "_no", k)
+    w = Window.partitionBy(by, "_chunk").orderBy("_no").rowsBetween(-k, -1)
     n = F.count(F.lit(1)).over(w)
     out = {
         "n": n, "bytes_sum": F.coalesce(F.sum("tot_bytes").over(w), F.lit(0)), "pkts_sum": F.coalesce(F.sum("tot_pkts").over(w), F.lit(0)),
         "bytes_mean": F.coalesce(F.try_divide(F.sum("tot_bytes").over(w), n), F.lit(0.0)), "udp_share": F.coalesce(F.count_if(F.col("proto") == "udp").over(w).cast("double") / F.nullif(n, F.lit(0)), F.lit(0.0)), "tcp_share": F.coalesce(F.count_if(F.col("proto") == "tcp").over(w).cast("double") / F.nullif(n, F.lit(0)), F.lit(0.0)),
     }
-    return df.withColumns(out)
+    return d.withColumns(out).where("_own").drop("_no", "_chunk", "_own")
 
 
 def tumbling(packets: DataFrame, width_us: int, origin_us: int | None = None) -> DataFrame:
@@ -51,7 +53,8 @@ def complete(windows: DataFrame) -> DataFrame:
 
 def gap_guard(packets: DataFrame, width_us: int, most: int, by: str, order: str) -> DataFrame:
     """Rows whose time runs backward or leaps over more than ``most`` windows, per series."""
-    d = packets.withColumn("_p", F.lag("epoch_us").over(Window.partitionBy(by).orderBy(order)))
+    d = ordering.chunked(ordering.numbered(packets, [by], [order], "_no"), "_no", 1)
+    d = d.withColumn("_p", F.lag("epoch_us").over(Window.partitionBy(by, "_chunk").orderBy("_no"))).where("_own").drop("_no", "_chunk", "_own")
     kind = F.when(F.col("epoch_us") < F.col("_p"), "backward").when(F.floor((F.col("epoch_us") - F.col("_p")) / width_us) > most, "gap")
     return d.withColumn("fault", kind).where("fault IS NOT NULL").drop("_p")
 
