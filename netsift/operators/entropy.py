@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.sources.shared import written
+
 from . import ordering
 
 MAD_SCALE = 1.4826
@@ -77,7 +79,12 @@ def window_entropy(df: DataFrame, features: list[str], width: int, step: int, se
     return t.select(session, "p", "feature", "observed", "missing", F.when(F.col("observed") >= max(1, min_observed), h).alias("entropy"))
 
 
-def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str = "ewma", initial: float | None = None) -> DataFrame:
+def series(df: DataFrame, by: list[str], order: str, value: str, out: str = "_no") -> DataFrame:
+    """``out``: how many earlier values of its series a row has; ``ewma`` and ``rolling_mad`` take it as ``number``."""
+    return ordering.running_within(df, by, [order], {out: F.col(value).isNotNull().cast("long")}, inclusive=False)
+
+
+def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str = "ewma", initial: float | None = None, number: str | None = None) -> DataFrame:
     """s_t = alpha v_t + (1 - alpha) s_(t-1) over the rows with a value; null rows keep null (hold).
 
     Values further back than L rows weigh less than 1e-18 and are left out, so a row folds a bounded
@@ -88,24 +95,26 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out
         raise ValueError("0 < alpha <= 1")
     length = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log1p(-alpha))
     if length > FOLDED:
-        return _chunked_ewma(df, by, order, value, alpha, out, initial, length)
-    d = ordering.numbered(df.withColumn("_gone", F.col(value).isNull()), [*by, "_gone"], [order], "_no")
-    w = Window.partitionBy(*by, "_gone", "_chunk").orderBy("_no")
+        return _chunked_ewma(df, by, order, value, alpha, out, initial, length, number)
+    if number is None:
+        return ewma(series(df, by, order, value), by, order, value, alpha, out, initial, "_no").drop("_no")
+    d = df.withColumn("_gone", F.col(value).isNull())
+    w = Window.partitionBy(*by, "_gone", "_chunk").orderBy(number)
     hist = F.collect_list(value).over(w.rowsBetween(-length, 0))
-    first = F.get("_h", F.lit(0)) if initial is None else F.when(F.col("_no") <= length, F.lit(alpha) * F.get("_h", F.lit(0)) + F.lit((1 - alpha) * initial)).otherwise(F.get("_h", F.lit(0)))
+    first = F.get("_h", F.lit(0)) if initial is None else F.when(F.col(number) <= length, F.lit(alpha) * F.get("_h", F.lit(0)) + F.lit((1 - alpha) * initial)).otherwise(F.get("_h", F.lit(0)))
     # the history reaches into the chunk before, whose last rows come again
-    d = ordering.chunked(d, "_no", length, ~F.col("_gone")).withColumn("_h", hist).where("_own").withColumn("_first", first)
+    d = ordering.chunked(d, number, length, ~F.col("_gone")).withColumn("_h", hist).where("_own").withColumn("_first", first)
     fold = F.aggregate(F.slice("_h", 2, length + 1), F.col("_first"), lambda s, v: F.lit(alpha) * v + F.lit(1 - alpha) * s)
-    return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first", "_no", "_gone", "_chunk", "_own")
+    return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first", "_gone", "_chunk", "_own")
 
 
 FOLDED = 1000  # rows of history that are folded row by row, at most
 
 
-def _chunked_ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str, initial: float | None, length: int) -> DataFrame:
+def _chunked_ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str, initial: float | None, length: int, number: str | None) -> DataFrame:
     size, keep = -(-length // 3), 1 - alpha  # three chunks hold all that weighs anything
     valid = F.col(value).isNotNull()
-    d = ordering.numbered(df.withColumn("_gone", F.col(value).isNull()), [*by, "_gone"], [order], "_n").drop("_gone")
+    d = series(df, by, order, value, "_n") if number is None else df.withColumn("_n", F.col(number))
     d = d.withColumn("_n", F.when(valid, F.col("_n"))).withColumn("_c", F.floor(F.col("_n") / size)).withColumn("_j", F.pmod(F.col("_n"), F.lit(size)))
     # the state before the first value is that value, or ``initial``
     weight = F.lit(alpha) if initial is not None else F.when(F.col("_n") == 0, 1.0).otherwise(alpha)
@@ -131,17 +140,19 @@ def median_of(a: Column) -> Column:
     return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
 
 
-def rolling_mad(df: DataFrame, by: list[str], order: str, value: str, history: int = 20, min_history: int = 10, k: float = 3.0, floor: float = 1e-6, direction: str = "both") -> DataFrame:
+def rolling_mad(df: DataFrame, by: list[str], order: str, value: str, history: int = 20, min_history: int = 10, k: float = 3.0, floor: float = 1e-6, direction: str = "both", number: str | None = None) -> DataFrame:
     """Baseline, MAD, bounds, warm-up and alarm against the last ``history`` valid, earlier values.
 
     An invalid (null) value raises no alarm and adds nothing to the history.
     """
     valid = F.col(value).isNotNull()
     # chunks are cut by the number of valid values before a row: its history lies in its chunk
-    d = ordering.chunked(ordering.running_within(df, by, [order], {"_no": valid.cast("long")}, inclusive=False), "_no", history, valid)
-    w = Window.partitionBy(*by, "_chunk").orderBy("_no", order)
+    if number is None:
+        return rolling_mad(series(df, by, order, value), by, order, value, history, min_history, k, floor, direction, "_no").drop("_no")
+    d = ordering.chunked(df, number, history, valid)
+    w = Window.partitionBy(*by, "_chunk").orderBy(number, order)
     # collect_list skips nulls, so a frame over valid rows is carried to the rows between them
-    v = Window.partitionBy(*by, "_chunk", F.col(value).isNull()).orderBy("_no", order).rowsBetween(-(history - 1), 0)
+    v = Window.partitionBy(*by, "_chunk", F.col(value).isNull()).orderBy(number, order).rowsBetween(-(history - 1), 0)
     d = d.withColumn("_upto", F.when(valid, F.collect_list(value).over(v)))
     d = d.withColumn("_h", F.array_sort(F.coalesce(F.last("_upto", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<double>")))).where("_own")
     d = d.withColumn("baseline", F.when(F.size("_h") > 0, median_of(F.col("_h"))))
@@ -151,7 +162,7 @@ def rolling_mad(df: DataFrame, by: list[str], order: str, value: str, history: i
     d = d.withColumn("lower", F.when(~F.col("warmup"), F.col("baseline") - spread)).withColumn("upper", F.when(~F.col("warmup"), F.col("baseline") + spread))
     low, high = F.col(value) < F.col("lower"), F.col(value) > F.col("upper")
     hit = {"lower": low, "upper": high, "both": low | high}[direction]
-    return d.withColumn("alarm", F.coalesce(valid & hit, F.lit(False))).drop("_upto", "_h", "_no", "_chunk", "_own")
+    return d.withColumn("alarm", F.coalesce(valid & hit, F.lit(False))).drop("_upto", "_h", "_chunk", "_own")
 
 
 def vote(df: DataFrame, by: list[str], votes: int, value: str) -> DataFrame:
@@ -160,17 +171,22 @@ def vote(df: DataFrame, by: list[str], votes: int, value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count_if("alarm").alias("alarms"), ready.alias("evaluable")).withColumn("window_anomaly", (F.col("alarms") >= votes) & F.col("evaluable"))
 
 
+def smoothed(flows: DataFrame, features: list[str], width: int, step: int, alpha: float = 0.2, session: str = "session_id", pos: str = "pos") -> DataFrame:
+    """Entropy of each window and feature with its EWMA; ``_no`` numbers the series. The entropies are written once."""
+    e = written(window_entropy(flows.select(session, pos, *features), features, width, step, session, pos), "entropy")
+    by = [session, "feature"]
+    return ewma(series(e, by, "p", "entropy"), by, "p", "entropy", alpha, number="_no")
+
+
 def detect(flows: DataFrame, features: list[str], width: int, step: int, alpha: float = 0.2, history: int = 20, min_history: int = 10, k: float = 3.0, votes: int = 2, session: str = "session_id", pos: str = "pos") -> DataFrame:
-    """Windows, entropy, EWMA, thresholds and vote as one plan; label columns are never read."""
-    e = window_entropy(flows.select(session, pos, *features), features, width, step, session, pos)
-    s = ewma(e, [session, "feature"], "p", "entropy", alpha)
-    return vote(rolling_mad(s, [session, "feature"], "p", "ewma", history, min_history, k), [session, "p"], votes, "ewma")
+    """Windows, entropy, EWMA, thresholds and vote; label columns are never read. ``flows`` is read three times."""
+    s = smoothed(flows, features, width, step, alpha, session, pos)
+    return vote(rolling_mad(s, [session, "feature"], "p", "ewma", history, min_history, k, number="_no"), [session, "p"], votes, "ewma")
 
 
 def sensitivity(flows: DataFrame, features: list[str], width: int, step: int, settings: list[tuple[float, int]], alpha: float = 0.2, history: int = 20, min_history: int = 10, session: str = "session_id", pos: str = "pos") -> DataFrame:
     """Anomalous windows for each (k, votes): one pass, the settings joined to the smoothed entropy."""
-    e = window_entropy(flows.select(session, pos, *features), features, width, step, session, pos)
-    s = rolling_mad(ewma(e, [session, "feature"], "p", "entropy", alpha), [session, "feature"], "p", "ewma", history, min_history, 1.0)
+    s = rolling_mad(smoothed(flows, features, width, step, alpha, session, pos), [session, "feature"], "p", "ewma", history, min_history, 1.0, number="_no")
     table = flows.sparkSession.createDataFrame(settings, "k double, votes int")
     spread = F.col("k") * MAD_SCALE * F.greatest("mad", F.lit(1e-6))
     x = s.crossJoin(F.broadcast(table))  # a handful of settings

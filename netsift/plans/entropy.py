@@ -45,7 +45,7 @@ ev AS (SELECT vt.*, wt.n_rows, wt.n_malicious, CASE WHEN n_malicious > 0 THEN 1
 
 
 def _sessions(v: Views) -> DataFrame:
-    return ordering.sessions(v.flows)
+    return v.once("sessions", lambda: ordering.sessions(v.flows))
 
 
 def _entropy(v: Views) -> DataFrame:
@@ -53,11 +53,11 @@ def _entropy(v: Views) -> DataFrame:
 
 
 def _ewma(v: Views) -> DataFrame:
-    return entropy.ewma(_entropy(v), ["session_id", "feature"], "p", "entropy", 0.2)
+    return entropy.smoothed(_sessions(v), FEATURES, W, S)
 
 
 def _mad(v: Views) -> DataFrame:
-    return entropy.rolling_mad(_ewma(v), ["session_id", "feature"], "p", "ewma")
+    return entropy.rolling_mad(_ewma(v), ["session_id", "feature"], "p", "ewma", number="_no")
 
 
 def _vote(v: Views) -> DataFrame:

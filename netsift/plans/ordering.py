@@ -53,7 +53,7 @@ sp AS (SELECT *, CASE WHEN rn < floor(k * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN
 
 
 def _split(v: Views, **more: object) -> DataFrame:
-    return splits.block_label_split(ordering.capture_blocks(v.flows), **more)
+    return splits.block_label_split(v.once("blocks", lambda: ordering.capture_blocks(v.flows)), **more)
 
 
 @query("split_block_label", "flows", "SELECT pos, block, split FROM sp", _SPLIT)
@@ -92,7 +92,7 @@ h AS (SELECT *, CASE WHEN block IN (1, 3) THEN 'unseen' WHEN row_number() OVER (
 
 
 def _hold(v: Views) -> DataFrame:
-    return splits.block_holdout(ordering.capture_blocks(v.flows), [1, 3])
+    return splits.block_holdout(v.once("blocks", lambda: ordering.capture_blocks(v.flows)), [1, 3])
 
 
 @query("split_block_holdout", "flows", "SELECT pos, side FROM h", _HOLD)

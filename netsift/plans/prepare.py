@@ -15,7 +15,7 @@ NUM = ["tot_bytes", "tot_pkts", "dur"]
 
 
 def _split(v: Views) -> DataFrame:
-    return splits.block_label_split(ordering.capture_blocks(v.flows))
+    return splits.block_label_split(v.once("blocks", lambda: ordering.capture_blocks(v.flows)))
 
 
 @query("proj_binary_target", "flows", "SELECT pos, CASE label WHEN 'Malicious' THEN 1 ELSE 0 END AS y FROM flows")

@@ -101,7 +101,7 @@ def src_checksum_manifest(v: Views) -> DataFrame:
 @query("sink_windows", "flows", "SELECT session_id, count(*) AS windows FROM sp GROUP BY session_id", SPINE)
 def sink_windows(v: Views) -> DataFrame:
     path = shared_path(v.spark, "windows")
-    entropy.window_spine(ordering.sessions(v.flows), 100, 50).write.partitionBy("session_id").parquet(path)
+    entropy.window_spine(v.once("sessions", lambda: ordering.sessions(v.flows)), 100, 50).write.partitionBy("session_id").parquet(path)
     return v.spark.read.parquet(path).groupBy(F.col("session_id").cast("long").alias("session_id")).agg(F.count(F.lit(1)).alias("windows"))
 
 

@@ -24,7 +24,7 @@ tw AS (SELECT sp.win, lo + sp.win * {WIN} AS start_us, coalesce(packets, 0) AS p
 @query("win_trailing_k", "flows", """SELECT pos, count(*) OVER w AS n, CAST(coalesce(sum(tot_bytes) OVER w, 0) AS BIGINT) AS bytes_sum, CAST(coalesce(sum(tot_pkts) OVER w, 0) AS BIGINT) AS pkts_sum, coalesce(sum(tot_bytes) OVER w / nullif(count(*) OVER w, 0), 0)::DOUBLE AS bytes_mean,
 coalesce((count(*) FILTER (WHERE proto = 'udp') OVER w) / nullif(count(*) OVER w, 0), 0)::DOUBLE AS udp_share, coalesce((count(*) FILTER (WHERE proto = 'tcp') OVER w) / nullif(count(*) OVER w, 0), 0)::DOUBLE AS tcp_share FROM b WINDOW w AS (PARTITION BY block ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)""", BLOCKS)
 def win_trailing_k(v: Views) -> DataFrame:
-    d = windows.trailing(ordering.capture_blocks(v.flows), "block", "pos", 50)
+    d = windows.trailing(v.once("blocks", lambda: ordering.capture_blocks(v.flows)), "block", "pos", 50)
     return d.select("pos", "n", "bytes_sum", "pkts_sum", "bytes_mean", "udp_share", "tcp_share")
 
 

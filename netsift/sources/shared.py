@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -18,3 +18,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-netsift-"))
         base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/netsift/{uuid.uuid4().hex}/{tag}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: for what several passes read."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,10 +5,13 @@ The SQL is shared: ``{US}`` is the only part that differs between Spark and the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import written
+
 SPARK_US, DUCK_US = "unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"
 
 VIEWS = {
@@ -48,6 +51,13 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What several passes of a query read, written once."""
+        if name not in self._written:
+            self._written[name] = written(make(), name)
+        return self._written[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
