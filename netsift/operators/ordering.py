@@ -133,11 +133,21 @@ def position(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
 
 
 def resets(df: DataFrame, pos: str, value: str, out: str, strict: bool, first: int) -> DataFrame:
-    """Number of the run: a new one where the value falls (``strict``) or does not rise."""
-    d = previous(df, pos, value, "_prev")
-    fall = F.col(value) < F.col("_prev") if strict else F.col(value) <= F.col("_prev")
-    d = d.withColumn("_new", F.coalesce(fall, F.lit(False)).cast("long"))
-    return running_sum(d, pos, F.col("_new"), "_id").withColumn(out, F.col("_id") + first).drop("_id", "_new", "_prev", "_range")
+    """Number of the run: a new one where the value falls (``strict``) or does not rise.
+
+    One pass counts inside ranges; whether a range begins with a new run is decided on the row that
+    stands for it. A null value neither falls nor is fallen from.
+    """
+    falls = lambda a, b: F.coalesce(b < a if strict else b <= a, F.lit(False)).cast("long")
+    inside, in_order = _inside(pos), Window.orderBy("_range")
+    d = ranged(df, pos)
+    d = d.withColumn("_new", falls(F.lag(value).over(inside), F.col(value)))  # none for the first row of a range
+    ends = d.groupBy("_range").agg(F.min_by(value, pos).alias("_f"), F.max_by(value, pos).alias("_l"), F.sum("_new").alias("_s"))
+    ends = ends.withColumn("_at", falls(F.lag("_l").over(in_order), F.col("_f")))
+    so_far = F.sum(F.col("_at") + F.col("_s")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    d = d.join(F.broadcast(ends.select("_range", so_far.alias("_c"))), "_range")  # one row for each range
+    here = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(out, F.col("_c") + here + first).drop("_new", "_c", "_range")
 
 
 def sessions(df: DataFrame, pos: str = "pos", rank: str = "rank_no", out: str = "session_id") -> DataFrame:

@@ -45,7 +45,7 @@ ev AS (SELECT vt.*, wt.n_rows, wt.n_malicious, CASE WHEN n_malicious > 0 THEN 1
 
 
 def _sessions(v: Views) -> DataFrame:
-    return v.once("sessions", lambda: ordering.sessions(v.flows))
+    return v.once("sessions", lambda: ordering.sessions(v.flows.select("pos", "rank_no", *FEATURES, "label", "attack_type")))
 
 
 def _entropy(v: Views) -> DataFrame:
