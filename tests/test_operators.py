@@ -282,3 +282,38 @@ def test_categories_beyond_the_bound_raise(spark):
     assert prepare.one_hot(d, d, "c", most=3).columns == ["c", "c___missing__", "c_x", "c_y"]
     with pytest.raises(ValueError):
         prepare.one_hot(d, d, "c", most=2)
+
+
+def test_series_over_ranges_and_chunks(spark, monkeypatch):
+    """Numbers, totals, EWMA, MAD and trailing frames where a series is cut into many ranges and chunks, null group included."""
+    from statistics import median
+
+    from netsift.operators import entropy, ordering, windows
+
+    monkeypatch.setattr(ordering, "CHUNK", 8)
+    data = [(None if i % 3 == 0 else i % 3, i, None if i % 7 == 0 else float(i * 37 % 101)) for i in range(600)]
+    df = spark.createDataFrame(data, "g int, at long, v double")
+    series = {g: [(i, v) for k, i, v in data if k == g] for g in (None, 1, 2)}
+
+    n = {r["at"]: (r["no"], r["all"]) for r in ordering.numbered(df, ["g"], ["at"], "no", "all").collect()}
+    assert n == {i: (k, len(s)) for s in series.values() for k, (i, _) in enumerate(s)}
+
+    smooth, hist = {}, {}
+    for s in series.values():
+        last, seen = None, []
+        for i, v in s:
+            hist[i] = median(seen[-2:]) if seen else None
+            if v is not None:
+                last = v if last is None else 0.9 * v + (1 - 0.9) * last
+                seen.append(v)
+            smooth[i] = None if v is None else last
+    got = {r["at"]: r["ewma"] for r in entropy.ewma(df, ["g"], "at", "v", 0.9).collect()}
+    assert got.keys() == smooth.keys() and all((got[i] is None) == (x is None) and (x is None or abs(got[i] - x) < 1e-9) for i, x in smooth.items())
+    assert {r["at"]: r["baseline"] for r in entropy.rolling_mad(df, ["g"], "at", "v", history=2, min_history=1).collect()} == hist
+
+    rows = df.selectExpr("g", "at", "at AS tot_bytes", "1L AS tot_pkts", "'udp' AS proto")
+    sums = {i: sum(x for x, _ in s[max(0, k - 2) : k]) for s in series.values() for k, (i, _) in enumerate(s)}
+    assert {r["at"]: r["bytes_sum"] for r in windows.trailing(rows, "g", "at", 2).collect()} == sums
+
+    empty = df.where("false")
+    assert ordering.numbered(empty, ["g"], ["at"], "no", "all").count() == 0 == entropy.ewma(empty, ["g"], "at", "v", 0.9).count()
