@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordering
 from .evaluate import ratio
 
 
@@ -67,15 +68,17 @@ def recovery(df: DataFrame, by: str, order: str, y: str, pred: str, width: int,
 
 def sequence_gaps(df: DataFrame, by: str, order: str, seq: str, modulus: int = 2**32) -> DataFrame:
     """Steps of a counter other than one, modulo its width, and how many are missing."""
-    step = F.pmod(F.col(seq) - F.lag(seq).over(Window.partitionBy(by).orderBy(order)), F.lit(modulus))
-    return df.withColumn("_s", step).groupBy(by).agg(F.count_if(F.col("_s") != 1).alias("gaps"), F.coalesce(F.sum(F.when(F.col("_s") > 1, F.col("_s") - 1)), F.lit(0)).alias("missing"))
+    d = ordering.chunked(ordering.numbered(df, [by], [order], "_no"), "_no", 1)
+    step = F.pmod(F.col(seq) - F.lag(seq).over(Window.partitionBy(by, "_chunk").orderBy("_no")), F.lit(modulus))
+    return d.withColumn("_s", step).where("_own").groupBy(by).agg(F.count_if(F.col("_s") != 1).alias("gaps"), F.coalesce(F.sum(F.when(F.col("_s") > 1, F.col("_s") - 1)), F.lit(0)).alias("missing"))
 
 
 def ingest_lag(df: DataFrame, by: str, order: str, observed: str, read: str, limit: int) -> DataFrame:
     """Backward times, reads before their event, the largest lag and lags above the limit."""
-    back = F.col(observed) < F.lag(observed).over(Window.partitionBy(by).orderBy(order))
+    d = ordering.chunked(ordering.numbered(df, [by], [order], "_no"), "_no", 1)
+    back = F.col(observed) < F.lag(observed).over(Window.partitionBy(by, "_chunk").orderBy("_no"))
     lag = F.col(read) - F.col(observed)
-    return df.withColumn("_b", back).groupBy(by).agg(F.count_if("_b").alias("backward"), F.count_if(lag < 0).alias("early"), F.max(lag).alias("max_lag"), F.count_if(lag > limit).alias("late"))
+    return d.withColumn("_b", back).where("_own").groupBy(by).agg(F.count_if("_b").alias("backward"), F.count_if(lag < 0).alias("early"), F.max(lag).alias("max_lag"), F.count_if(lag > limit).alias("late"))
 
 
 def bin_reconcile(raw: DataFrame, windows: DataFrame, key: list[str], counts: str) -> DataFrame:
