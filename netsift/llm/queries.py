@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over their whole tables, and SQL where SQL can say it."""
+"""The thirteen operators as registered queries over their whole tables, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, html_main, mixing, minhash, near_vectors, nearest, packing, pii, quality, secrets
+from . import conversations, dac, html_main, mixing, minhash, near_vectors, nearest, packing, pii, quality, ranked, secrets, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_of(table(spark, sf_dir, "documents"), sharding.SHARDS)
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1,
     "op2_html_main_text": op2,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_codes": op8,
     "op9_secret_spans": op9,
     "op10_minhash_near_dedup": op10,
+    "op11_conversation_repair": op11,
+    "op12_hash_tree_shards": op12,
+    "op13_ranked_search": op13,
 }
 
 #: Exact links by cosine, components by a recursive walk along them.
@@ -143,9 +158,24 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.c
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.id = d.doc_id
 """
 
+_OP13 = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (SELECT * FROM t WHERE len(terms) > 0), b AS (SELECT count(*) AS N, CAST(sum(len(terms)) AS BIGINT) AS L FROM s),
+u AS (SELECT d, unnest(terms) AS term FROM s), f AS (SELECT d, term, count(*) AS tf FROM u GROUP BY d, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(b.N) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f CROSS JOIN b GROUP BY term),
+q AS (SELECT item_id, i, term, count(*) AS n FROM (SELECT item_id, row_number() OVER () AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT d, doc_id, 25 + (75 * len(terms) * N) // L AS m FROM s CROSS JOIN b),
+r AS (SELECT q.item_id, q.i, m.doc_id, m.d, CAST(sum(q.n * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (d) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": _OP1,
     "op4_nearest_vectors": _OP4,
     "op7_source_mixture": _OP7,
     "op10_minhash_near_dedup": _OP10,
+    "op13_ranked_search": _OP13,
 }
