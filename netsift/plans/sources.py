@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.operators import entropy, ordering
-from netsift.sources import readers
+from netsift.sources import captures, readers
 from netsift.sources.shared import shared_path
 from netsift.sources.views import Views
 
@@ -89,12 +89,14 @@ def src_run_summaries(v: Views) -> DataFrame:
 
 @query("src_checksum_manifest", "", "SELECT 'changed' AS kind, 1 AS n UNION ALL SELECT 'missing', 1")
 def src_checksum_manifest(v: Views) -> DataFrame:
+    """A manifest of the files of orders in which one digest is wrong and one name has no file."""
     path = shared_path(v.spark, "checksums")
     v.table("orders").repartition(4, "o_orderkey").write.parquet(path)
-    files = v.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    first = files.agg(F.min("name")).first()[0]
-    m = files.withColumn("sha256", F.when(F.col("name") == first, "0").otherwise(F.col("sha256"))).unionByName(v.spark.createDataFrame([("gone.parquet", "1")], "name string, sha256 string"))
-    bad = readers.checksum_mismatches(v.spark, f"{path}/*.parquet", m)
+    files = captures.digests(v.spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    one = files.agg(F.min("name").alias("_first"))  # one row
+    m = files.crossJoin(F.broadcast(one)).select("name", F.when(F.col("name") == F.col("_first"), "0").otherwise(F.col("sha256")).alias("sha256"))
+    m = m.unionByName(one.select(F.lit("gone.parquet").alias("name"), F.lit("1").alias("sha256")))
+    bad = readers.checksum_mismatches(v.spark, path, m)
     return bad.groupBy(F.when(F.col("found").isNull(), "missing").otherwise("changed").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -132,10 +134,27 @@ def _le(c: Column) -> Column:
     return F.concat(*[_be(F.pmod(F.shiftright(c.cast("long"), 8 * i), F.lit(256)), 1) for i in range(4)])
 
 
-def _whole(records: DataFrame, head: Column) -> DataFrame:
-    """One file's content for each key and 5,000 packet numbers, so at most 5,000 records: the head, then records in order."""
-    g = records.groupBy("flow_key", F.floor(F.col("packet_id") / 5000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("packet_id", "record"))).alias("r"))
-    return g.select(F.concat_ws("-", F.lit("capture"), F.col("flow_key").cast("string"), F.col("part").cast("string")).alias("path"), F.aggregate("r", head, lambda a, x: F.concat(a, x["record"])).alias("content"))
+def _binary_files(records: DataFrame, tag: str, end: str) -> str:
+    """A file for each key and million packet numbers: the head before its first record, then records in order.
+
+    Each of ``record`` ends with the bytes ``end``, which Spark's text writer puts behind every row, so the
+    file holds the records' bytes and nothing else.
+    """
+    part = F.floor(F.col("packet_id") / 1_000_000).alias("part")
+    d = records.select("flow_key", part, "packet_id", "head", "record")
+    first = d.groupBy("flow_key", "part").agg(F.min("packet_id").alias("_first"))
+    whole = F.when(F.col("packet_id") == F.col("_first"), F.concat("head", "record")).otherwise(F.col("record"))
+    value = F.substring(whole, F.lit(1), F.length(whole) - len(end)).cast("string").alias("value")
+    rows = d.join(first, ["flow_key", "part"]).repartition("flow_key", "part").sortWithinPartitions("flow_key", "part", "packet_id")
+    path = shared_path(d.sparkSession, tag)
+    rows.select(value, "flow_key", "part").write.option("lineSep", end).partitionBy("flow_key", "part").text(path)
+    return path
+
+
+def _captured(got: DataFrame) -> Column:
+    """capture-<key>-<part> from the folders of a file."""
+    named = lambda c: F.regexp_extract("path", f"{c}=([0-9]+)", 1)
+    return F.concat_ws("-", F.lit("capture"), named("flow_key"), named("part"))
 
 
 def frames(v: Views) -> DataFrame:
@@ -155,26 +174,56 @@ def proj_header_decode(v: Views) -> DataFrame:
     return frames(v).select("packet_id", *[c[n].alias(n) for n in ("ethertype", "protocol", "fragment", "syn", "src_port")])
 
 
-@query("src_pcap_job", "packets", "SELECT 'capture-' || flow_key || '-' || packet_id // 5000 AS path, count(*) AS frames, CAST(sum(epoch_us) AS BIGINT) AS time_sum, 0 AS out_of_order FROM packets GROUP BY 1")
+_JOB = "SELECT 'capture-' || flow_key || '-' || packet_id // 1000000 AS path, count(*) AS frames, CAST(sum(epoch_us) AS BIGINT) AS time_sum, CAST(sum(packet_id) AS BIGINT) AS id_sum, 0 AS out_of_order FROM packets GROUP BY 1"
+_LF = "\n"
+
+
+def _job(got: DataFrame) -> DataFrame:
+    """Frames carry their packet's number behind the header bytes."""
+    number = F.conv(F.hex(F.substring("frame", F.length("frame") - 8, F.lit(8))), 16, 10).cast("long")
+    return got.groupBy(_captured(got).alias("path")).agg(F.count(F.lit(1)).alias("frames"), F.sum("epoch_us").alias("time_sum"), F.sum(number).alias("id_sum"), F.count_if("late").alias("out_of_order"))
+
+
+def _numbered_frames(v: Views) -> DataFrame:
+    return frames(v).withColumn("frame", F.concat("frame", _be(F.col("packet_id"), 8), F.unhex(F.lit("0A"))))
+
+
+@query("src_pcap_job", "packets", _JOB)
 def src_pcap_job(v: Views) -> DataFrame:
-    """Captures built from the packets, one for each key, decoded again."""
-    n = F.length("frame")
-    us = F.col("epoch_us")
+    """Captures built from the packets, one for each key, written as files and decoded again."""
+    n, us = F.length("frame"), F.col("epoch_us")
     record = F.concat(_le(F.floor(us / 1_000_000)), _le(F.pmod(us, F.lit(1_000_000))), _le(n), _le(n), F.col("frame"))
     head = F.unhex(F.lit("d4c3b2a1" + "0200" + "0400" + "00" * 8 + "ffff0000" + "01000000"))
-    got = readers.pcap_rows(_whole(frames(v).select("flow_key", "packet_id", record.alias("record")), head))
-    late = readers.order_faults(got).groupBy("path").agg(F.count(F.lit(1)).alias("_late"))
-    return got.groupBy("path").agg(F.count(F.lit(1)).alias("frames"), F.sum("epoch_us").alias("time_sum")).join(late, "path", "left").select("path", "frames", "time_sum", F.coalesce("_late", F.lit(0)).alias("out_of_order"))
+    path = _binary_files(_numbered_frames(v).select("flow_key", "packet_id", head.alias("head"), record.alias("record")), "captures", _LF)
+    return _job(readers.pcap(v.spark, path))
+
+
+@query("src_pcapng_job", "packets", _JOB)
+def src_pcapng_job(v: Views) -> DataFrame:
+    """The same as block captures: two interfaces, one counting nanoseconds, blocks of 96 bytes each."""
+    size, k = "60000000", F.col("packet_id")
+    comment, none = "01003c00" + "2e" * 60, "00000000"
+    section = "0a0d0d0a" + size + "4d3c2b1a" + "01000000" + "ff" * 8 + comment + none + size
+    interface = lambda digits: "01000000" + size + "01000000" + "00000400" + "09000100" + f"{digits:02x}000000" + comment + none + size
+    ticks = F.when(k % 2 == 1, F.col("epoch_us") * 1000).otherwise(F.col("epoch_us"))
+    body = F.rpad(F.col("frame"), F.lit(64), F.unhex(F.lit("00")))  # what follows the frame reads as the end of options
+    n = F.length("frame")
+    block = F.concat(F.unhex(F.lit("06000000" + size)), _le(F.pmod(k, F.lit(2))), _le(F.shiftright(ticks, 32)), _le(F.pmod(ticks, F.lit(2**32))), _le(n), _le(n), body, F.unhex(F.lit(size)))
+    d = _numbered_frames(v).withColumn("frame", F.concat(F.substring("frame", F.lit(1), F.least(F.lit(55), F.length("frame") - 9)), F.substring("frame", F.length("frame") - 8, F.lit(9))))
+    path = _binary_files(d.select("flow_key", "packet_id", F.unhex(F.lit(section + interface(6) + interface(9))).alias("head"), block.alias("record")), "blocks", "`\x00\x00\x00")
+    return _job(readers.pcap(v.spark, path, "pcapng", strict=True))
 
 
-@query("src_datagram_log", "packets", "SELECT 'capture-' || flow_key || '-' || packet_id // 5000 AS path, count(*) AS datagrams, CAST(sum(CASE WHEN packet_id % 11 = 0 THEN 0 ELSE 8 END) AS BIGINT) AS bytes FROM packets GROUP BY 1")
+@query("src_datagram_log", "packets", "SELECT 'capture-' || flow_key || '-' || packet_id // 1000000 AS path, count(*) + count(*) FILTER (WHERE packet_id % 11 = 0) AS datagrams, CAST(9 * count(*) AS BIGINT) AS bytes, 0 AS out_of_order FROM packets GROUP BY 1")
 def src_datagram_log(v: Views) -> DataFrame:
-    """Logs of length-prefixed datagrams (time 2.0, the packet's number as payload, every 11th empty), decoded again."""
+    """Logs of length-prefixed datagrams (the packet's number as payload, an empty one before every 11th), decoded again."""
     k = F.col("packet_id")
     two = F.unhex(F.lit("4000000000000000"))  # 2.0 as a double
-    record = F.when(k % 11 == 0, F.concat(two, _be(F.lit(0), 4))).otherwise(F.concat(two, _be(F.lit(8), 4), _be(k, 8)))
-    got = readers.datagram_rows(_whole(v.packets.select("flow_key", "packet_id", record.alias("record")), F.unhex(F.lit(""))))
-    return got.groupBy("path").agg(F.count(F.lit(1)).alias("datagrams"), F.sum(F.length("payload").cast("long")).alias("bytes"))
+    record = F.concat(two, _be(F.lit(9), 4), _be(k, 8), F.unhex(F.lit("0A")))
+    record = F.when(k % 11 == 0, F.concat(two, _be(F.lit(0), 4), record)).otherwise(record)
+    path = _binary_files(v.packets.select("flow_key", "packet_id", F.unhex(F.lit("")).alias("head"), record.alias("record")), "logs", _LF)
+    got = readers.datagram_log(v.spark, path)
+    return got.groupBy(_captured(got).alias("path")).agg(F.count(F.lit(1)).alias("datagrams"), F.sum(F.length("payload").cast("long")).alias("bytes"), F.count_if("late").alias("out_of_order"))
 
 
 @query("proj_sflow_explode", "packets", "SELECT packet_id AS datagram, CASE WHEN packet_id % 23 <> 0 THEN '0a000001' END AS agent, CASE WHEN packet_id % 23 <> 0 THEN packet_id END AS sequence, CASE WHEN packet_id % 23 <> 0 THEN 64 END AS rate, CASE WHEN packet_id % 23 <> 0 THEN CAST(length AS BIGINT) END AS frame_length, CASE WHEN packet_id % 23 <> 0 AND protocol IN (1, 6, 17) THEN protocol END AS protocol, packet_id % 23 = 0 AS malformed FROM packets WHERE protocol IN (1, 6, 17)")

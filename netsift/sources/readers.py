@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import captures
+
 FLOW_LABEL_SCHEMA = "start_epoch double, end_epoch double, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, label int, attack_family string, offset long"
 TIMELINE_SCHEMA = "verified boolean, source string, time_basis string, intervals array<struct<start: double, end: double, label: int, attack_family: string>>"
 
@@ -65,78 +67,20 @@ def run_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def checksum_mismatches(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(name, expected, found) for files that differ from the manifest (name, sha256) or are on one side only."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    f = captures.digests(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("found"))
     return f.join(manifest.select("name", F.col("sha256").alias("expected")), "name", "full").where(~F.col("found").eqNullSafe(F.col("expected")))
 
 
-# Link type and magic numbers of capture files.
-ETHERNET = 1
-MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-
+def pcap(spark: SparkSession, path: str, form: str = "pcap", strict: bool = False, **cells: int) -> DataFrame:
+    """(path, number, epoch_us, frame, late) of capture files of any size, ``form`` pcap or pcapng; see ``captures.records``."""
+    d = captures.records(spark, path, form, strict, **cells)
+    return d.select("path", "number", F.col("time").alias("epoch_us"), F.col("data").alias("frame"), "late")
 
-def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            if content[:4] not in MAGIC:
-                raise ValueError(f"{path} is no capture file")
-            order, unit = MAGIC[content[:4]]
-            if struct.unpack_from(order + "I", content, 20)[0] & 0xFFFF != ETHERNET:
-                raise ValueError(f"{path} is not Ethernet")
-            at, rows = 24, ([], [], [])
-            while at < len(content):
-                if at + 16 > len(content):
-                    raise ValueError(f"{path} is cut")
-                s, frac, size, _ = struct.unpack_from(order + "4I", content, at)
-                if at + 16 + size > len(content):
-                    raise ValueError(f"{path} is cut")
-                rows[0].append(len(rows[0]))
-                rows[1].append(s * 1_000_000 + frac // unit)
-                rows[2].append(content[at + 16 : at + 16 + size])
-                at += 16 + size
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows[0])), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["path", "number", "epoch_us", "frame"])
-
-
-def pcap_rows(files: DataFrame) -> DataFrame:
-    """(path, number, epoch_us, frame) of whole captures in (path, content)."""
-    return files.select("path", "content").mapInArrow(_captures, "path string, number long, epoch_us long, frame binary")
-
-
-def pcap(spark: SparkSession, path: str) -> DataFrame:
-    """The frames of capture files; one file is read by one task."""
-    return pcap_rows(spark.read.format("binaryFile").load(path))
-
-
-def order_faults(frames: DataFrame) -> DataFrame:
-    """Frames that are older than the one before them in their capture."""
-    from pyspark.sql import Window
 
-    before = F.lag("epoch_us").over(Window.partitionBy("path").orderBy("number"))
-    return frames.withColumn("_b", before).where("epoch_us < _b").drop("_b")
-
-
-def _datagrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            at, times, loads = 0, [], []
-            while at < len(content):
-                if at + 12 > len(content):
-                    raise ValueError(f"{path} is cut")
-                t, size = struct.unpack_from("!dI", content, at)
-                if at + 12 + size > len(content):
-                    raise ValueError(f"{path} is cut")
-                times.append(t)
-                loads.append(content[at + 12 : at + 12 + size])
-                at += 12 + size
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(times)), pa.array(times, pa.float64()), pa.array(loads, pa.binary())], names=["path", "epoch", "payload"])
-
-
-def datagram_rows(files: DataFrame) -> DataFrame:
-    """(path, epoch, payload) of whole length-prefixed logs in (path, content); a cut log raises."""
-    return files.select("path", "content").mapInArrow(_datagrams, "path string, epoch double, payload binary")
-
-
-def datagram_log(spark: SparkSession, path: str) -> DataFrame:
-    return datagram_rows(spark.read.format("binaryFile").load(path))
+def datagram_log(spark: SparkSession, path: str, strict: bool = False, **cells: int) -> DataFrame:
+    """(path, number, epoch, payload, late) of length-prefixed logs of any size; a cut log raises."""
+    d = captures.records(spark, path, "datagrams", strict, **cells)
+    return d.select("path", "number", F.col("time").alias("epoch"), F.col("data").alias("payload"), "late")
 
 
 def _samples(data: bytes) -> tuple[dict, list[tuple[int, int, int, int, bytes]]]:

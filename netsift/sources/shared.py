@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once for each context, for functions that run in Python workers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_netsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    to = os.path.join(tempfile.mkdtemp(prefix="spark-pyfiles-"), f"netsift_{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(to)
+    sc._netsift_shipped = True
