@@ -280,6 +280,8 @@ def _searching(k: int):
                     yield from result()
                     block, items, heaps, shard, at = mine, [], [], None, None
                 if not r["item_no"].is_valid:
+                    if not items:  # a block whose items have no term that is anywhere
+                        continue
                     if r["shard"].as_py() != at:
                         searched()
                         at, shard = r["shard"].as_py(), Shard({"docs": r["docs"].as_py(), "sizes": r["sizes"].as_py()}, base)
