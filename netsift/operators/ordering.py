@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.sources.shared import written
+
 #: Ranges that a position column is cut into: at least so many, and at least the session's shuffle partitions.
 RANGES = 64
 
@@ -109,6 +111,55 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str, total: st
     return running_within(df, by, order, {out: F.lit(1).cast("long")}, inclusive=False, totals={out: total} if total else None)
 
 
+_SCANS = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+
+
+def scan_within(df: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """For each name the sum, max, min or last known value of a column over the rows of the group up to this one, or before it.
+
+    As ``running_within``: the first of ``order`` is a number that is cut into ranges, a range begins with a row
+    that holds the summary of the group's ranges before. Sums of nothing are 0, others null. A ``_range`` that
+    ``df`` has already (``ranged`` by the same column) is used and stays, so several scans cut once.
+    """
+    given = "_range" in df.columns
+    d = (df if given else ranged(df, order[0])).withColumns({f"_v_{o}": c for o, (_, c) in values.items()}).withColumn("_row", F.lit(True))
+    newest = lambda o: F.max(F.when(F.col(f"_v_{o}").isNotNull(), F.struct(*order, F.col(f"_v_{o}").alias("_x"))))["_x"]
+    whole = d.groupBy(*by, "_range").agg(*[(newest(o) if kind == "last" else _SCANS[kind](f"_v_{o}")).alias(f"_v_{o}") for o, (kind, _) in values.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    carry = whole.select(*by, "_range", *[_SCANS[kind](f"_v_{o}").over(before).alias(f"_v_{o}") for o, (kind, _) in values.items()], F.lit(False).alias("_row"))
+    upto = Window.partitionBy(*by, "_range").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    found = {o: _SCANS[kind](f"_v_{o}").over(upto) for o, (kind, _) in values.items()}
+    out = {o: F.coalesce(c, F.lit(0)) if values[o][0] == "sum" else c for o, c in found.items()}
+    u = d.unionByName(carry, allowMissingColumns=True).withColumns(out).where("_row")
+    return u.drop("_row", *([] if given else ["_range"]), *[f"_v_{o}" for o in values])
+
+
+def streaks(df: DataFrame, by: list[str], order: list[str], hit: Column, out: str, anew: Column | None = None) -> DataFrame:
+    """How many rows in a row, up to each, were hits: 0 for others, counted from the row itself where ``anew``.
+
+    Every range sums itself up as (rows, whether a streak broke in it, hits at its end); one row for each group
+    and range carries the streak into the next, over any number of ranges without a break. No window holds
+    more than a group's rows of one range. A null hit is none.
+    """
+    hit = F.coalesce(hit, F.lit(False))
+    d = ranged(df.drop("_range"), order[0]).withColumn("_h", hit.cast("long"))
+    d = d.withColumn("_b", (~hit | F.coalesce(anew, F.lit(False)) if anew is not None else ~hit).cast("long"))
+    d = d.withColumn("_g", F.sum("_b").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.sum("_h").over(Window.partitionBy(*by, "_range", "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    d = written(d.withColumn("_s", here), "streaks")
+    ends = d.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"), F.max("_b").alias("_broke"), F.max(F.struct(*order, "_s"))["_s"].alias("_end"))
+    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # one row a range
+    rows = F.sum("_n").over(upto)
+    ends = ends.withColumn("_upto", rows).withColumn("_base", F.coalesce(F.last(F.when(F.col("_broke") == 1, F.col("_upto") - F.col("_end")), ignorenulls=True).over(upto), F.lit(0)))
+    carry = ends.select(*by, "_range", F.coalesce(F.lag(F.col("_upto") - F.col("_base")).over(Window.partitionBy(*by).orderBy("_range")), F.lit(0)).alias("_carry"))
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*by, "_range"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    j = d.alias("d").join(carry.alias("c"), on).select("d.*", "_carry")
+    return j.withColumn(out, F.col("_s") + F.when(F.col("_g") == 0, F.col("_carry")).otherwise(0)).drop("_h", "_b", "_g", "_s", "_carry", "_range")
+
+
 #: Rows of a series that one chunk holds, unless more are looked back at.
 CHUNK = 16_384
 

@@ -33,12 +33,49 @@ def long_metrics(trials: DataFrame, keys: list[str], metrics: dict[str, Column])
     return trials.select(*keys, *[c.alias(n) for n, c in metrics.items()]).unpivot(keys, list(metrics), "metric", "value")
 
 
-def aggregate_trials(long: DataFrame, by: list[str], trial: str, expected: int = 3) -> DataFrame:
-    """Interval of each cell and metric; repeated trials make a cell unavailable; missing trials are counted."""
-    reps = long.groupBy(*by, "metric").agg(F.count_distinct(trial).alias("trials"), F.count(F.lit(1)).alias("_n"))
-    s = student(long, [*by, "metric"], "value").join(reps, [*by, "metric"])
-    status = F.when(F.col("_n") > F.col("trials"), "duplicate_trials").when(F.col("n") == 0, "no_value").otherwise("available")
-    return s.select(*by, "metric", "n", "mean", "sd", "ci_lo", "ci_hi", status.alias("status"), F.greatest(F.lit(expected) - F.col("trials"), F.lit(0)).alias("missing"), (F.col("trials") == expected).alias("complete"))
+# What a run must say to count as evidence.
+EVIDENCE = {"source": "official_realtime_verified", "status": "completed"}
+PILOT, MEASURED = "validation_pilot", "measured"
+
+
+def eligible(source: str = "source", status: str = "status", role: str = "study_role", accepted: str = "accepted") -> Column:
+    """Completed, accepted runs of the official source that are no pilots; what is unknown doesn't count."""
+    ok = (F.col(source) == EVIDENCE["source"]) & (F.col(status) == EVIDENCE["status"]) & F.col(accepted) & (F.coalesce(F.col(role), F.lit("")) != PILOT)
+    return F.coalesce(ok, F.lit(False))
+
+
+def excluded_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs that don't count, each with the reason."""
+    why = F.when(~F.col("source").eqNullSafe(F.lit(EVIDENCE["source"])), "not of the official source").when(~F.col("status").eqNullSafe(F.lit(EVIDENCE["status"])), "not completed")
+    why = why.when(F.col("study_role") == PILOT, "a pilot").otherwise("not accepted")
+    return runs.where(~eligible()).select(*keys, "status", why.alias("reason"))
+
+
+def aggregate_trials(runs: DataFrame, by: list[str], trial: str, expected: int = 3) -> DataFrame:
+    """Interval of each comparison group and metric over its eligible runs.
+
+    ``runs`` has one row a run: the columns ``by`` (null is a value), its trial, the evidence columns of
+    ``eligible`` and ``metrics``, a map from name to (value, unit, status). A value counts if it is measured and finite.
+    Doubled or unknown trials, and values of several units, leave a metric without statistics (n 0) and
+    give the reason; ``missing`` counts the group's runs without a usable value; ``complete`` says that the group
+    has ``expected`` trials, none twice.
+    """
+    ok = runs.where(eligible())
+    groups = ok.groupBy(*by).agg(F.count(F.lit(1)).alias("_runs"), F.count_distinct(trial).alias("_trials"))
+    x = ok.select(*by, F.explode("metrics").alias("metric", "_m"))
+    value = F.when((F.col("_m.status") == MEASURED) & ~F.isnan("_m.value") & (F.abs("_m.value") < float("inf")), F.col("_m.value"))
+    x = x.withColumn("value", value).withColumn("_u", F.when(F.col("value").isNotNull(), F.coalesce(F.concat(F.lit("="), "_m.unit"), F.lit(""))))
+    s = student(x, [*by, "metric"], "value").drop("few")
+    units = x.groupBy(*by, "metric").agg(F.count_distinct("_u").alias("_units"), F.min("_u").alias("_unit"))
+    on = lambda a, b, keys: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys]
+    j = s.alias("s").join(units.alias("u"), on("s", "u", [*by, "metric"])).select("s.*", "_units", "_unit")
+    j = j.alias("s").join(groups.alias("g"), on("s", "g", by)).select("s.*", "_units", "_unit", "_runs", "_trials")
+    doubled = F.col("_trials") != F.col("_runs")  # an unknown trial is in no count of trials
+    good = ~doubled & (F.col("_units") == 1)
+    stats = [F.when(good, F.col(c)).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi")]
+    reason = F.when(doubled, "duplicate trials").when(F.col("_units") > 1, "incompatible units").when(F.col("n") == 0, "no value")
+    unit = F.when((F.col("_units") == 1) & (F.col("_unit") != ""), F.substring("_unit", 2, 1 << 30))
+    return j.select(*by, "metric", F.when(good, F.col("n")).otherwise(0).alias("n"), *stats, unit.alias("unit"), (F.col("_runs") - F.col("n")).alias("missing"), reason.alias("reason"), (~doubled & (F.col("_trials") == expected)).alias("complete"))
 
 
 def paired_delta(long: DataFrame, by: list[str], trial: str, rate: str, base: int = 1) -> DataFrame:

@@ -36,8 +36,7 @@ def tumbling(packets: DataFrame, width_us: int, origin_us: int | None = None) ->
         F.count(F.lit(1)).alias("packets"), F.sum(F.col("sample_rate").cast("long")).alias("weight"), F.sum(F.col("sample_rate").cast("long") * F.col("length")).alias("bytes"), F.sum(F.col("length").cast("long")).alias("length_sum"),
         one(17).alias("udp"), one(6).alias("tcp"), one(1).alias("icmp"), F.count_if("syn").alias("syn"),
     )
-    spine = ends.where("lo IS NOT NULL AND hi >= lo").select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / width_us))).alias("win"), "lo")
-    s = spine.join(a, "win", "left").na.fill(0, ["packets", "weight", "bytes", "length_sum", "udp", "tcp", "icmp", "syn"])
+    s = spine(ends, width_us).join(a, "win", "left").na.fill(0, ["packets", "weight", "bytes", "length_sum", "udp", "tcp", "icmp", "syn"])
     per_s = 1e6 / width_us
     share = lambda c: F.coalesce(ratio(F.col(c), F.col("packets")), F.lit(0.0)).alias(f"{c}_fraction")
     return s.select(
@@ -46,6 +45,18 @@ def tumbling(packets: DataFrame, width_us: int, origin_us: int | None = None) ->
     )
 
 
+#: Windows that one row of the spine's first step stands for.
+_SPINE = 1 << 16
+
+
+def spine(ends: DataFrame, width_us: int) -> DataFrame:
+    """(win, lo) for every window of the one row (lo, hi): blocks of window numbers are dealt to tasks and written out there."""
+    blocks = ends.where("lo IS NOT NULL AND hi >= lo").withColumn("_n", F.floor((F.col("hi") - F.col("lo")) / width_us))
+    blocks = blocks.select("lo", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_n") / _SPINE))).alias("_b")).repartition("_b")
+    first = F.col("_b") * _SPINE
+    return blocks.select(F.explode(F.sequence(first, F.least(first + _SPINE - 1, F.col("_n")))).alias("win"), "lo")
+
+
 def complete(windows: DataFrame) -> DataFrame:
     """All windows but the last, which the end of the capture cuts."""
     return windows.crossJoin(F.broadcast(windows.agg(F.max("win").alias("_last")))).where("win < _last").drop("_last")
@@ -82,11 +93,15 @@ def recent_history(windows: DataFrame, horizon_us: int) -> DataFrame:
     return windows.join(h, "win")
 
 
-def empty_streak(windows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """Number of empty windows in a row up to each window; packets reset it."""
-    w = Window.partitionBy(*by).orderBy(order)
-    d = windows.withColumn("_g", F.sum(1 - F.col("empty_window")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn("streak", F.sum("empty_window").over(Window.partitionBy(*by, "_g").orderBy(order))).drop("_g")
+def empty_streak(windows: DataFrame, by: list[str], order: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Number of empty windows in a row up to each window; packets reset it, and so does a hole between windows.
+
+    With ``start`` and ``end`` a window that starts after the end of the one before begins anew.
+    """
+    d, hole = windows, None
+    if start and end:
+        d, hole = ordering.scan_within(d, by, [order], {"_e": ("last", F.col(end))}, inclusive=False), F.col(start) > F.col("_e")
+    return ordering.streaks(d, by, [order], F.col("empty_window") == 1, "streak", hole).drop("_e")
 
 
 def family_counts(packets: DataFrame, width_us: int, families: dict[int, str]) -> DataFrame:

@@ -34,9 +34,39 @@ def st_student_ci(v: Views) -> DataFrame:
     return study.student(_long(v), ["scenario", "metric"], "value")
 
 
-@query("st_aggregate_trials", "trials", f"SELECT scenario, sampling_rate, metric, {_STATS.format(v='value')}, 'available' AS status, greatest(3 - count(DISTINCT trial_id), 0) AS missing, count(DISTINCT trial_id) = 3 AS complete FROM lg GROUP BY 1, 2, 3", LONG)
+RUNS = """
+rn AS (SELECT scenario, sampling_rate, trial_id AS nominal, CASE WHEN scenario = 'N' AND sampling_rate = 10 AND trial_id = 3 THEN 2 WHEN scenario = 'N' AND sampling_rate = 20 AND trial_id = 3 THEN NULL ELSE trial_id END AS trial,
+  CASE WHEN scenario = 'R' AND sampling_rate = 1 AND trial_id = 1 THEN 'offline' ELSE 'official_realtime_verified' END AS source, CASE WHEN scenario = 'A' AND sampling_rate = 50 AND trial_id = 2 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN scenario = 'R' AND sampling_rate = 20 AND trial_id = 1 THEN 'validation_pilot' END AS study_role, CASE WHEN scenario = 'N' AND sampling_rate = 1 THEN trial_id <> 3 WHEN scenario = 'N' AND sampling_rate = 2 AND trial_id = 1 THEN NULL ELSE true END AS accepted,
+  disc_sum::DOUBLE / n AS discount, CASE WHEN scenario = 'A' AND sampling_rate = 2 AND trial_id = 1 THEN 'unavailable' ELSE 'measured' END AS d_status, qty_sum::DOUBLE / n AS quantity, CASE WHEN scenario = 'R' AND sampling_rate = 5 AND trial_id = 1 THEN 'dozens' ELSE 'items' END AS q_unit FROM trials),
+ok AS (SELECT *, source = 'official_realtime_verified' AND status = 'completed' AND coalesce(study_role, '') <> 'validation_pilot' AND coalesce(accepted, false) AS ok FROM rn),
+gr AS (SELECT scenario, sampling_rate, count(*) AS runs, count(DISTINCT trial) AS trials FROM ok WHERE ok GROUP BY 1, 2),
+me AS (SELECT scenario, sampling_rate, 'discount' AS metric, CASE WHEN d_status = 'measured' THEN discount END AS value, 'ratio' AS unit FROM ok WHERE ok UNION ALL SELECT scenario, sampling_rate, 'quantity', quantity, q_unit FROM ok WHERE ok),
+st AS (SELECT scenario, sampling_rate, metric, """ + _STATS.format(v="value") + """, count(DISTINCT unit) FILTER (WHERE value IS NOT NULL) AS units, min(unit) FILTER (WHERE value IS NOT NULL) AS unit FROM me GROUP BY 1, 2, 3),
+aj AS (SELECT st.*, runs, trials, trials = runs AND units = 1 AS good FROM st JOIN gr USING (scenario, sampling_rate))"""
+
+
+def _runs(v: Views) -> DataFrame:
+    """The trials as run summaries: some without evidence, with a doubled trial, another unit or no measurement."""
+    at = lambda s, r, t: (F.col("scenario") == s) & (F.col("sampling_rate") == r) & (F.col("trial_id") == t)
+    metric = lambda x, unit, status: F.struct(x.alias("value"), unit.alias("unit"), status.alias("status"))
+    discount = metric(F.col("disc_sum") / F.col("n"), F.lit("ratio"), F.when(at("A", 2, 1), "unavailable").otherwise("measured"))
+    quantity = metric(F.col("qty_sum") / F.col("n"), F.when(at("R", 5, 1), "dozens").otherwise("items"), F.lit("measured"))
+    return v.trials.select(
+        "scenario", "sampling_rate", F.when(at("N", 10, 3), 2).when(~at("N", 20, 3), F.col("trial_id")).alias("trial"), F.col("trial_id").alias("nominal"), F.when(at("R", 1, 1), "offline").otherwise("official_realtime_verified").alias("source"), F.when(at("A", 50, 2), "failed").otherwise("completed").alias("status"),
+        F.when(at("R", 20, 1), "validation_pilot").alias("study_role"), F.when(at("N", 1, 3), False).when(~at("N", 2, 1), True).alias("accepted"), F.create_map(F.lit("discount"), discount, F.lit("quantity"), quantity).alias("metrics"),
+    )
+
+
+@query("st_aggregate_trials", "trials", """SELECT scenario, sampling_rate, metric, CASE WHEN good THEN n ELSE 0 END AS n, CASE WHEN good THEN mean END AS mean, CASE WHEN good THEN sd END AS sd, CASE WHEN good THEN ci_lo END AS ci_lo, CASE WHEN good THEN ci_hi END AS ci_hi,
+CASE WHEN units = 1 THEN unit END AS unit, runs - n AS missing, CASE WHEN trials <> runs THEN 'duplicate trials' WHEN units > 1 THEN 'incompatible units' WHEN n = 0 THEN 'no value' END AS reason, trials = runs AND trials = 3 AS complete FROM aj""", LONG + "," + RUNS)
 def st_aggregate_trials(v: Views) -> DataFrame:
-    return study.aggregate_trials(_long(v), ["scenario", "sampling_rate"], "trial_id")
+    return study.aggregate_trials(_runs(v), ["scenario", "sampling_rate"], "trial")
+
+
+@query("st_excluded_runs", "trials", """SELECT scenario, sampling_rate, nominal, status, CASE WHEN source <> 'official_realtime_verified' THEN 'not of the official source' WHEN status <> 'completed' THEN 'not completed' WHEN study_role = 'validation_pilot' THEN 'a pilot' ELSE 'not accepted' END AS reason FROM ok WHERE NOT ok""", LONG + "," + RUNS)
+def st_excluded_runs(v: Views) -> DataFrame:
+    return study.excluded_runs(_runs(v), ["scenario", "sampling_rate", "nominal"])
 
 
 @query("st_aggregate_basic", "trials", "SELECT scenario, sampling_rate, metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS lowest, max(value) AS highest, count(DISTINCT trial_id) AS seeds FROM lg GROUP BY 1, 2, 3", LONG)

@@ -63,8 +63,8 @@ def win_recent_history(v: Views) -> DataFrame:
 
 @query("win_empty_streak", "packets", """, g AS (SELECT *, sum(1 - empty_window) OVER (ORDER BY win ROWS UNBOUNDED PRECEDING) AS g FROM tw) SELECT win, CAST(sum(empty_window) OVER (PARTITION BY g ORDER BY win) AS BIGINT) AS streak FROM g""", TUMBLE.replace(str(WIN), str(HOUR // 6)))
 def win_empty_streak(v: Views) -> DataFrame:
-    d = windows.tumbling(v.packets, HOUR // 6).withColumn("run", F.lit(0))
-    return windows.empty_streak(d, ["run"], "win").select("win", "streak")
+    d = windows.tumbling(v.packets, HOUR // 6).withColumns({"run": F.lit(0), "end_us": F.col("start_us") + HOUR // 6})
+    return windows.empty_streak(d, ["run"], "win", "start_us", "end_us").select("win", "streak")
 
 
 @query("win_rx_family_counts", "packets", f"SELECT epoch_us // {HOUR} AS win, count(*) FILTER (WHERE protocol = 17) AS udp, count(*) FILTER (WHERE protocol = 6) AS tcp, count(*) FILTER (WHERE protocol = 1) AS icmp, count(*) AS packets FROM packets GROUP BY 1")
