@@ -30,7 +30,7 @@ from .shingles import span_hashes, spans, string_bytes
 K = 10
 BLOCK = 128
 #: A shard ends at so many postings or documents (a longer document ends it alone).
-SHARD_POSTINGS, SHARD_DOCS = 2_000_000, 1 << 16
+SHARD_POSTINGS, SHARD_DOCS = 1_000_000, 1 << 16
 WINDOW = 8192
 #: Items searched by one task, at most; more are searched in several passes over the index.
 ITEMS = 4000
