@@ -224,10 +224,10 @@ def ml_variant_compare(v: Views) -> DataFrame:
 @query("ml_drift_monitor")
 def ml_drift_monitor(v: Views) -> DataFrame:
     """The error series turns over halfway, so a shift is there to be found."""
-    late = F.col("idx") > F.lit(1) * v.predictions.agg(F.max("idx")).first()[0] / 2
-    wrong = ((F.col("score") >= 0.5).cast("int") != F.col("y_true")) != late
-    d = v.predictions.where("y_true IS NOT NULL").withColumn("error", wrong.cast("int"))
-    return learn.drift_events(d, "run_id", "idx", "error")
+    half = v.predictions.agg((F.max("idx") / 2).alias("_half"))  # one row
+    d = v.predictions.where("y_true IS NOT NULL").crossJoin(F.broadcast(half))
+    wrong = ((F.col("score") >= 0.5).cast("int") != F.col("y_true")) != (F.col("idx") > F.col("_half"))
+    return learn.drift_events(d.withColumn("error", wrong.cast("int")), "run_id", "idx", "error")
 
 
 @query("ml_random_forest")

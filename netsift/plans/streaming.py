@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsift.sources.views import Views
-from netsift.streaming import windows
+from netsift.streaming import stateful, windows
 
 from .base import query
 
@@ -20,9 +20,20 @@ _TUMBLE = """SELECT (epoch_us // {w}) * {w} AS start_us, (epoch_us // {w} + 1) *
 GROUP BY 1, 2 HAVING (epoch_us // {w} + 1) * {w} <= (SELECT max(epoch_us) // 1000 * 1000 - {d} FROM packets)"""
 
 
-@query("str_tumbling_features", "packets", _TUMBLE.format(w=14_400_000_000, d=0))
+def _runs(v: Views) -> DataFrame:
+    kind = F.create_map(*[F.lit(x) for pair in (("click", 6), ("view", 17), ("purchase", 1), ("signup", 6)) for x in pair])
+    return _packets(v).withColumns({"run": F.col("user_id") % 4, "at_us": F.unix_micros("ts"), "protocol": F.coalesce(kind[F.col("event_type")], F.lit(58)), "sample_rate": F.lit(1)})
+
+
+_FEATURES = """, p AS (SELECT *, flow_key % 4 AS run, epoch_us // {w} AS win FROM packets), e AS (SELECT run, min(win) AS lo, (max(epoch_us) - {d}) // {w} AS hi FROM p GROUP BY run),
+sp AS (SELECT run, unnest(range(lo, hi)) AS win FROM e), a AS (SELECT run, win, count(*) AS n, sum(length) AS len, count(*) FILTER (WHERE protocol = 17) AS udp, count(*) FILTER (WHERE protocol = 6) AS tcp, count(*) FILTER (WHERE protocol = 1) AS icmp, count(*) FILTER (WHERE syn) AS syn FROM p GROUP BY 1, 2)
+SELECT sp.run, sp.win * {w} AS start_us, (sp.win + 1) * {w} AS end_us, coalesce(n, 0) AS packets, coalesce(n, 0) * (1000000.0::DOUBLE / {w}) AS packets_per_second, coalesce(len, 0)::DOUBLE * (1000000.0::DOUBLE / {w}) AS bytes_per_second, coalesce(len::DOUBLE / n, 0) AS mean_packet_size,
+coalesce(udp::DOUBLE / n, 0) AS udp_fraction, coalesce(tcp::DOUBLE / n, 0) AS tcp_fraction, coalesce(icmp::DOUBLE / n, 0) AS icmp_fraction, coalesce(syn::DOUBLE / n, 0) AS syn_fraction, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS empty_window, 0 AS late FROM sp LEFT JOIN a ON a.run = sp.run AND a.win = sp.win"""
+
+
+@query("str_tumbling_features", "packets", _FEATURES.format(w=1_800_000_000, d=0))
 def str_tumbling_features(v: Views) -> DataFrame:
-    return windows.drained(windows.tumbling(_packets(v), "4 hours", "0 seconds"), "tumbling")
+    return windows.drained(stateful.feature_windows(_runs(v), "run", "at_us", 1_800_000_000, 0), "tumbling")
 
 
 @query("str_watermark", "packets", _TUMBLE.format(w=3_600_000_000, d=172_800_000_000))
@@ -54,9 +65,18 @@ def str_ewma_mad(v: Views) -> DataFrame:
     return windows.drained(windows.ewma_mad(d, "key", "event_id", "value", 0.2, 20, 10, 3.0), "ewma")
 
 
-@query("str_late_strict", "packets", _TUMBLE.format(w=86_400_000_000, d=0))
+@query("str_late_strict", "packets", _FEATURES.format(w=86_400_000_000, d=3_600_000_000))
 def str_late_strict(v: Views) -> DataFrame:
-    return windows.late_rows(_packets(v), "1 day", "0 seconds", "ts", "late", strict=True)[0]
+    """A stream that a late packet would fail; the table's files hold none."""
+    return windows.drained(stateful.feature_windows(_runs(v), "run", "at_us", 86_400_000_000, 3_600_000_000, strict=True), "late")
+
+
+@query("str_drift_monitor")
+def str_drift_monitor(v: Views) -> DataFrame:
+    """Drift over the stream of errors of a rule that fails more often from a fixed time on."""
+    often = F.col("ts") > F.lit("2024-01-16").cast("timestamp")
+    e = _packets(v).select((F.col("user_id") % 3).alias("run"), "event_id", (F.col("value") > F.when(often, 15).otherwise(60)).cast("int").alias("error"))
+    return windows.drained(stateful.drift_stream(e, "run", "event_id", "error"), "drift")
 
 
 @query("str_progress_metrics", "packets", "SELECT count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, max(epoch_us) AS latest_us FROM packets")

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netsift.sources.shared import shared_path
 
+from .stateful import with_rocksdb
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stream over a table's files; the pattern lets a single file stand for a folder."""
@@ -22,7 +24,8 @@ def drained(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into Parquet in the shared folder, and read it."""
     spark = stream.sparkSession
     out = shared_path(spark, tag)
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out).outputMode(mode).trigger(availableNow=True).start()
+    with with_rocksdb(spark):
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -114,15 +117,3 @@ def observed(stream: DataFrame, **metrics: Column) -> DataFrame:
         spark.conf.set(keep, before)
     schema = "batch long, " + ", ".join(f"{k} {f.dataType.simpleString()}" for k, f in zip(metrics, stream.sparkSession.createDataFrame([], stream.schema).agg(*[x.alias(k) for k, x in metrics.items()]).schema))
     return spark.createDataFrame([(b, *[r[k] for k in metrics]) for b, r in seen], schema)
-
-
-def late_rows(packets: DataFrame, width: str, delay: str, at: str, tag: str, strict: bool = False) -> tuple[DataFrame, int]:
-    """Windows of the stream and the number of rows that came behind the watermark; ``strict`` raises on any."""
-    spark = packets.sparkSession
-    out = shared_path(spark, tag)
-    q = tumbling(packets, width, delay, at).writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    late = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p["stateOperators"])
-    if strict and late:
-        raise ValueError(f"{late} rows came behind a closed window")
-    return spark.read.parquet(out), late
