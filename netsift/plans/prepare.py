@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators import learn, ordering, prepare, splits
+from netsift.operators import learn, ordering, preparation, prepare, splits
 from netsift.sources.views import Views
 
 from .base import query
@@ -171,10 +171,24 @@ def ml_onehot(v: Views) -> DataFrame:
     return prepare.one_hot(v.flows.select("pos", "proto"), v.flows.where("pos % 2 = 0"), "proto").drop("proto")
 
 
-@query("ml_prepare", "flows", "SELECT split, count(*) AS n, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM tf GROUP BY split", _TRANSFORM)
+_PREPARED = _TRANSFORM + """, pp AS (SELECT tf.*, sp.proto, CASE WHEN sp.label = 'Malicious' THEN 1 ELSE 0 END AS y FROM tf JOIN sp ON sp.pos = tf.pos)"""
+_PARTS = "count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, " + ", ".join(f"round(avg({x}), 9) + 0.0::DOUBLE AS {x}" for x in "abc") + ", " + ", ".join(f"avg(CASE WHEN proto = '{p}' THEN 1.0::DOUBLE ELSE 0 END) AS proto_{p}" for p in ("arp", "icmp", "sctp", "tcp", "udp"))
+
+
+def prepared(v: Views) -> preparation.Prepared:
+    flows = v.flows.withColumns({"a": F.col("tot_bytes").cast("double"), "b": F.col("dur"), "c": F.col("dport").cast("double")})
+    return preparation.prepare_dataset(flows, ["a", "b", "c"], ["proto"])
+
+
+def part_averages(d: DataFrame, model: preparation.PreparationModel, *more: Column) -> DataFrame:
+    mean = lambda c: (F.round(F.avg(c), 9) + 0.0 if c in "abc" else F.avg(c)).alias(c)  # noqa: E731  a mean of training rows is 0 but for its sign
+    return d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), *[mean(c) for c in model.features], *more)
+
+
+@query("ml_prepare", "flows", f"SELECT split, {_PARTS} FROM pp GROUP BY split", _PREPARED)
 def ml_prepare(v: Views) -> DataFrame:
-    d, p = _numbers(v)
-    return prepare.transformed(d, p, ["a", "b", "c"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in "abc"])
+    p = prepared(v)
+    return part_averages(p.rows, p.model)
 
 
 @query("ml_class_weight", "vectors", ", q AS (SELECT y, count(*) AS n FROM vectors GROUP BY y) SELECT y, n, sum(n) OVER () / ((count(*) OVER ()) * n)::DOUBLE AS weight FROM q")
@@ -232,15 +246,18 @@ def ml_drift_monitor(v: Views) -> DataFrame:
 
 @query("ml_random_forest")
 def ml_random_forest(v: Views) -> DataFrame:
-    """A balanced forest on earlier blocks, its importances by source column."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    names = ["f1", "f2", "f3"]
-    train = v.vectors.where("block < 1997")
-    d = VectorAssembler(inputCols=names, outputCol="x").transform(train.join(F.broadcast(prepare.class_weights(train, "y").select("y", "weight")), "y"))
-    model = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=10, maxDepth=5, seed=42).fit(d)
-    return v.spark.createDataFrame([(n, float(i)) for n, i in zip(names, model.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"))
+    """The search over the prepared flows: one row a candidate, the chosen one marked, its test metrics beside it."""
+    from netsift.operators import evaluate, forest
+
+    p = prepared(v)
+    rows = v.once("prepared", lambda: p.rows)
+    part = lambda s: rows.where(F.col("split") == s)
+    found = forest.search(part("train"), part("val"), p.model.features, "y", grid={"depth": [8, 5, 3], "leaf": [1, 5, 20], "subset": ["sqrt", "0.5"]}, trees=8)
+    test = found.scored(part("test"))
+    score = evaluate.rates(evaluate.confusion(test, "y", "pred"), "zero").select("accuracy", F.col("recall").alias("test_recall"), F.col("fpr").alias("test_fpr"))
+    majority = part("test").agg(F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority"))
+    last = score.crossJoin(majority).withColumn("chosen", F.lit(True))  # one row
+    return found.table.join(F.broadcast(last), "chosen", "left").withColumn("threshold", F.when(F.col("chosen"), F.lit(found.threshold)))
 
 
 _FROZEN = """

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators import entropy, ordering
+from netsift.operators import entropy, ordering, preparation
 from netsift.sources import captures, readers
 from netsift.sources.shared import shared_path
 from netsift.sources.views import Views
 
 from .base import query
-from .entropy import FEATURES, SPINE
-from .ordering import _SPLIT
-from .prepare import _split
+from .entropy import SPINE
+from .prepare import _PARTS, _PREPARED, part_averages, prepared
 
 
 def _csv(df: DataFrame, tag: str, **options: object) -> str:
@@ -107,11 +106,16 @@ def sink_windows(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).groupBy(F.col("session_id").cast("long").alias("session_id")).agg(F.count(F.lit(1)).alias("windows"))
 
 
-@query("sink_split_matrices", "flows", "SELECT split, count(*) AS n_rows, CAST(sum(tot_bytes) AS BIGINT) AS bytes FROM sp GROUP BY split", _SPLIT)
+@query("sink_split_matrices", "flows", f"SELECT split, {_PARTS}, 0 AS differing FROM pp GROUP BY split", _PREPARED)
 def sink_split_matrices(v: Views) -> DataFrame:
-    path = shared_path(v.spark, "matrices")
-    _split(v).select("split", *FEATURES, "tot_bytes", "label").write.partitionBy("split").parquet(path)
-    return v.spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tot_bytes").alias("bytes"))
+    """Saved with model and manifest and loaded; the raw rows through the loaded model give the saved rows again."""
+    path = shared_path(v.spark, "prepared")
+    prepared(v).save(path)
+    p = preparation.Prepared.load(v.spark, path)
+    raw = v.flows.select("pos", F.col("tot_bytes").cast("double").alias("a"), F.col("dur").alias("b"), F.col("dport").cast("double").alias("c"), "proto")
+    again = p.model.transform(raw).select("pos", F.struct(*p.model.features).alias("again"))
+    d = p.rows.join(again, "pos")
+    return part_averages(d, p.model, F.count_if(~F.struct(*p.model.features).eqNullSafe(F.col("again"))).alias("differing"))
 
 
 @query("sink_prediction_log", "", "SELECT user_id % 3 AS run_id, count(*) AS n FROM events GROUP BY 1")
