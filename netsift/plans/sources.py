@@ -118,14 +118,25 @@ def sink_split_matrices(v: Views) -> DataFrame:
     return part_averages(d, p.model, F.count_if(~F.struct(*p.model.features).eqNullSafe(F.col("again"))).alias("differing"))
 
 
-@query("sink_prediction_log", "", "SELECT user_id % 3 AS run_id, count(*) AS n FROM events GROUP BY 1")
+@query("sink_prediction_log", "predictions", """SELECT run_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS id_sum, count(*) AS resource_rows, min(observed_us) AS first_us, max(observed_us) AS last_us, max(available_us - observed_us) AS max_lag_us, count(*) FILTER (WHERE y_true IS NOT NULL AND (score >= 0.5) <> (y_true = 1)) AS errors FROM predictions GROUP BY run_id""")
 def sink_prediction_log(v: Views) -> DataFrame:
-    from netsift.streaming import windows
-
-    s = windows.table_stream(v.spark, v.sf_dir, "events").select((F.col("user_id") % 3).alias("run_id"), "event_id", "value")
-    return windows.drained(s, "log").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-
-
+    """Predictions, resources and errors of a stream in three tables."""
+    from netsift.streaming import sinks, windows
+
+    s = windows.table_stream(v.spark, v.sf_dir, "events")
+    us, cents = F.unix_micros(F.col("ts").cast("timestamp")), F.round(F.col("value") * 100).cast("long")
+    score = F.least(F.floor((cents * 3 + F.col("event_id") % 40 * 100) / 300), F.lit(100)).cast("double") / 100
+    truth = F.when(F.col("event_id") % 11 != 0, (F.col("value") > 30).cast("int"))
+    rows = s.select((F.col("user_id") % 3).alias("run_id"), F.col("event_id").alias("idx"), us.alias("observed_us"), (us + F.col("event_id") % 4 * 300_000_000).alias("done_us"), truth.alias("y_true"), score.alias("score"))
+    wrong = F.col("y_true").isNotNull() & ((F.col("score") >= 0.5) != (F.col("y_true") == 1))
+    tables = {"predictions": lambda b: b, "resources": lambda b: sinks.resources(b, "run_id", "observed_us", "done_us"), "errors": lambda b: b.where(wrong).select("run_id", "idx")}
+    path = shared_path(v.spark, "log")
+    sinks.logged(rows, path, tables).awaitTermination()
+    read = lambda table, schema: sinks.read_log(v.spark, path, table, schema)
+    p = read("predictions", "idx long, observed_us long, done_us long, y_true int, score double").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("id_sum"))
+    r = read("resources", "n long, first_us long, last_us long, lag_sum_us long, max_lag_us long").groupBy("run_id").agg(F.sum("n").alias("resource_rows"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("max_lag_us").alias("max_lag_us"))
+    e = read("errors", "idx long").groupBy("run_id").agg(F.count(F.lit(1)).alias("errors"))
+    return p.join(r, "run_id").join(e, "run_id", "left").na.fill(0, ["errors"])
 
 
 def _be(c: Column, n: int) -> Column:

@@ -104,3 +104,26 @@ def test_the_store_is_set_back(spark):
     with stateful.with_rocksdb(spark):
         assert "RocksDB" in spark.conf.get(stateful._PROVIDER)
     assert spark.conf.get(stateful._PROVIDER) == before
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    from netsift.streaming import sinks
+
+    schema = "run_id long, idx long, observed_us long, done_us long"
+    batches = [[(i % 3, i, i, i + 5) for i in range(20)], [(i % 2, i, i, i + 7) for i in range(20, 30)], [(5, 40, 40, 41)]]
+    tables = {"predictions": lambda b: b, "resources": lambda b: sinks.resources(b, "run_id", "observed_us", "done_us"), "odd": lambda b: b.where("idx % 2 = 1").select("run_id", "idx")}
+    path = f"file://{tmp_path}/log"
+    sinks.logged(stream(spark, tmp_path, batches, schema), path, tables).awaitTermination()
+
+    def content():
+        read = lambda t, s: sorted(map(tuple, sinks.read_log(spark, path, t, s).collect()))
+        return read("predictions", "idx long, observed_us long, done_us long"), read("resources", "n long, first_us long, last_us long, lag_sum_us long, max_lag_us long"), read("odd", "idx long")
+
+    before = content()
+    assert len(before[0]) == 31 and sum(r[0] for r in before[1]) == 31 and len(before[2]) == 15
+    assert {(r[-2], r[-1]) for r in before[0]} == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 5)}
+    for number in (1, 1, 0):
+        sinks.batch_writer(path, tables)(spark.createDataFrame(batches[number], schema), number)
+        assert content() == before
+    plan = sinks.read_log(spark, path, "predictions", "idx long").where("run_id = 5")
+    assert [r.idx for r in plan.collect()] == [40] and len(plan.inputFiles()) <= len(sinks.read_log(spark, path, "predictions", "idx long").inputFiles())
