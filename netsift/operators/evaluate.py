@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import neighbours, running_sums
+from .ordering import neighbours, numbered, running_sums
 
 
 def ratio(a: Column, b: Column, undefined: str = "null") -> Column:
@@ -143,15 +143,13 @@ def prior_rule_errors(df: DataFrame, block: str, y: str) -> DataFrame:
 
 def position_density(df: DataFrame, block: str, pos: str, hit: Column, band: int) -> DataFrame:
     """Share of hits by band of ``band`` rows of capture position in each block."""
-    rn = F.row_number().over(Window.partitionBy(block).orderBy(pos)) - 1
-    d = df.withColumn("band", F.floor(rn / band)).withColumn("_hit", hit)
+    d = numbered(df.withColumn("_hit", hit), [block], [pos], "_rn").withColumn("band", F.floor(F.col("_rn") / band))
     return d.groupBy(block, "band").agg(F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("hits")).withColumn("share", ratio(F.col("hits"), F.col("n")))
 
 
 def nearest_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, min, p50, p95 and max as sorted[min(n - 1, floor(n p))]."""
-    w = Window.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    d = numbered(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], "_i", "_n")
     at = lambda p: F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))), F.col(value)))
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("max"))
 

@@ -161,24 +161,6 @@ def importances(train: DataFrame, features: list[str], y: str, seed: int = 42) -
     return train.sparkSession.createDataFrame([(n, float(i)) for n, i in zip(features, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def seed_sweep(train: DataFrame, test: DataFrame, features: list[str], y: str, seeds: list[int]) -> DataFrame:
-    """Test accuracy of a forest over seeds: n, mean, sample deviation, least and most."""
-    runs = None
-    for s in seeds:
-        x, model = _forest(train, features, y, s)
-        one = model.transform(x.transform(test)).agg(F.avg((F.col("prediction") == F.col(y)).cast("double")).alias("accuracy")).withColumn("seed", F.lit(s))
-        runs = one if runs is None else runs.unionByName(one)
-    return runs.agg(F.count(F.lit(1)).alias("n"), F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("sd"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most"))
-
-
-def unseen_blocks(df: DataFrame, features: list[str], y: str, block: str, held: list[int], seed: int = 42) -> DataFrame:
-    """Accuracy on a fifth of the known blocks' rows and on the held blocks, by a model that saw neither."""
-    fifth = F.pmod(F.xxhash64(block, *features), F.lit(5)) == 0
-    x, model = _forest(df.where(~F.col(block).isin(held) & ~fifth), features, y, seed)
-    rest = df.where(F.col(block).isin(held) | fifth).withColumn("part", F.when(F.col(block).isin(held), "unseen").otherwise("known"))
-    return model.transform(x.transform(rest)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(y)).cast("double")).alias("accuracy"))
-
-
 def kernel_svm(train: DataFrame, test: DataFrame, features: list[str], y: str, landmarks: int = 100, seed: int = 42) -> DataFrame:
     """``test`` with ``pred``: RBF features against ``landmarks`` training rows, then a balanced linear SVM.
 

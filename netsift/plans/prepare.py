@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators import learn, ordering, preparation, prepare, splits
+from netsift.operators import learn, ordering, preparation, prepare, protocol, splits
 from netsift.sources.views import Views
 
 from .base import query
@@ -275,10 +275,14 @@ def ml_score_at_frozen(v: Views) -> DataFrame:
     return evaluate.confusion(test.withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int")), "y_true", "pred", ["threshold"])
 
 
+_PROTOCOL = protocol.Protocol(["f1", "f2", "f3"], seeds=(42, 43))
+
+
 @query("ml_seed_sweep")
 def ml_seed_sweep(v: Views) -> DataFrame:
-    """Forests of three seeds by one protocol; mean and spread of the test accuracy."""
-    return learn.seed_sweep(v.vectors.where("block < 1997"), v.vectors.where("block >= 1997"), ["f1", "f2", "f3"], "y", [42, 43, 44])
+    """Two models by one protocol over seeds: every metric on later blocks with mean, spread and interval."""
+    long = _PROTOCOL.run(v.vectors.where("block < 1997"), {"test": v.vectors.where("block >= 1997")})
+    return protocol.over_seeds(long)
 
 
 @query("ml_kernel_svm")
@@ -293,8 +297,11 @@ def ml_kernel_svm(v: Views) -> DataFrame:
 
 @query("ml_unseen_capture")
 def ml_unseen_capture(v: Views) -> DataFrame:
-    """Accuracy of one forest on rows of known blocks and of blocks held out whole."""
-    return learn.unseen_blocks(v.vectors, ["f1", "f2", "f3"], "y", "block", [1997, 1998])
+    """Blocks held out whole, preparation refitted without them, against the primary run that knows all blocks."""
+    d = v.vectors
+    fifth = F.pmod(F.xxhash64("block", "f1", "f2", "f3"), F.lit(5)) == 0
+    primary = _PROTOCOL.run(d.where(~fifth), {"test": d.where(fifth)})
+    return protocol.compared(primary, _PROTOCOL.unseen(d, "block", [1997, 1998]))
 
 
 @query("agg_feature_importance")

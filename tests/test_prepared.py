@@ -122,3 +122,43 @@ def test_search_against_brute_force(spark):
     assert found.threshold == (top / 100 if f1(top / 100) - f1(0.5) >= 0.005 else 0.5)
     right = found.scored(test).agg(F.avg((F.col("pred") == F.col("y")).cast("double")), F.avg("y")).first()
     assert right[0] > max(right[1], 1 - right[1]) + 0.1
+
+
+# -- the protocol
+
+
+def test_protocol_over_models_seeds_and_held_out_blocks(spark):
+    from netsift.operators import protocol
+
+    r = random.Random(9)
+    rows = [(i, i % 4, a := r.gauss(i % 4, 1), r.choice(["u", "v", None]), int(a > 1) if r.random() < 0.95 else r.randint(0, 1)) for i in range(600)]
+    d = spark.createDataFrame(rows, "id long, block int, a double, k string, y int")
+    made: list = []
+
+    def forest_of(train, y, seed):
+        made.append((seed, train.count()))
+        return forest.fit(train, y, depth=3, leaf=5, subset="sqrt", trees=3, seed=seed)
+
+    p = protocol.Protocol(["a"], ["k"], models={"forest": forest_of, "logistic": protocol.logistic}, seeds=(1, 2), parallel=2)
+    train, test = d.where("id < 400"), d.where("id >= 400")
+    long = p.run(train, {"test": test, "ones": test.where("y = 1")})
+    table = {(x.model, x.seed, x.part, x.metric): x.value for x in long.collect()}
+    assert len(table) == 2 * 2 * 2 * 7 and sorted(made) == [(1, 400), (2, 400)]
+    assert table["forest", 1, "ones", "fpr"] is None and table["forest", 1, "ones", "roc_auc"] is None
+    model, (x, z) = p.prepared(train, test)
+    assert model.parameters["fitted_rows"] == 400
+    from netsift.operators.prepare import class_weights
+
+    w = class_weights(train, "y").select("y", F.col("weight").alias("_w"))
+    pairs = [(s.score, s.y) for s in forest.scored(protocol.logistic(x.join(w, "y"), "y", 1), z).collect()]
+    assert math.isclose(table["logistic", 1, "test", "average_precision"], precision_of(pairs), rel_tol=1e-6)
+    assert math.isclose(table["logistic", 2, "test", "accuracy"], sum((s >= 0.5) == (y == 1) for s, y in pairs) / len(pairs))
+    majority = max(sum(y for _, y in pairs), sum(1 - y for _, y in pairs)) / len(pairs)
+    assert all(table[m, s, "test", "accuracy"] > majority + 0.1 for m in ("forest", "logistic") for s in (1, 2))
+    over = {(x.model, x.part, x.metric): x for x in protocol.over_seeds(long).collect()}
+    assert over["logistic", "test", "f1"].n == 2 and over["logistic", "test", "f1"].sd == 0.0
+    made.clear()
+    held = p.unseen(d, "block", [3])
+    assert {x.part for x in held.collect()} == {"known", "unseen"} and all(300 < n < 400 for _, n in made)
+    for x in protocol.compared(long.where("part = 'test'"), held).collect():
+        assert x.difference is None or math.isclose(x.difference, x.other - table[x.model, x.seed, "test", x.metric], abs_tol=1e-12)
