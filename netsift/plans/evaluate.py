@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators import evaluate
+from netsift.operators import evaluate, reconcile
 from netsift.sources.views import Views
 
 from .base import query
@@ -190,10 +190,16 @@ def join_model_pivot(v: Views) -> DataFrame:
     return v.flows.groupBy("attack_type").pivot("proto", ["tcp", "udp", "icmp"]).count().na.fill(0)
 
 
-@query("agg_tuple_ambiguity", "flow_labels", "SELECT flow_key % 5 AS grp, count(*) AS keys, count(*) FILTER (WHERE k > 1) AS ambiguous FROM (SELECT flow_key, start_us // 3600000000 AS h, count(DISTINCT (label, family)) AS k FROM flow_labels GROUP BY 1, 2) GROUP BY 1")
+@query("agg_tuple_ambiguity", "flows", """, f AS (SELECT *, CASE WHEN proto IN ('tcp', 'udp') AND dport IS NULL THEN proto || ':unknown_port' WHEN proto NOT IN ('tcp', 'udp', 'icmp') THEN proto END AS why FROM flows),
+t AS (SELECT proto, src_addr, CASE WHEN proto <> 'icmp' THEN dport END AS port, count(DISTINCT (label, attack_type)) AS k FROM f WHERE why IS NULL GROUP BY 1, 2, 3)
+SELECT 'tuples' AS kind, proto AS reason, count(*) AS n FROM t GROUP BY proto UNION ALL SELECT 'ambiguous', proto, count(*) FROM t WHERE k > 1 GROUP BY proto UNION ALL SELECT 'unjoined', why, count(*) FROM f WHERE why IS NOT NULL GROUP BY why""")
 def agg_tuple_ambiguity(v: Views) -> DataFrame:
-    k = v.flow_labels.groupBy("flow_key", F.floor(F.col("start_us") / 3600000000).alias("h")).agg(F.count_distinct(F.struct("label", "family")).alias("k"))
-    return k.groupBy((F.col("flow_key") % 5).alias("grp")).agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("k") > 1).alias("ambiguous"))
+    """Every other flow is written in the reverse direction; its tuple is the same."""
+    there = F.col("pos") % 2 == 0
+    server, port, own = F.lit("10.9.9.9"), F.lit(443), F.col("dport").cast("int")
+    either = lambda a, b: F.when(there, a).otherwise(b)
+    d = v.flows.select(F.upper("proto").alias("proto"), either(F.col("src_addr"), server).alias("src"), either(server, F.col("src_addr")).alias("dst"), either(own, port).alias("sport"), either(port, own).alias("dport"), "label", "attack_type")
+    return reconcile.tuple_report(d, "proto", "src", "dst", "sport", "dport", "label", "attack_type")
 
 
 @query("sort_simplest_model", "predictions", f", r AS (SELECT run_id, {ZERO} FROM cm) SELECT run_id, f1 FROM r ORDER BY f1 DESC, fpr, run_id LIMIT 1", CM)

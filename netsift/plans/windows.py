@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.operators import labels, ordering, windows
+from netsift.operators import labels, ordering, reconcile, windows
 from netsift.sources.views import Views
 
 from .base import BLOCKS, query
@@ -151,15 +151,30 @@ def join_frame_labels(v: Views) -> DataFrame:
     return d.join(f, "frame").select("pos", F.when(F.col("n") == 1, F.col("l")).alias("frame_label"), (F.col("n") > 1).alias("conflict"))
 
 
-@query("join_label_offset", "", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_totalprice + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderkey % 6 <> 0)
-SELECT CASE WHEN a.k IS NULL THEN 'missing_left' WHEN b.k IS NULL THEN 'missing_right' WHEN a.s <> b.s THEN 'field' WHEN abs(a.p - b.p) > 0.5 THEN 'value' ELSE 'consistent' END AS verdict, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def _twice(d: DataFrame, again: Column) -> DataFrame:
+    """Rows that come once more where ``again``."""
+    return d.withColumn("_i", F.explode(F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_i")
+
+
+@query("join_label_offset", "packets", """, k AS (SELECT packet_id AS k, packet_id % 6 <> 5 AS r, packet_id % 7 <> 3 AS l, packet_id % 6 <> 5 AND packet_id % 23 = 2 AS rr, packet_id % 7 <> 3 AND packet_id % 19 = 1 AS rl FROM packets WHERE packet_id % 6 <> 5 OR packet_id % 7 <> 3),
+c AS (SELECT k, r AND l AND NOT rr AND NOT rl AS sides, r, l, rr, rl FROM k), x AS (
+SELECT 'repeated_record' AS kind, NULL AS field FROM c WHERE rr UNION ALL SELECT 'repeated_label', NULL FROM c WHERE rl UNION ALL SELECT 'missing_record', NULL FROM c WHERE NOT r UNION ALL SELECT 'missing_label', NULL FROM c WHERE NOT l
+UNION ALL SELECT 'field', 'bytes' FROM c WHERE sides AND k % 11 = 0 UNION ALL SELECT 'field', 'proto' FROM c WHERE sides AND k % 29 = 0 UNION ALL SELECT 'duration', 'dur' FROM c WHERE sides AND k % 13 = 0
+UNION ALL SELECT 'time', 'start_us' FROM c WHERE sides AND k % 17 = 0 UNION ALL SELECT 'interval', 'end_us' FROM c WHERE r AND NOT rr AND k % 37 = 0 UNION ALL SELECT 'label', 'label' FROM c WHERE l AND NOT rl AND k % 31 = 0)
+SELECT kind, field, count(*) AS n FROM x GROUP BY 1, 2""")
 def join_label_offset(v: Views) -> DataFrame:
-    o = v.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").cast("double").alias("p"))
-    a = o.where("k % 5 <> 0").select("k", F.col("s").alias("s1"), F.col("p").alias("p1"), F.lit(True).alias("in1"))
-    b = o.where("k % 6 <> 0").select("k", F.when(F.col("k") % 7 == 0, "X").otherwise(F.col("s")).alias("s2"), (F.col("p") + F.when(F.col("k") % 11 == 0, 1).otherwise(0)).alias("p2"), F.lit(True).alias("in2"))
-    j = a.join(b, "k", "full")
-    verdict = F.when(F.col("in1").isNull(), "missing_left").when(F.col("in2").isNull(), "missing_right").when(F.col("s1") != F.col("s2"), "field").when(F.abs(F.col("p1") - F.col("p2")) > 0.5, "value").otherwise("consistent")
-    return j.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """Records and labels made of the packets, each with its own gaps, repeats and contradictions."""
+    k, us = F.col("offset"), F.col("start_us")
+    base = v.packets.select(F.col("packet_id").alias("offset"), F.col("epoch_us").alias("start_us"), F.col("length").alias("bytes"), F.col("protocol").cast("string").alias("proto"), (F.col("length") / 1000).alias("dur"))
+    records = _twice(base.where(k % 6 != 5).withColumn("end_us", us + F.when(k % 37 == 0, -1).otherwise(1000)), k % 23 == 2)
+    second = F.pmod(us + F.when(k % 17 == 0, 60_000_000).otherwise(0), F.lit(HOUR)) / 1e6
+    shown = F.concat_ws(":", F.floor(second / 60).cast("string"), F.round(second % 60, 1).cast("string"))
+    other = base.where(k % 7 != 3).select(
+        "offset", (F.col("bytes") + F.when(k % 11 == 0, 1).otherwise(0)).alias("bytes"), F.concat(F.lit(" "), "proto", F.when(k % 29 == 0, "0").otherwise("")).alias("proto"), (F.col("dur") + F.when(k % 13 == 0, 0.5).otherwise(0.0)).alias("dur"), shown.alias("shown"),
+        F.when(k % 2 == 0, "Malicious").otherwise("Benign").alias("label"), F.when((k % 2 == 0) == (k % 31 != 0), "UDPFlood").otherwise("Benign").alias("family"),
+    )
+    found = reconcile.contradictions(records, _twice(other, k % 19 == 1), "offset", ["bytes", "proto"], ["dur"], {"start_us": "shown"}, ("start_us", "end_us"), "label", "family")
+    return found.groupBy("kind", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("join_sample_delay", "packets", """, u AS (SELECT length, protocol, min(epoch_us) AS t FROM packets WHERE packet_id % 3 = 0 GROUP BY 1, 2 HAVING count(*) = 1)
