@@ -3,7 +3,8 @@
 A page becomes a tree of elements and text runs. Each node has features: text and link density of its
 subtree, words of its class, id and role, those of its ancestors, depth, place among its siblings.
 Boosted trees give each node the odds of holding main text. Decoding picks the most likely choice of
-nodes in which a kept node's ancestors are kept, so an ancestor and a descendant never contradict.
+nodes in which a kept node's ancestors are kept, so an ancestor and a descendant never contradict. A page
+of which that would keep nothing keeps its text outside boilerplate elements.
 
 The trees learn from pages laid out by a generator (``layouts``), whose labels are known by
 construction and a third of which have class names that say nothing, and from nodes of at most
@@ -238,6 +239,16 @@ class Page:
             kept[i] = kept[self.parent[i]] and gain[i] > 0
         return kept
 
+    def choose(self, margin: np.ndarray) -> list[bool]:
+        """``decode``'s choice; where that keeps no text at all, every run outside menus, headers, notices and the like."""
+        kept = self.decode(margin)
+        if any(k and not t and not x.isspace() for k, t, x in zip(kept, self.tag, self.text)):
+            return kept
+        out = [False] * len(self.tag)
+        for i in range(1, len(out)):
+            out[i] = out[self.parent[i]] or bool(self.group[i] - {8})
+        return [not o for o in out]
+
     def join(self, kept: list[bool]) -> str:
         blocks: list[list[str]] = []
         for i in range(1, len(self.tag)):
@@ -388,6 +399,7 @@ def learn(pages: DataFrame | None = None) -> Trees:
         x.append(page.features())
         y.append(np.array(_upward(page, good), float))
     if pages is not None:
+        ship(pages.sparkSession)
         some = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h"))
         chosen = some.select("h").distinct().orderBy("h").limit(SAMPLE)  # at most SAMPLE numbers: a bounded broadcast
         got = some.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).mapInArrow(_labelled, "h long, node long, y double, x array<double>")
@@ -401,7 +413,7 @@ def extract(source: str | None, trees: Trees) -> str:
     if not source:
         return ""
     page = Page(source)
-    return page.join(page.decode(trees.margin(page.features())))
+    return page.join(page.choose(trees.margin(page.features())))
 
 
 def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
@@ -418,7 +430,7 @@ def main_text(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
         for b in by_bytes(batches, "html", most=PAGE_BYTES):
             found = [Page(s or "") for s in b.column("html").to_pylist()]
             cut = np.cumsum([len(p.tag) for p in found])[:-1]
-            text = [p.join(p.decode(m)) for p, m in zip(found, np.split(trees.margin(features(found)), cut))] if found else []
+            text = [p.join(p.choose(m)) for p, m in zip(found, np.split(trees.margin(features(found)), cut))] if found else []
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select("page_id", "url", "html")

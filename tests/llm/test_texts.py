@@ -550,3 +550,16 @@ def test_hostile_pages_are_read_in_linear_time(unit):
     assert time.time() - began < 20 and len(page.tag) >= 1
     if unit == "<a ":
         assert time.time() - began < 1
+
+
+def test_pages_of_a_few_blocks_keep_their_text():
+    """Whatever the trees say of a bare page, text outside boilerplate isn't lost as a whole; boilerplate alone stays out."""
+    trees = html_main.learn()
+    six = " ".join(f"Sentence number {i} says something about the weather." for i in range(6))
+    pages = {
+        f"<html><body><article><p>{six}</p></article></body></html>": six, "<html><head><title>T</title><article><p>Hello there, this is the article.</p></article>": "Hello there, this is the article.", "<html><body><p>Hi.</p></body></html>": "Hi.",
+        "<html><body>Plain words in the body.</body></html>": "Plain words in the body.", "<p>one</p><nav>Home About</nav>": "one", "<nav><a href=/>Home</a></nav><footer>&copy; us</footer>": "", "": "", "<script>x</script>": "",
+    }
+    for source, text in pages.items():
+        assert html_main.extract(source, trees) == text, source
+    assert "p < 0.05" in html_main.extract("<p>first paragraph with words.</p><p>a result with p < 0.05", trees)
