@@ -34,6 +34,19 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, lost
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; differences whose squares overflow are scaled first."""
+    d = rows - query
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt((d**2).sum(1))
+    wide = np.flatnonzero(~np.isfinite(out))
+    if len(wide):
+        most = np.abs(d[wide]).max(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            out[wide] = most * np.sqrt(((d[wide] / most[:, None]) ** 2).sum(1))
+    return out
+
+
 def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, rids: np.ndarray) -> tuple[list, list, list, list]:
     """(query ids, vec ids, row numbers, distances): the k nearest rows of each query, other than its own."""
     rc, rs, rl = quantised(rows)
@@ -45,16 +58,18 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     for lo in range(0, len(queries), ROWS_AT_ONCE):
         part, ids = queries[lo : lo + ROWS_AT_ONCE], query_ids[lo : lo + ROWS_AT_ONCE]
         qc, qs, ql = quantised(part)
-        square = norm(qc, qs)[:, None] + right_norm[None, :] - 2 * qs[:, None] * rs[None, :] * (qc.astype(wide) @ right).astype(float)
-        near, slack = np.sqrt(np.maximum(square, 0)), ql[:, None] + rl[None, :] + 1e-6
+        with np.errstate(over="ignore", invalid="ignore"):
+            square = norm(qc, qs)[:, None] + right_norm[None, :] - 2 * qs[:, None] * rs[None, :] * (qc.astype(wide) @ right).astype(float)
+            near, slack = np.sqrt(np.maximum(square, 0)), ql[:, None] + rl[None, :] + 1e-6
         for i in range(len(part)):
             other = row_ids != ids[i]
             upper = (near[i] + slack[i])[other]
             if not len(upper):
                 continue
             bound = np.partition(upper, min(k, len(upper)) - 1)[min(k, len(upper)) - 1]
-            left = np.flatnonzero(other & (near[i] - slack[i] <= bound))
-            exact = np.sqrt(((rows[left] - part[i]) ** 2).sum(1))
+            # a bound that overflowed says nothing: such pairs are computed again
+            left = np.flatnonzero(other & ~(near[i] - slack[i] > bound))
+            exact = distances(rows[left], part[i])
             for d, v, r in heapq.nsmallest(k, zip(exact.tolist(), row_ids[left].tolist(), rids[left].tolist())):
                 for column, x in zip(out, (int(ids[i]), v, r, d)):
                     column.append(x)

@@ -116,3 +116,15 @@ def test_nearest_asks_a_repeated_query_once_and_breaks_ties_by_id(spark):
     assert got == [(1, 99, 1.0), (2, 101, 1.0), (3, 98, 2.0), (4, 102, 2.0), (5, 97, 3.0), (6, 103, 3.0), (7, 96, 4.0), (8, 104, 4.0), (9, 95, 5.0), (10, 95, 5.0)]
     two = frame(spark, [(0, [1.0, 1.0], 0), (0, [3.0, 1.0], 0), (1, [1.0, 1.0], 0), (2, [3.5, 1.0], 0)])
     assert [(r.rank, r.vec_id, r.score) for r in nearest.nearest(two, two.where("vec_id = 0"), k=5).orderBy("rank").collect()] == [(1, 1, 0.0), (2, 2, 0.5)]
+
+
+def test_nearest_of_huge_values(spark):
+    """Squares that overflow: distances are still finite and in order."""
+    rows = [(i, [float(i) * 1e160, 1e160, 0.0]) for i in range(1, 30)] + [(100, [0.5e160, 1e160, 0.0]), (200, [1.0, 2.0, 3.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in nearest.nearest(d, d.where("vec_id % 100 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [v for v, _ in got[100]] == [1, 200, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert all(abs(s / (abs(v - 0.5) * 1e160) - 1) < 1e-12 for v, s in got[100] if v != 200)
+    assert [v for v, _ in got[200]][:3] == [100, 1, 2] and len(got[200]) == 10
