@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, dac, html_main, mixing, minhash, near_vectors, nearest, packing, pii, quality, ranked, secrets, sharding
+from . import conversations, dac, html_main, mixing, minhash, near_vectors, nearest, oracles, packing, pii, quality, ranked, secrets, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,5 +177,7 @@ ORACLES: dict[str, str] = {
     "op4_nearest_vectors": _OP4,
     "op7_source_mixture": _OP7,
     "op10_minhash_near_dedup": _OP10,
+    "op11_conversation_repair": oracles.conversation_repair(),
+    "op12_hash_tree_shards": oracles.hash_tree(),
     "op13_ranked_search": _OP13,
 }
