@@ -212,19 +212,25 @@ def ml_prequential_phases(v: Views) -> DataFrame:
     return learn.phases(v.predictions, "run_id", "y_true", "warmup")
 
 
-_NB = """
+def _nb(density: str) -> str:
+    """Class counts, means and variances known at each prediction; ``density`` is made of the log density {p} of a feature."""
+    return """
 le AS (SELECT run_id, idx, greatest(available_us, observed_us) AS t, y_true AS ly, x1 AS l1, x2 AS l2 FROM predictions WHERE y_true IS NOT NULL),
 js AS (SELECT p.run_id, p.idx, p.x1 AS a, p.x2 AS b, """ + ", ".join(f"count(*) FILTER (WHERE ly = {k}) AS n{k}, " + ", ".join(f"avg({y}) FILTER (WHERE ly = {k}) AS m{k}{x}, var_samp({y}) FILTER (WHERE ly = {k}) AS v{k}{x}" for x, y in (("x1", "l1"), ("x2", "l2"))) for k in (0, 1)) + """
   FROM predictions p LEFT JOIN le l ON l.run_id = p.run_id AND (l.t < p.observed_us OR (l.t = p.observed_us AND l.idx < p.idx)) GROUP BY ALL),
-vo AS (SELECT *, """ + ", ".join(f"ln(n{k} / (n0 + n1)) + " + " + ".join(f"CASE WHEN n{k} > 1 AND v{k}{x} > 1e-12 THEN {{p}} ELSE 0 END".replace("{p}", f"(-0.5 * ln(2 * pi() * v{k}{x}) - ({c} - m{k}{x}) ** 2 / (2 * v{k}{x}))") for x, c in (("x1", "a"), ("x2", "b"))) + f" AS g{k}" for k in (0, 1)) + """ FROM js WHERE n0 > 0 AND n1 > 0)"""
+vo AS (SELECT *, """ + ", ".join(f"ln(n{k} / (n0 + n1)) + " + " + ".join(f"CASE WHEN n{k} > 1 AND v{k}{x} > 1e-12 THEN {{p}} ELSE 0 END".replace("{p}", density.replace("{p}", f"(-0.5 * ln(2 * pi() * v{k}{x}) - ({c} - m{k}{x}) ** 2 / (2 * v{k}{x}))")) for x, c in (("x1", "a"), ("x2", "b"))) + f" AS g{k}" for k in (0, 1)) + """ FROM js WHERE n0 > 0 AND n1 > 0)"""
 
 
-@query("ml_prequential_nb", "predictions", "SELECT js.run_id, js.idx, js.n0 AS known_negative, js.n1 AS known_positive, CASE WHEN js.n0 + js.n1 = 0 THEN 0.5 WHEN js.n0 = 0 THEN 1.0 WHEN js.n1 = 0 THEN 0.0 ELSE 1 / (1 + exp(least(greatest(g0 - g1, -700.0), 700.0))) END::DOUBLE AS score FROM js LEFT JOIN vo ON vo.run_id = js.run_id AND vo.idx = js.idx", _NB)
+_NB, _VOTE = _nb("{p}"), _nb("CASE WHEN exp({p}) = 0 THEN 0 ELSE {p} END")
+_NB_SCORE = "SELECT js.run_id, js.idx, js.n0 AS known_negative, js.n1 AS known_positive, CASE WHEN js.n0 + js.n1 = 0 THEN 0.5 WHEN js.n0 = 0 THEN 1.0 WHEN js.n1 = 0 THEN 0.0 ELSE 1 / (1 + exp(least(greatest(g0 - g1, -700.0), 700.0))) END::DOUBLE AS score FROM js LEFT JOIN vo ON vo.run_id = js.run_id AND vo.idx = js.idx"
+
+
+@query("ml_prequential_nb", "predictions", _NB_SCORE, _NB)
 def ml_prequential_nb(v: Views) -> DataFrame:
     return learn.prequential_nb(v.predictions, ["x1", "x2"])
 
 
-@query("ml_nb_underflow_vote")
+@query("ml_nb_underflow_vote", "predictions", _NB_SCORE, _VOTE)
 def ml_nb_underflow_vote(v: Views) -> DataFrame:
     return learn.prequential_nb(v.predictions, ["x1", "x2"], underflow_one=True)
 
