@@ -150,3 +150,17 @@ def bin_reconcile(raw: DataFrame, windows: DataFrame, key: list[str], counts: st
 
 def health(df: DataFrame, by: str, late: str, malformed: str, rate: str, expected: int) -> DataFrame:
     return df.groupBy(by).agg(F.count_if(malformed).alias("malformed"), F.count_if(F.col(rate) != expected).alias("rate_mismatch"), F.count_if(late).alias("late"), F.count(F.lit(1)).alias("n"))
+
+
+def causal_order(df: DataFrame, by: str, window_end: str, completed: str, created: str, read: str) -> DataFrame:
+    """Rows by what breaks the order window end <= completion <= label read, label created <= label read; unread labels break nothing.
+
+    A prediction must be complete no earlier than its window ends and no later than its label is read, and a label can't be read
+    before it was made. A read label without one of the times counts as incomplete.
+    """
+    known = F.col(read).isNotNull()
+    bad = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    lost = known & (F.col(window_end).isNull() | F.col(completed).isNull() | F.col(created).isNull())
+    return df.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("revealed"), bad(F.col(completed) < F.col(window_end)).alias("before_window_end"), bad(F.col(completed) > F.col(read)).alias("after_label_read"), bad(F.col(created) > F.col(read)).alias("read_before_created"), F.count_if(lost).alias("incomplete")
+    )

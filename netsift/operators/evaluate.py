@@ -159,6 +159,25 @@ def next_threshold(points: DataFrame, threshold: float) -> DataFrame:
     return points.where(F.col("threshold") < threshold).agg(F.max_by(F.struct("threshold", "tpr", "fpr"), "threshold").alias("x")).select("x.threshold", "x.tpr", "x.fpr")
 
 
+def tie_group(df: DataFrame, y: str, score: str, threshold: float, members: Column, cap: float) -> DataFrame:
+    """The rows that the next lower threshold adds at once, against a set of rows.
+
+    One row: that threshold with its rates, whether its false-positive rate exceeds ``cap`` and how many times that of
+    ``threshold`` it is, rows and positives of the tie, rows and distinct scores of ``members``, rows that are both, and whether both
+    sets are the same. Rows with a null label are in neither; no lower threshold: no row.
+    """
+    d = df.where(F.col(y).isNotNull())
+    points = roc_points(d, y, score)
+    now = points.where(F.col("threshold") >= threshold).agg(F.min_by("fpr", "threshold").alias("_fpr"))
+    nxt = next_threshold(points, threshold).where("threshold IS NOT NULL").crossJoin(now)  # one row
+    tied, mine = F.col(score) == F.col("threshold"), F.coalesce(members, F.lit(False))
+    g = d.crossJoin(F.broadcast(nxt)).groupBy("threshold", "tpr", "fpr", "_fpr").agg(
+        F.count_if(tied).alias("tied"), F.count_if(tied & (F.col(y) == 1)).alias("tied_positive"), F.count_if(mine).alias("members"), F.count_distinct(F.when(mine, F.col(score))).alias("member_scores"), F.count_if(tied & mine).alias("both")
+    )
+    same = (F.col("both") == F.col("tied")) & (F.col("both") == F.col("members"))
+    return g.select("threshold", "tpr", "fpr", (F.col("fpr") > cap).alias("over_cap"), ratio(F.col("fpr"), F.col("_fpr")).alias("jump"), "tied", "tied_positive", "members", "member_scores", "both", same.alias("same"))
+
+
 def consistency(counts: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Rows whose stored rates differ from those of their counts."""
     again = rates(counts.select("tp", "fp", "fn", "tn", *[F.col(c).alias(f"_{c}") for c in ("precision", "recall", "fpr")]), "zero")

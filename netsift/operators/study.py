@@ -110,6 +110,32 @@ def ideal_point(points: DataFrame, by: list[str], gain: str, cost: str, weight:
     return f.withColumn("recommended", first)
 
 
+def measured_points(points: DataFrame, quality: str, channels: list[str], unit: str = "kbit/s") -> DataFrame:
+    """``points`` with ``combined``, the sum of their channels' costs, and ``reason`` where they can't be compared.
+
+    A channel is a struct (value, unit, status). A point is usable if its quality lies in 0..1 and every channel is
+    measured in ``unit`` with a finite value of 0 or more; proxies and missing channels exclude it.
+    """
+    ok = F.coalesce(F.col(quality).between(0, 1) & ~F.isnan(quality), F.lit(False))
+    for c in channels:
+        v = F.col(f"{c}.value")
+        ok = ok & F.coalesce((F.col(f"{c}.status") == MEASURED) & (F.col(f"{c}.unit") == unit) & (v >= 0) & (v < float("inf")) & ~F.isnan(v), F.lit(False))
+    total = sum((F.col(f"{c}.value") for c in channels[1:]), F.col(f"{channels[0]}.value"))
+    return points.withColumn("combined", F.when(ok, total)).withColumn("reason", F.when(~ok, F.lit(f"needs quality and every channel measured in {unit}")))
+
+
+def recommended_points(points: DataFrame, by: list[str], quality: str, channels: list[str], weight: float = 0.5, unit: str = "kbit/s") -> DataFrame:
+    """Front points with their distance to the ideal and which is recommended, and excluded points with their reason.
+
+    Both axes are scaled over all usable points of a group; dominated usable points have no row.
+    """
+    if not 0 <= weight <= 1:
+        raise ValueError("a weight lies between 0 and 1")
+    p = measured_points(points, quality, channels, unit)
+    front = ideal_point(p.where("reason IS NULL"), by, quality, "combined", weight)
+    return front.unionByName(p.where("reason IS NOT NULL"), allowMissingColumns=True).withColumn("recommended", F.coalesce("recommended", F.lit(False)))
+
+
 def missing_cells(done: DataFrame, **axes: list) -> DataFrame:
     """Cells of the grid of all axis values that are not there; the axes are short lists."""
     grid = None

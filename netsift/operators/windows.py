@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ordering
 from .evaluate import ratio
+from .labels import window_truth
 
 
 def trailing(df: DataFrame, by: str, pos: str, k: int) -> DataFrame:
@@ -62,6 +63,19 @@ def complete(windows: DataFrame) -> DataFrame:
     return windows.crossJoin(F.broadcast(windows.agg(F.max("win").alias("_last")))).where("win < _last").drop("_last")
 
 
+def resampled(labelled: DataFrame, width_us: int, origin_us: int | None = None) -> DataFrame:
+    """Features and truth at another width, from the labelled packets themselves; never averages of other windows.
+
+    ``labelled`` are packets with label and family (null: unknown). Windows without packets are benign, as nothing was attacked in them.
+    """
+    w = tumbling(labelled, width_us, origin_us)
+    one = labelled.agg(F.min("epoch_us").alias("_lo")) if origin_us is None else labelled.sparkSession.range(1).select(F.lit(origin_us).cast("long").alias("_lo"))
+    rows = labelled.crossJoin(F.broadcast(one)).where("epoch_us >= _lo").withColumn("win", F.floor((F.col("epoch_us") - F.col("_lo")) / width_us))  # one row
+    truth = window_truth(rows, ["win"]).select("win", "floods", "unknown", "label", "family", F.lit(True).alias("_seen"))
+    j = w.join(truth, "win", "left")
+    return j.withColumns({"floods": F.coalesce("floods", F.lit(0)), "unknown": F.coalesce("unknown", F.lit(0)), "label": F.when(F.col("_seen").isNull(), 0).otherwise(F.col("label")), "family": F.when(F.col("_seen").isNull(), "Benign").otherwise(F.col("family"))}).drop("_seen")
+
+
 def gap_guard(packets: DataFrame, width_us: int, most: int, by: str, order: str) -> DataFrame:
     """Rows whose time runs backward or leaps over more than ``most`` windows, per series."""
     d = ordering.chunked(ordering.numbered(packets, [by], [order], "_no"), "_no", 1)

@@ -107,10 +107,15 @@ def int_bin_reconcile(v: Views) -> DataFrame:
     return episodes.bin_reconcile(raw, stored, ["win"], "n")
 
 
-@query("int_causal_order", "predictions", "SELECT run_id, count(*) FILTER (WHERE available_us < observed_us) AS label_before_prediction, count(*) FILTER (WHERE available_us = observed_us) AS same_time, count(*) AS n FROM predictions GROUP BY run_id")
+@query("int_causal_order", "predictions", """, t AS (SELECT run_id, y_true, observed_us AS we, CASE WHEN idx % 41 > 0 THEN observed_us + CASE WHEN idx % 29 = 0 THEN -1 ELSE 200000000 END END AS done, observed_us + CASE WHEN idx % 31 = 0 THEN 1000000000 ELSE 0 END AS made, CASE WHEN y_true IS NOT NULL THEN available_us END AS seen FROM predictions)
+SELECT run_id, count(*) AS n, count(seen) AS revealed, count(*) FILTER (WHERE done < we) AS before_window_end, count(*) FILTER (WHERE done > seen) AS after_label_read, count(*) FILTER (WHERE made > seen) AS read_before_created, count(*) FILTER (WHERE seen IS NOT NULL AND done IS NULL) AS incomplete FROM t GROUP BY run_id""")
 def int_causal_order(v: Views) -> DataFrame:
-    a, o = F.col("available_us"), F.col("observed_us")
-    return v.predictions.groupBy("run_id").agg(F.count_if(a < o).alias("label_before_prediction"), F.count_if(a == o).alias("same_time"), F.count(F.lit(1)).alias("n"))
+    """Predictions completed a while after their windows, labels made with them and read when available; some break the order."""
+    k, o = F.col("idx"), F.col("observed_us")
+    d = v.predictions.withColumns({
+        "done": F.when(k % 41 > 0, o + F.when(k % 29 == 0, -1).otherwise(200_000_000)), "made": o + F.when(k % 31 == 0, 1_000_000_000).otherwise(0), "seen": F.when(F.col("y_true").isNotNull(), F.col("available_us")),
+    })
+    return episodes.causal_order(d, "run_id", "observed_us", "done", "made", "seen")
 
 
 @query("int_health", "packets", "SELECT flow_key, count(*) FILTER (WHERE length < 60) AS malformed, count(*) FILTER (WHERE sample_rate <> 1) AS rate_mismatch, count(*) FILTER (WHERE packet_id % 50 = 0) AS late, count(*) AS n FROM packets GROUP BY flow_key")

@@ -105,9 +105,13 @@ def eval_group_breakdown(v: Views) -> DataFrame:
     return evaluate.group_breakdown(d, "attack_type", "y", "pred")
 
 
-@query("eval_next_threshold", "predictions", "SELECT threshold, tpr, fpr FROM pt WHERE threshold < 0.9 ORDER BY threshold DESC LIMIT 1", STEPS)
+@query("eval_next_threshold", "predictions", """, nx AS (SELECT threshold, tpr, fpr FROM pt WHERE threshold < 0.9 ORDER BY threshold DESC LIMIT 1), nw AS (SELECT fpr AS f FROM pt WHERE threshold >= 0.9 ORDER BY threshold LIMIT 1),
+g AS (SELECT count(*) FILTER (WHERE score = threshold) AS tied, count(*) FILTER (WHERE score = threshold AND y_true = 1) AS tied_positive, count(*) FILTER (WHERE m) AS members, count(DISTINCT CASE WHEN m THEN score END) AS member_scores, count(*) FILTER (WHERE m AND score = threshold) AS both_sets
+  FROM (SELECT *, idx % 40 = 7 AND score > 0.8 AS m FROM predictions WHERE y_true IS NOT NULL) CROSS JOIN nx)
+SELECT threshold, tpr, fpr, fpr > 0.01 AS over_cap, fpr / nullif(f, 0) AS jump, tied, tied_positive, members, member_scores, both_sets AS "both", both_sets = tied AND both_sets = members AS same FROM nx CROSS JOIN nw CROSS JOIN g""", STEPS)
 def eval_next_threshold(v: Views) -> DataFrame:
-    return evaluate.next_threshold(evaluate.roc_points(v.predictions, "y_true", "score"), 0.9)
+    """What the step below 0.9 adds at once, against a set of rows."""
+    return evaluate.tie_group(v.predictions, "y_true", "score", 0.9, (F.col("idx") % 40 == 7) & (F.col("score") > 0.8), 0.01)
 
 
 @query("eval_conditioned_recall", "flows", """, q AS (SELECT pos // 2500 AS block, tot_pkts <= 5 AS carrier, tot_bytes > 3000 AS hit FROM flows WHERE label = 'Malicious')

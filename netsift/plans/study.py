@@ -91,11 +91,32 @@ def st_pareto(v: Views) -> DataFrame:
     return study.pareto(_cells(v), ["scenario"], "gain", "cost")
 
 
-@query("st_ideal_point", "trials", """, sc AS (SELECT scenario, max(gain) AS g1, min(gain) AS g0, max(cost) AS c1, min(cost) AS c0 FROM ce GROUP BY scenario),
-di AS (SELECT fr.*, sqrt(0.5::DOUBLE * ((g1 - gain) / (g1 - g0)) ** 2 + 0.5::DOUBLE * ((cost - c0) / (c1 - c0)) ** 2) AS distance FROM fr JOIN sc ON sc.scenario = fr.scenario)
-SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY distance, cost) = 1 AS recommended FROM di""", CELLS)
+_CHANNELS = """
+pn AS (SELECT scenario, sampling_rate, disc_sum::DOUBLE / n / 10 + CASE WHEN sampling_rate = 5 AND scenario = 'N' THEN 1 ELSE 0 END AS f1, qty_sum::DOUBLE / n AS a, 50.0::DOUBLE / sampling_rate AS b, CASE WHEN scenario = 'A' AND sampling_rate = 10 THEN 'proxy' ELSE 'measured' END AS sb, CASE WHEN scenario = 'R' AND sampling_rate = 20 THEN 'packets' ELSE 'kbit/s' END AS ua FROM trials WHERE trial_id = 1),
+us AS (SELECT *, f1 BETWEEN 0 AND 1 AND sb = 'measured' AND ua = 'kbit/s' AS ok, a + b AS combined FROM pn)"""
+
+
+def _points(v: Views) -> DataFrame:
+    """A trial's quality and its two channels; some are proxies, of another unit or out of range."""
+    at = lambda s, r: (F.col("scenario") == s) & (F.col("sampling_rate") == r)
+    channel = lambda x, unit, status: F.struct(x.alias("value"), unit.alias("unit"), status.alias("status"))
+    a = channel(F.col("qty_sum") / F.col("n"), F.when(at("R", 20), "packets").otherwise("kbit/s"), F.lit("measured"))
+    b = channel(F.lit(50.0) / F.col("sampling_rate"), F.lit("kbit/s"), F.when(at("A", 10), "proxy").otherwise("measured"))
+    f1 = F.col("disc_sum") / F.col("n") / 10 + F.when(at("N", 5), 1).otherwise(0)
+    return v.trials.where("trial_id = 1").select("scenario", "sampling_rate", f1.alias("f1"), a.alias("data"), b.alias("control"))
+
+
+_WHY = "needs quality and every channel measured in kbit/s"
+
+
+@query("st_ideal_point", "trials", f""", ok AS (SELECT * FROM us WHERE ok), sc AS (SELECT scenario, max(f1) AS g1, min(f1) AS g0, max(combined) AS c1, min(combined) AS c0 FROM ok GROUP BY scenario),
+fo AS (SELECT * FROM ok p WHERE NOT EXISTS (SELECT 1 FROM ok q WHERE q.scenario = p.scenario AND q.f1 >= p.f1 AND q.combined <= p.combined AND (q.f1 > p.f1 OR q.combined < p.combined))),
+di AS (SELECT fo.*, sqrt(0.5::DOUBLE * ((g1 - f1) / (g1 - g0)) ** 2 + 0.5::DOUBLE * ((combined - c0) / (c1 - c0)) ** 2) AS distance FROM fo JOIN sc ON sc.scenario = fo.scenario)
+SELECT scenario, sampling_rate, f1, combined, distance, row_number() OVER (PARTITION BY scenario ORDER BY distance, combined) = 1 AS recommended, NULL AS reason FROM di
+UNION ALL SELECT scenario, sampling_rate, f1, NULL, NULL, false, '{_WHY}' FROM us WHERE NOT ok""", _CHANNELS)
 def st_ideal_point(v: Views) -> DataFrame:
-    return study.ideal_point(_cells(v), ["scenario"], "gain", "cost")
+    p = study.recommended_points(_points(v), ["scenario"], "f1", ["data", "control"])
+    return p.select("scenario", "sampling_rate", "f1", "combined", "distance", "recommended", "reason")
 
 
 @query("st_signature", "trials", "SELECT sampling_rate, scenario, sha256('{\"sampling_rate\":' || sampling_rate || ',\"scenario\":\"' || scenario || '\"}') AS signature, count(*) AS runs FROM trials GROUP BY 1, 2")
@@ -103,10 +124,9 @@ def st_signature(v: Views) -> DataFrame:
     return v.trials.withColumn("signature", study.signature("scenario", "sampling_rate")).groupBy("sampling_rate", "scenario", "signature").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("st_eligible", "trials", "SELECT scenario, sampling_rate, trial_id, CASE WHEN n < 5 THEN 'too_few_rows' WHEN sampling_rate = 50 THEN 'pilot' ELSE 'eligible' END AS verdict FROM trials")
+@query("st_eligible", "trials", "SELECT scenario, sampling_rate, count(*) FILTER (WHERE ok) AS eligible, count(*) AS runs FROM ok GROUP BY 1, 2", LONG + "," + RUNS)
 def st_eligible(v: Views) -> DataFrame:
-    verdict = F.when(F.col("n") < 5, "too_few_rows").when(F.col("sampling_rate") == 50, "pilot").otherwise("eligible")
-    return v.trials.select("scenario", "sampling_rate", "trial_id", verdict.alias("verdict"))
+    return _runs(v).groupBy("scenario", "sampling_rate").agg(F.count_if(study.eligible()).alias("eligible"), F.count(F.lit(1)).alias("runs"))
 
 
 @query("join_missing_cells", "trials", ", g AS (SELECT s AS scenario, r AS sampling_rate FROM (VALUES ('A'), ('N'), ('R'), ('X')) a(s) CROSS JOIN (VALUES (1), (2), (5), (10), (20), (50), (100)) b(r)) SELECT scenario, sampling_rate FROM g EXCEPT SELECT scenario, sampling_rate FROM trials")
@@ -159,7 +179,6 @@ def st_compatible_runs(v: Views) -> DataFrame:
     return v.trials.join(chosen, ["scenario", "sampling_rate"], "left_semi").select("scenario", "sampling_rate", "trial_id")
 
 
-@query("st_combined_cost", "trials", "SELECT scenario, sampling_rate, trial_id, CASE WHEN sampling_rate <> 20 THEN (disc_sum + qty_sum)::DOUBLE / n END AS cost, CASE WHEN sampling_rate <> 20 THEN 'available' ELSE 'units differ' END AS status FROM trials")
+@query("st_combined_cost", "trials", f"SELECT scenario, sampling_rate, CASE WHEN ok THEN combined END AS cost, CASE WHEN NOT ok THEN '{_WHY}' END AS reason FROM us", _CHANNELS)
 def st_combined_cost(v: Views) -> DataFrame:
-    same = F.col("sampling_rate") != 20
-    return v.trials.select("scenario", "sampling_rate", "trial_id", F.when(same, (F.col("disc_sum") + F.col("qty_sum")) / F.col("n")).alias("cost"), F.when(same, "available").otherwise("units differ").alias("status"))
+    return study.measured_points(_points(v), "f1", ["data", "control"]).select("scenario", "sampling_rate", F.col("combined").alias("cost"), "reason")
