@@ -63,3 +63,24 @@ def test_windows_rebuilt_at_another_width(spark):
             assert x.label == (1 if floods else None if unknown else 0)
             assert x.family == (floods[0] if len(set(floods)) == 1 else "mixed_flood" if floods else None if unknown else "Benign")
     assert windows.resampled(d, 30, 1000).agg(F.sum("packets")).collect()[0][0] == sum(q[1] >= 1000 for q in rows)
+
+
+def test_importance_goes_to_the_column_that_decides(spark):
+    from netsift.operators import learn
+
+    r = random.Random(4)
+    d = spark.createDataFrame([(a := r.random(), r.random(), 1.0, int(a > 0.4)) for _ in range(400)], "a double, noise double, same double, y int")
+    got = {x.feature: x.importance for x in learn.importances(d, ["a", "noise", "same"], "y").collect()}
+    assert math.isclose(sum(got.values()), 1.0) and got["a"] > 0.8 and got["same"] == 0.0
+
+
+def test_kernel_machine_separates_a_ring(spark):
+    """No line separates a ring from its middle; the kernel's features do."""
+    from netsift.operators import learn
+
+    r = random.Random(5)
+    rows = [(p, q, int(p * p + q * q < 0.5)) for p, q in ((r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(500))]
+    d = spark.createDataFrame(rows, "a double, b double, y int").withColumn("id", F.monotonically_increasing_id())
+    scored = learn.kernel_svm(d.where("id % 4 > 0"), d.where("id % 4 = 0"), ["a", "b"], "y", landmarks=60)
+    right = scored.agg(F.avg((F.col("pred") == F.col("y")).cast("double")), F.avg("y")).first()
+    assert right[0] > 0.85 and right[0] > max(right[1], 1 - right[1]) + 0.15
