@@ -178,6 +178,32 @@ def tie_group(df: DataFrame, y: str, score: str, threshold: float, members: Colu
     return g.select("threshold", "tpr", "fpr", (F.col("fpr") > cap).alias("over_cap"), ratio(F.col("fpr"), F.col("_fpr")).alias("jump"), "tied", "tied_positive", "members", "member_scores", "both", same.alias("same"))
 
 
+def leaders(rates_of: DataFrame, model: str, metrics: list[str], lower: list[str] = ("fpr",)) -> DataFrame:
+    """(metric, leader, highest, lowest): who has the best value, the least for metrics in ``lower``; ties go to the smaller model, nulls never lead."""
+    u = rates_of.select(model, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(model, metrics, "metric", "value").where("value IS NOT NULL")
+    best = F.when(F.col("metric").isin(*lower), F.col("value")).otherwise(-F.col("value"))
+    return u.groupBy("metric").agg(F.min(F.struct(best.alias("b"), F.col(model).alias("m")))["m"].alias("leader"), F.max("value").alias("highest"), F.min("value").alias("lowest"))
+
+
+def summary_table(df: DataFrame, model: str, y: str, pred: str, metrics: list[str] = ("accuracy", "precision", "recall", "f1", "fpr"), lower: list[str] = ("fpr",)) -> DataFrame:
+    """One row a model: confusion counts with the totals that they add up to, rates, and the metrics that it leads."""
+    r = rates(confusion(df, y, pred, [model]), "zero")
+    led = leaders(r, model, list(metrics), list(lower)).groupBy(F.col("leader").alias(model)).agg(F.array_join(F.array_sort(F.collect_list("metric")), ",").alias("leads"))  # a row a metric
+    totals = {"n": F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"), "actual_benign": F.col("tn") + F.col("fp"), "actual_malicious": F.col("tp") + F.col("fn"), "predicted_malicious": F.col("tp") + F.col("fp")}
+    return r.withColumns(totals).join(led, model, "left").select(model, "tp", "fp", "fn", "tn", *totals, *metrics, F.coalesce("leads", F.lit("")).alias("leads"))
+
+
+def model_pivot(df: DataFrame, models: dict[str, Column], group: str, y: str) -> DataFrame:
+    """(group, metric, one column a model, support): recall by group of attacks, false-positive rate where the label is 0.
+
+    ``models`` maps a name to its prediction. One pass: every model is an aggregate, not a join. Rows without a label, and a
+    model's rows without a prediction, don't count for it; ``support`` counts the labelled rows.
+    """
+    d = df.where(F.col(y).isNotNull()).withColumns({f"_{m}": c.cast("int") for m, c in models.items()})
+    metric = F.when(F.col(y) == 1, "recall").otherwise("fpr").alias("metric")
+    return d.groupBy(group, metric).agg(*[ratio(F.count_if(F.col(f"_{m}") == 1), F.count(f"_{m}")).alias(m) for m in models], F.count(F.lit(1)).alias("support"))
+
+
 def consistency(counts: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Rows whose stored rates differ from those of their counts."""
     again = rates(counts.select("tp", "fp", "fn", "tn", *[F.col(c).alias(f"_{c}") for c in ("precision", "recall", "fpr")]), "zero")

@@ -113,6 +113,30 @@ def feature_decisions(df: DataFrame, features: list[str], categorical: list[str]
     return d.select("column", F.when(keep, "KEEP").otherwise("DROP").alias("decision"), F.when(keep, F.col("as_feature")).otherwise(F.col("as_other")).alias("role"), (100.0 * (F.col("_n") - F.col("some")) / F.col("_n")).alias("missing_pct"), "values")
 
 
+def dataset_report(df: DataFrame, features: list[str], metadata: list[str], label: str, known: list[str], twins: dict[str, list[str]] | None = None, expected_rows: int | None = None, expected_columns: int | None = None) -> DataFrame:
+    """(severity, check, subject, n): what is wrong with a data set beyond its schema, in one pass over the rows.
+
+    Errors: a metadata column that is missing or is a feature, a label that isn't ``known`` (n rows; null labels are not
+    judged). Warnings: another number of rows or columns than expected (n is what there is), and a column that was left out as
+    the twin of another but differs from it now (n rows; a null equals a null).
+    """
+    spark, columns = df.sparkSession, df.columns
+    fixed = [("error", "missing_metadata", c, 0) for c in metadata if c not in columns] + [("error", "metadata_is_feature", c, 0) for c in sorted(set(metadata) & set(features))]
+    if expected_columns is not None and len(columns) != expected_columns:
+        fixed.append(("warning", "column_count", None, len(columns)))
+    pairs = [(a, b) for a, others in (twins or {}).items() if a in columns for b in others if b in columns]
+    a = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~F.col(x).eqNullSafe(F.col(y))).alias(f"_t{i}") for i, (x, y) in enumerate(pairs)])
+    row = lambda when, severity, check, subject, n: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), F.lit(subject).cast("string").alias("subject"), n.alias("n")))
+    found = [row(F.col(f"_t{i}") > 0, "warning", "no_twin", f"{x} {y}", F.col(f"_t{i}")) for i, (x, y) in enumerate(pairs)]
+    found.append(row(F.lit(expected_rows is not None) & (F.col("_n") != (expected_rows or 0)), "warning", "row_count", None, F.col("_n")))
+    counted = a.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    out = spark.createDataFrame(fixed, "severity string, check string, subject string, n long").unionByName(counted)
+    if label in columns:
+        odd = df.where(F.col(label).isNotNull() & ~F.col(label).isin(*known)).groupBy(F.col(label).cast("string").alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(odd.select(F.lit("error").alias("severity"), F.lit("unknown_label").alias("check"), "subject", "n"))
+    return out
+
+
 def data_audit(df: DataFrame, label: str) -> DataFrame:
     """Rows, classes, missing cells and exact repeated rows."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]), 256)

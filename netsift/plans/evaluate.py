@@ -139,14 +139,11 @@ def eval_consistency_audit(v: Views) -> DataFrame:
     return evaluate.consistency(evaluate.rates(evaluate.confusion(_pred(v), "y_true", "pred", ["run_id"]), "zero"))
 
 
-@query("eval_summary_tables", "predictions", f""", r AS (SELECT run_id, {ZERO} FROM cm), u AS (UNPIVOT r ON precision, recall, f1, fpr INTO NAME metric VALUE value)
-SELECT metric, arg_max(run_id, [CASE WHEN metric = 'fpr' THEN -value ELSE value END, -run_id]) AS leader, max(value) AS highest, min(value) AS lowest FROM u GROUP BY metric""", CM)
+@query("eval_summary_tables", "predictions", f""", r AS (SELECT run_id, tp, fp, fn, tn, {ZERO} FROM cm), u AS (UNPIVOT (SELECT run_id, accuracy, precision, recall, f1, fpr FROM r) ON accuracy, precision, recall, f1, fpr INTO NAME metric VALUE value),
+b AS (SELECT metric, arg_max(run_id, [CASE WHEN metric = 'fpr' THEN -value ELSE value END, -run_id]) AS leader FROM u GROUP BY metric), l AS (SELECT leader, string_agg(metric, ',' ORDER BY metric) AS leads FROM b GROUP BY leader)
+SELECT r.run_id, tp, fp, fn, tn, tp + fp + fn + tn AS n, tn + fp AS actual_benign, tp + fn AS actual_malicious, tp + fp AS predicted_malicious, accuracy, precision, recall, f1, fpr, coalesce(leads, '') AS leads FROM r LEFT JOIN l ON l.leader = r.run_id""", CM)
 def eval_summary_tables(v: Views) -> DataFrame:
-    """Leader of each metric; ties go to the smaller run."""
-    r = evaluate.rates(evaluate.confusion(_pred(v), "y_true", "pred", ["run_id"]), "zero")
-    u = r.unpivot("run_id", ["precision", "recall", "f1", "fpr"], "metric", "value")
-    best = F.when(F.col("metric") == "fpr", -F.col("value")).otherwise(F.col("value"))
-    return u.groupBy("metric").agg(F.max_by("run_id", F.struct(best, -F.col("run_id"))).alias("leader"), F.max("value").alias("highest"), F.min("value").alias("lowest"))
+    return evaluate.summary_table(_pred(v), "run_id", "y_true", "pred")
 
 
 @query("agg_duplicates", "vectors", """, q AS (SELECT f1, f2, f3, sum(y) AS p, count(*) AS n FROM vectors GROUP BY ALL)
@@ -189,9 +186,12 @@ def agg_nearest_rank(v: Views) -> DataFrame:
     return evaluate.nearest_rank(v.packets, "length", ["flow_key"])
 
 
-@query("join_model_pivot", "flows", "SELECT attack_type, count(*) FILTER (WHERE proto = 'tcp') AS tcp, count(*) FILTER (WHERE proto = 'udp') AS udp, count(*) FILTER (WHERE proto = 'icmp') AS icmp FROM flows GROUP BY attack_type")
+@query("join_model_pivot", "flows", """, m AS (SELECT attack_type, label = 'Malicious' AS bad, tot_bytes > 3000 AS bytes, CASE WHEN dport IS NOT NULL THEN tot_pkts <= 20 END AS packets FROM flows)
+SELECT attack_type, CASE WHEN bad THEN 'recall' ELSE 'fpr' END AS metric, avg(bytes::INT)::DOUBLE AS bytes, avg(packets::INT)::DOUBLE AS packets, count(*) AS support FROM m GROUP BY 1, 2""")
 def join_model_pivot(v: Views) -> DataFrame:
-    return v.flows.groupBy("attack_type").pivot("proto", ["tcp", "udp", "icmp"]).count().na.fill(0)
+    """Two rules side by side by attack; one gives no answer without a port."""
+    d = v.flows.withColumn("y", (F.col("label") == "Malicious").cast("int"))
+    return evaluate.model_pivot(d, {"bytes": F.col("tot_bytes") > 3000, "packets": F.when(F.col("dport").isNotNull(), F.col("tot_pkts") <= 20)}, "attack_type", "y")
 
 
 @query("agg_tuple_ambiguity", "flows", """, f AS (SELECT *, CASE WHEN proto IN ('tcp', 'udp') AND dport IS NULL THEN proto || ':unknown_port' WHEN proto NOT IN ('tcp', 'udp', 'icmp') THEN proto END AS why FROM flows),

@@ -87,9 +87,14 @@ def val_schema(v: Views) -> DataFrame:
     return prepare.schema_report(v.flows, ["dport", "proto", "absent"], ["dport", "proto"], "label")
 
 
-@query("val_dataset", "flows", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE label NOT IN ('Benign', 'Malicious')) AS unknown_labels, bool_and(dur = round(dur, 4)) AS twin_holds, bool_and(tot_bytes = tot_pkts) AS twin_broken FROM flows")
+@query("val_dataset", "flows", """, d AS (SELECT *, CASE WHEN pos % 97 = 0 THEN 'Odd' WHEN pos % 89 <> 0 THEN label END AS l, CASE WHEN pos % 50 <> 1 THEN dur ELSE dur + 1 END AS other FROM flows)
+SELECT 'error' AS severity, 'missing_metadata' AS "check", 'attack_tool' AS subject, 0 AS n UNION ALL SELECT 'error', 'metadata_is_feature', 'attack_type', 0 UNION ALL SELECT 'warning', 'column_count', NULL, 7 UNION ALL SELECT 'warning', 'no_twin', 'dur other', count(*) FROM d WHERE pos % 50 = 1
+UNION ALL SELECT 'warning', 'row_count', NULL, count(*) FROM d UNION ALL SELECT 'error', 'unknown_label', l, count(*) FROM d WHERE l = 'Odd' GROUP BY l""")
 def val_dataset(v: Views) -> DataFrame:
-    return v.flows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("label").isin("Benign", "Malicious")).alias("unknown_labels"), F.bool_and(F.col("dur").eqNullSafe(F.round("dur", 4))).alias("twin_holds"), F.bool_and(F.col("tot_bytes").eqNullSafe(F.col("tot_pkts"))).alias("twin_broken"))
+    """Flows with one true twin of a column, one that is none any more, unknown labels and a feature that tells the attack."""
+    k = F.col("pos")
+    d = v.flows.select("pos", "dur", F.col("dur").alias("same"), F.when(k % 50 != 1, F.col("dur")).otherwise(F.col("dur") + 1).alias("other"), "proto", "attack_type", F.when(k % 97 == 0, "Odd").when(k % 89 != 0, F.col("label")).alias("label"))
+    return prepare.dataset_report(d, ["dur", "proto", "attack_type"], ["attack_type", "attack_tool"], "label", [prepare.BENIGN, prepare.MALICIOUS], {"dur": ["same", "other", "gone"]}, expected_rows=1, expected_columns=52)
 
 
 _COLS = ["src_addr", "dport", "proto", "tot_bytes", "label", "attack_type"]

@@ -84,3 +84,25 @@ def test_kernel_machine_separates_a_ring(spark):
     scored = learn.kernel_svm(d.where("id % 4 > 0"), d.where("id % 4 = 0"), ["a", "b"], "y", landmarks=60)
     right = scored.agg(F.avg((F.col("pred") == F.col("y")).cast("double")), F.avg("y")).first()
     assert right[0] > 0.85 and right[0] > max(right[1], 1 - right[1]) + 0.15
+
+
+def test_summary_leaders_and_models_side_by_side(spark):
+    rows = [("a", 1, 1, "x"), ("a", 0, 1, "ok"), ("a", 1, 0, "y"), ("a", 0, 0, "ok"), ("b", 1, 1, "x"), ("b", 0, 0, "ok"), ("b", 1, 0, "y"), ("b", 0, 0, "ok"), ("c", None, 1, "x"), ("c", 0, 0, "ok")]
+    d = spark.createDataFrame(rows, "m string, y int, p int, g string")
+    got = {r.m: r for r in evaluate.summary_table(d, "m", "y", "p").collect()}
+    assert (got["a"].tp, got["a"].fp, got["a"].fn, got["a"].tn, got["a"].n, got["a"].actual_benign, got["a"].actual_malicious, got["a"].predicted_malicious) == (1, 1, 1, 1, 4, 2, 2, 2)
+    assert (got["a"].leads, got["b"].leads, got["c"].leads) == ("recall", "f1,fpr,precision", "accuracy")
+    side = {(r.g, r.metric): r for r in evaluate.model_pivot(d, {"p": F.col("p") == 1, "never": F.when(F.col("m") == "a", F.lit(False))}, "g", "y").collect()}
+    assert (side["x", "recall"].p, side["x", "recall"].never, side["x", "recall"].support) == (1.0, 0.0, 2)
+    assert (side["ok", "fpr"].p, side["ok", "fpr"].support) == (0.2, 5) and side["y", "recall"].p == 0.0
+    assert set(side) == {("x", "recall"), ("y", "recall"), ("ok", "fpr")}
+
+
+def test_dataset_report(spark):
+    from netsift.operators import prepare
+
+    d = spark.createDataFrame([(1.0, 1.0, 1.0, "Benign", "t"), (None, None, 2.0, "Odd", "t"), (3.0, 3.0, 3.0, None, "t")], "dur double, same double, other double, label string, tool string")
+    report = lambda **more: sorted((r.severity, r.check, r.subject or "", r.n) for r in prepare.dataset_report(d, ["dur", "tool"], ["tool", "gone"], "label", ["Benign", "Malicious"], {"dur": ["same", "other", "none"]}, **more).collect())
+    always = [("error", "metadata_is_feature", "tool", 0), ("error", "missing_metadata", "gone", 0), ("error", "unknown_label", "Odd", 1), ("warning", "no_twin", "dur other", 1)]
+    assert report() == report(expected_rows=3, expected_columns=5) == always
+    assert report(expected_rows=4, expected_columns=6) == sorted([*always, ("warning", "row_count", "", 3), ("warning", "column_count", "", 5)])
