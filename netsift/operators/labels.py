@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ordering
+from netsift.sources.shared import written
 
+from . import ordering
 
-def _bucketed(labels: DataFrame, bucket_us: int, tolerance_us: int) -> DataFrame:
-    lo, hi = F.col("start_us") - tolerance_us, F.col("end_us") + tolerance_us
-    d = labels.where("start_us <= end_us").select("flow_key", lo.alias("_lo"), hi.alias("_hi"), "label", "family")
-    return d.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / bucket_us), F.floor(F.col("_hi") / bucket_us))))
 
+def _toggles(ends: DataFrame, column: str) -> DataFrame:
+    """Where a value of ``column`` begins or stops to be open for a key: (flow_key, _at, _kind, _n, _sum), +1 or -1 and the value's number."""
+    d = ends.where(F.col(column).isNotNull()).groupBy("flow_key", column, f"_id_{column}", "_at", "_kind").agg(F.sum("_d").alias("_d"))
+    d = ordering.running_within(d, ["flow_key", column], ["_at", "_kind"], {"_open": F.col("_d")})
+    turn = F.when(F.col("_open") == F.col("_d"), 1).when(F.col("_open") == 0, -1)  # none open before, none after
+    return d.withColumn("_n", turn.cast("long")).where("_n IS NOT NULL").select("flow_key", "_at", "_kind", "_n", (F.col("_n") * F.col(f"_id_{column}")).alias("_sum"))
 
-def _kinds(column: str) -> Column:
-    """0, 1 or 2 (several) different values."""
-    return F.when(F.min(column).isNull(), 0).when(F.min(column) == F.max(column), 1).otherwise(2)
 
+def interval_matches(packets: DataFrame, labels: DataFrame, tolerance_us: int = 1) -> DataFrame:
+    """(packet_id, n_matches, n_labels, label, n_families, family) for packets inside an interval of their key.
 
-def interval_matches(packets: DataFrame, labels: DataFrame, bucket_us: int, tolerance_us: int = 1) -> DataFrame:
-    """(packet_id, n_matches, labels, families) for packets inside an interval of their key.
+    ``n_labels`` and ``n_families`` are 0, 1 or 2 (several); a label or family is there if it is the only one.
 
-    Intervals are dealt to time buckets; a packet has one bucket, so the join is on (key, bucket) and
-    a hot key is spread over time.
+    No packet meets an interval. The beginnings and ends of a key's intervals are counted up in time order over
+    ranges: how many are open, how many labels and families are, and the sum of their numbers, which names the
+    one that is open alone. So the work grows with packets and intervals, however many of them overlap.
     """
-    p = packets.withColumn("_b", F.floor(F.col("epoch_us") / bucket_us))
-    j = p.join(_bucketed(labels, bucket_us, tolerance_us), ["flow_key", "_b"]).where("epoch_us BETWEEN _lo AND _hi")
-    return j.groupBy("packet_id").agg(F.count(F.lit(1)).alias("n_matches"), _kinds("label").alias("n_labels"), F.min("label").alias("label"), _kinds("family").alias("n_families"), F.min("family").alias("family"))
+    lo, hi = F.col("start_us") - tolerance_us, F.col("end_us") + tolerance_us
+    d = labels.where("start_us <= end_us AND flow_key IS NOT NULL").select("flow_key", lo.alias("_lo"), hi.alias("_hi"), "label", "family").where("_lo <= _hi")
+    d = d.groupBy("flow_key", "_lo", "_hi", "label", "family").agg(F.count(F.lit(1)).alias("_w"))
+    values = {c: written(d.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"_id_{c}", F.monotonically_increasing_id()), c) for c in ("label", "family")}
+    # at one time beginnings come first (0), then packets (1), then ends (2): both bounds are inside
+    ends = F.explode(F.array(F.struct(F.col("_lo").alias("_at"), F.lit(0).alias("_kind"), F.col("_w").alias("_d")), F.struct(F.col("_hi").alias("_at"), F.lit(2).alias("_kind"), (-F.col("_w")).alias("_d"))))
+    e = d.withColumn("_e", ends).groupBy("flow_key", "label", "family", "_e._at", "_e._kind").agg(F.sum("_e._d").alias("_d"))
+    e = written(e.join(values["label"], "label", "left").join(values["family"], "family", "left"), "ends")
+    steps = e.groupBy("flow_key", "_at", "_kind").agg(F.sum("_d").alias("n_matches"))
+    for c in values:
+        steps = steps.unionByName(_toggles(e, c).withColumnsRenamed({"_n": f"_n_{c}", "_sum": f"_s_{c}"}), allowMissingColumns=True)
+    at = packets.select("packet_id", "flow_key", F.col("epoch_us").alias("_at"), F.lit(1).alias("_kind"))
+    both = written(steps.unionByName(at, allowMissingColumns=True), "steps")
+    counts = {c: F.col(c) for c in ("n_matches", "_n_label", "_s_label", "_n_family", "_s_family")}
+    here = ordering.running_within(both, ["flow_key"], ["_at", "_kind"], counts).where("_kind = 1 AND n_matches > 0")
+    for c, names in values.items():
+        here = here.withColumn(f"_id_{c}", F.when(F.col(f"_n_{c}") == 1, F.col(f"_s_{c}"))).join(names, f"_id_{c}", "left")
+    kinds = lambda c: F.when((F.max(f"_n_{c}") > 1) | (F.min(c) < F.max(c)), 2).otherwise(F.max(f"_n_{c}"))
+    one = lambda c: F.when(kinds(c) == 1, F.min(c)).alias(c)
+    return here.groupBy("packet_id").agg(F.sum("n_matches").alias("n_matches"), kinds("label").alias("n_labels"), one("label"), kinds("family").alias("n_families"), one("family"))
 
 
 def packet_labels(packets: DataFrame, labels: DataFrame, bucket_us: int, tolerance_us: int = 1) -> DataFrame:
-    """The label of each packet if all its intervals agree, else null; several families: mixed_flood."""
-    m = interval_matches(packets, labels, bucket_us, tolerance_us)
+    """The label of each packet if all its intervals agree, else null; several families: mixed_flood.
+
+    ``bucket_us`` is left from a join on time buckets and changes nothing.
+    """
+    m = interval_matches(packets, labels, tolerance_us)
     agreed = F.col("n_labels") == 1
     family = F.when(agreed, F.when(F.col("n_families") == 1, F.col("family")).otherwise("mixed_flood"))
     return packets.select("packet_id", "epoch_us").join(m.select("packet_id", F.when(agreed, F.col("label")).alias("label"), family.alias("family")), "packet_id", "left")
 
 
 def packet_audit(packets: DataFrame, labels: DataFrame, bucket_us: int, tolerance_us: int = 1) -> DataFrame:
-    """Every packet in one category: matched, ambiguous, outside the key's intervals, or unknown key."""
-    m = interval_matches(packets, labels, bucket_us, tolerance_us)
+    """Every packet in one category: matched, ambiguous, outside the key's intervals, or unknown key; ``bucket_us`` as above."""
+    m = interval_matches(packets, labels, tolerance_us)
     keys = labels.select("flow_key").distinct().withColumn("_known", F.lit(True))
     d = packets.select("packet_id", "flow_key").join(m, "packet_id", "left").join(keys, "flow_key", "left")
     kind = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,34 @@ def test_interval_join_against_brute_force(spark):
         assert got[i] == ((m[0][0], min(fams) if len(fams) == 1 else "mixed_flood") if same else (None, None))
 
 
+def test_interval_matches_of_nulls_and_repeated_packets(spark):
+    """Counts, labels and families against a loop: keys, times, labels and families may be null, packet numbers repeat."""
+    r = random.Random(12)
+    packets = [(r.randint(0, 250), r.choice([None, r.randint(0, 400), r.randint(0, 400)]), r.choice([None, 0, 1, 2])) for _ in range(300)]
+    spans = [(r.choice([None, 0, 1]), s := r.randint(0, 400), s + r.randint(-5, 40), r.choice([None, 0, 1]), r.choice([None, "a", "b"])) for _ in range(60)]
+    p = spark.createDataFrame(packets, "packet_id long, epoch_us long, flow_key long")
+    f = spark.createDataFrame(spans * 2, "flow_key long, start_us long, end_us long, label int, family string")
+    got = {x.packet_id: tuple(x)[1:] for x in labels.interval_matches(p, f, tolerance_us=2).collect()}
+    want = {}
+    for i in {x[0] for x in packets}:
+        m = [(y, fam) for j, t, k in packets if j == i and None not in (t, k) for key, s, e, y, fam in spans if key == k and s <= e and s - 2 <= t <= e + 2]
+        kinds = [{x[c] for x in m} - {None} for c in (0, 1)]
+        if m:
+            want[i] = (2 * len(m), *[y for ks in kinds for y in (min(len(ks), 2), min(ks) if len(ks) == 1 else None)])
+    assert got == want and len(want) > 50
+
+
+def test_intervals_that_all_overlap_do_not_meet_every_packet(spark):
+    """40,000 packets inside up to 40,000 intervals each: 800 million pairs that no join may write out."""
+    n = 40_000
+    p = spark.range(n).select(F.col("id").alias("packet_id"), F.col("id").alias("epoch_us"), F.lit(0).alias("flow_key"))
+    f = spark.range(n).select(F.lit(0).alias("flow_key"), F.col("id").alias("start_us"), (F.col("id") + n).alias("end_us"), F.lit(1).alias("label"), F.when(F.col("id") < 100, "a").otherwise("b").alias("family"))
+    begun = time.monotonic()
+    got = {x.category: x.packets for x in labels.packet_audit(p, f, n).collect()}
+    assert got == {"mixed_family": n - 99, "matched_repeatedly": 99}
+    assert time.monotonic() - begun < 60
+
+
 def test_episode_rule(spark):
     seq = [(0, 0), (1, 1), (2, 1), (3, None), (4, 0), (5, 1), (8, 0), (9, None), (14, 1), (15, 1), (30, 1)]
     d = spark.createDataFrame([("r", t, y, i) for i, (t, y) in enumerate(seq)], "run string, t long, y int, id long")
