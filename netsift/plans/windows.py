@@ -201,7 +201,7 @@ def agg_empty_windows(v: Views) -> DataFrame:
 @query("int_truth_recheck", "packets flow_labels", f""", tr AS (SELECT epoch_us // {HOUR} AS win, count(*) AS packets, CASE WHEN count(*) FILTER (WHERE label = 1) > 0 THEN 1 WHEN count(*) FILTER (WHERE label IS NULL) > 0 THEN NULL ELSE 0 END AS label FROM pl GROUP BY 1)
 SELECT win, label, packets + 1 AS packets, label AS label_again, packets AS packets_again FROM tr WHERE win % 19 = 0""", MATCH)
 def int_truth_recheck(v: Views) -> DataFrame:
-    rows = _labelled(v).withColumn("win", F.floor(F.col("epoch_us") / HOUR))
+    rows = v.once("labelled", lambda: _labelled(v).withColumn("win", F.floor(F.col("epoch_us") / HOUR)))
     saved = labels.window_truth(rows, ["win"]).withColumn("packets", F.col("packets") + F.when(F.col("win") % 19 == 0, 1).otherwise(0))
     return labels.truth_recheck(saved, rows, ["win"])
 
