@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift.operators import entropy, ordering, preparation
 from netsift.sources import captures, readers
-from netsift.sources.shared import shared_path
+from netsift.sources.shared import shared_path, written
 from netsift.sources.views import Views
 
 from .base import query
@@ -149,18 +149,18 @@ def _le(c: Column) -> Column:
     return F.concat(*[_be(F.pmod(F.shiftright(c.cast("long"), 8 * i), F.lit(256)), 1) for i in range(4)])
 
 
-def _binary_files(records: DataFrame, tag: str, end: str) -> str:
-    """A file for each key and million packet numbers: the head before its first record, then records in order.
+def _binary_files(records: DataFrame, tag: str, end: str, order: list[str]) -> str:
+    """A file for each key and million packet numbers: the head before its first record, then records in the order of ``order``.
 
     Each of ``record`` ends with the bytes ``end``, which Spark's text writer puts behind every row, so the
     file holds the records' bytes and nothing else.
     """
     part = F.floor(F.col("packet_id") / 1_000_000).alias("part")
-    d = records.select("flow_key", part, "packet_id", "head", "record")
-    first = d.groupBy("flow_key", "part").agg(F.min("packet_id").alias("_first"))
-    whole = F.when(F.col("packet_id") == F.col("_first"), F.concat("head", "record")).otherwise(F.col("record"))
+    d = records.select("flow_key", part, F.struct(*order).alias("_at"), "head", "record")
+    first = d.groupBy("flow_key", "part").agg(F.min("_at").alias("_first"))
+    whole = F.when(F.col("_at") == F.col("_first"), F.concat("head", "record")).otherwise(F.col("record"))
     value = F.substring(whole, F.lit(1), F.length(whole) - len(end)).cast("string").alias("value")
-    rows = d.join(first, ["flow_key", "part"]).repartition("flow_key", "part").sortWithinPartitions("flow_key", "part", "packet_id")
+    rows = d.join(first, ["flow_key", "part"]).repartition("flow_key", "part").sortWithinPartitions("flow_key", "part", "_at")
     path = shared_path(d.sparkSession, tag)
     rows.select(value, "flow_key", "part").write.option("lineSep", end).partitionBy("flow_key", "part").text(path)
     return path
@@ -191,12 +191,21 @@ def proj_header_decode(v: Views) -> DataFrame:
 
 _JOB = "SELECT 'capture-' || flow_key || '-' || packet_id // 1000000 AS path, count(*) AS frames, CAST(sum(epoch_us) AS BIGINT) AS time_sum, CAST(sum(packet_id) AS BIGINT) AS id_sum, 0 AS out_of_order FROM packets GROUP BY 1"
 _LF = "\n"
+#: A capture holds its packets as they came by.
+_TIME = ["epoch_us", "packet_id"]
 
 
 def _job(got: DataFrame) -> DataFrame:
-    """Frames carry their packet's number behind the header bytes."""
+    """Frames carry their packet's number behind the header bytes.
+
+    More than about 5,000 frames in a file have a sum of times beyond a BIGINT, which the SQL can't give; then, and
+    only then, ``time_sum`` is a decimal.
+    """
     number = F.conv(F.hex(F.substring("frame", F.length("frame") - 8, F.lit(8))), 16, 10).cast("long")
-    return got.groupBy(_captured(got).alias("path")).agg(F.count(F.lit(1)).alias("frames"), F.sum("epoch_us").alias("time_sum"), F.sum(number).alias("id_sum"), F.count_if("late").alias("out_of_order"))
+    each = got.groupBy(_captured(got).alias("path")).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("epoch_us").cast("decimal(20,0)")).cast("decimal(38,0)").alias("time_sum"), F.sum(number).alias("id_sum"), F.count_if("late").alias("out_of_order"))
+    each = written(each, "files")  # one row a file
+    fits = each.where(~F.col("time_sum").between(-(2**63), 2**63 - 1)).isEmpty()
+    return each.withColumn("time_sum", F.col("time_sum").cast("long")) if fits else each
 
 
 def _numbered_frames(v: Views) -> DataFrame:
@@ -209,7 +218,7 @@ def src_pcap_job(v: Views) -> DataFrame:
     n, us = F.length("frame"), F.col("epoch_us")
     record = F.concat(_le(F.floor(us / 1_000_000)), _le(F.pmod(us, F.lit(1_000_000))), _le(n), _le(n), F.col("frame"))
     head = F.unhex(F.lit("d4c3b2a1" + "0200" + "0400" + "00" * 8 + "ffff0000" + "01000000"))
-    path = _binary_files(_numbered_frames(v).select("flow_key", "packet_id", head.alias("head"), record.alias("record")), "captures", _LF)
+    path = _binary_files(_numbered_frames(v).select("flow_key", "epoch_us", "packet_id", head.alias("head"), record.alias("record")), "captures", _LF, _TIME)
     return _job(readers.pcap(v.spark, path))
 
 
@@ -225,7 +234,7 @@ def src_pcapng_job(v: Views) -> DataFrame:
     n = F.length("frame")
     block = F.concat(F.unhex(F.lit("06000000" + size)), _le(F.pmod(k, F.lit(2))), _le(F.shiftright(ticks, 32)), _le(F.pmod(ticks, F.lit(2**32))), _le(n), _le(n), body, F.unhex(F.lit(size)))
     d = _numbered_frames(v).withColumn("frame", F.concat(F.substring("frame", F.lit(1), F.least(F.lit(55), F.length("frame") - 9)), F.substring("frame", F.length("frame") - 8, F.lit(9))))
-    path = _binary_files(d.select("flow_key", "packet_id", F.unhex(F.lit(section + interface(6) + interface(9))).alias("head"), block.alias("record")), "blocks", "`\x00\x00\x00")
+    path = _binary_files(d.select("flow_key", "epoch_us", "packet_id", F.unhex(F.lit(section + interface(6) + interface(9))).alias("head"), block.alias("record")), "blocks", "`\x00\x00\x00", _TIME)
     return _job(readers.pcap(v.spark, path, "pcapng", strict=True))
 
 
@@ -236,7 +245,7 @@ def src_datagram_log(v: Views) -> DataFrame:
     two = F.unhex(F.lit("4000000000000000"))  # 2.0 as a double
     record = F.concat(two, _be(F.lit(9), 4), _be(k, 8), F.unhex(F.lit("0A")))
     record = F.when(k % 11 == 0, F.concat(two, _be(F.lit(0), 4), record)).otherwise(record)
-    path = _binary_files(v.packets.select("flow_key", "packet_id", F.unhex(F.lit("")).alias("head"), record.alias("record")), "logs", _LF)
+    path = _binary_files(v.packets.select("flow_key", "packet_id", F.unhex(F.lit("")).alias("head"), record.alias("record")), "logs", _LF, ["packet_id"])
     got = readers.datagram_log(v.spark, path)
     return got.groupBy(_captured(got).alias("path")).agg(F.count(F.lit(1)).alias("datagrams"), F.sum(F.length("payload").cast("long")).alias("bytes"), F.count_if("late").alias("out_of_order"))
 

@@ -7,6 +7,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from netsift.sources import captures, readers
 
@@ -137,3 +138,17 @@ def test_digests(spark, tmp_path, cut):
     listed = [(n, "0" if n == "f4" else h) for n, h in got.items() if n != "f2"] + [("gone", "1")]
     bad = readers.checksum_mismatches(spark, f"file://{tmp_path}", spark.createDataFrame(listed, "name string, sha256 string")).collect()
     assert sorted((r.name, r.expected is None, r.found is None) for r in bad) == [("f2", True, False), ("f4", False, False), ("gone", False, True)]
+
+
+@pytest.mark.parametrize("name", ["src_pcap_job", "src_pcapng_job"])
+def test_jobs_beyond_a_long_and_with_times_that_go_back(spark, tmp_path, name):
+    """6,000 packets of one key, the later half begins again at the first time: captures are in time order, sums exact."""
+    from netsift.plans.registry import QUERIES
+
+    n, first = 6000, 1_704_067_200_000_000
+    at = F.timestamp_micros(F.lit(first) + F.col("id") % (n // 2))
+    e = spark.range(n).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(7).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    e.write.parquet(f"file://{tmp_path}/events.parquet")
+    (r,) = QUERIES[name](spark, f"file://{tmp_path}").collect()
+    assert (r.path, r.frames, r.id_sum, r.out_of_order) == ("capture-7-0", n, n * (n - 1) // 2, 0)
+    assert int(r.time_sum) == sum(first + i % (n // 2) for i in range(n)) > 2**63
