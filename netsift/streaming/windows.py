@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netsift.sources.shared import shared_path
+from netsift.sources.shared import shared_path, ship
 
 from .stateful import with_rocksdb
 
@@ -48,15 +49,33 @@ def reveal(predictions: DataFrame, truth: DataFrame, delay: str, wait: str, more
     return p.join(t, cond if more is None else cond & more, "left_outer")
 
 
+#: Rows that a stateful function puts out at once.
+_BLOCK = 16_384
+
+
+def _in_order(batches: Iterator[pd.DataFrame], order: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Two columns of a key's rows of a micro-batch as arrays in order; batches are let go one by one."""
+    orders, values = [], []
+    for b in batches:
+        orders.append(b[order].to_numpy(copy=True))
+        values.append(b[value].to_numpy(copy=True))
+    orders, values = np.concatenate(orders), np.concatenate(values)
+    if np.all(orders[1:] >= orders[:-1]):
+        return orders, values
+    at = np.argsort(orders, kind="stable")
+    return orders[at], values[at]
+
+
 def count_windows(rows: DataFrame, key: str, order: str, value: str, width: int, step: int) -> DataFrame:
     """Complete windows of ``width`` rows for each key: (key, window, first, last, distinct). State: at most ``width`` rows."""
+    ship(rows.sparkSession)
+    names = [key, "window", "first", "last", "distinct"]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, orders, values = state.get if state.exists else (0, [], [])
         orders, values = list(orders), list(values)
-        rows = pd.concat(list(batches)).sort_values(order)
         out = []
-        for o, x in zip(rows[order].tolist(), rows[value].tolist()):
+        for o, x in zip(*_in_order(batches, order, value)):
             orders.append(int(o))
             values.append(str(x))
             seen += 1
@@ -65,36 +84,52 @@ def count_windows(rows: DataFrame, key: str, order: str, value: str, width: int,
                 values.pop(0)
             if seen >= width and (seen - width) % step == 0:
                 out.append((k[0], (seen - width) // step, orders[0], orders[-1], len(set(values))))
+                if len(out) == _BLOCK:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
         state.update((seen, orders, values))
-        yield pd.DataFrame(out, columns=[key, "window", "first", "last", "distinct"])
+        yield pd.DataFrame(out, columns=names)
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, order, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, window long, first long, last long, distinct long", "seen long, orders array<long>, values array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def ewma_mad(rows: DataFrame, key: str, order: str, value: str, alpha: float, history: int, min_history: int, k: float) -> DataFrame:
-    """EWMA with alarms against the median of the last ``history`` values; state: one value and that list."""
+    """EWMA with alarms against the median of the last ``history`` values; state: one value and that list.
 
-    def median(xs: list[float]) -> float:
-        s, n = sorted(xs), len(xs)
-        return (s[(n - 1) // 2] + s[n // 2]) / 2
+    Of a micro-batch a task holds two numbers a row of one key; rows come out in blocks.
+    """
+    ship(rows.sparkSession)
+
+    def medians(windows: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the ``n`` values of each row; the others are NaN, which sorts last."""
+        s, at = np.sort(windows, axis=1), np.arange(len(n))
+        return (s[at, (n - 1) // 2] + s[at, n // 2]) / 2
+
+    def alarms(hist: list[float], ewma: np.ndarray) -> np.ndarray:
+        known = np.concatenate([np.full(history - len(hist), np.nan), hist, ewma])
+        before = np.lib.stride_tricks.sliding_window_view(known, history)[: len(ewma)]
+        n = np.minimum(len(hist) + np.arange(len(ewma)), history)
+        out, full = np.zeros(len(ewma), bool), np.flatnonzero(n >= max(min_history, 1))
+        w, n = before[full], n[full]
+        base = medians(w, n)
+        spread = k * 1.4826 * np.maximum(medians(np.abs(w - base[:, None]), n), 1e-6)
+        out[full] = np.abs(ewma[full] - base) > spread
+        return out
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, hist = state.get if state.exists else (None, [])
         hist = list(hist)
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for o, x in zip(rows[order].tolist(), rows[value].tolist()):
-            last = float(x) if last is None else alpha * float(x) + (1 - alpha) * last
-            alarm = False
-            if len(hist) >= min_history:
-                base = median(hist)
-                spread = k * 1.4826 * max(median([abs(h - base) for h in hist]), 1e-6)
-                alarm = abs(last - base) > spread
-            out.append((group[0], int(o), last, alarm))
-            hist = (hist + [last])[-history:]
+        orders, values = _in_order(batches, order, value)
+        for i in range(0, len(orders), _BLOCK):
+            ewma = []
+            for x in values[i : i + _BLOCK].tolist():
+                last = float(x) if last is None else alpha * float(x) + (1 - alpha) * last
+                ewma.append(last)
+            ewma = np.array(ewma, float)
+            yield pd.DataFrame({key: group[0], "at": orders[i : i + _BLOCK], "ewma": ewma, "alarm": alarms(hist, ewma)})
+            hist = [*hist, *ewma[-history:].tolist()][-history:]
         state.update((last, hist))
-        yield pd.DataFrame(out, columns=[key, "at", "ewma", "alarm"])
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(key, order, value).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, at long, ewma double, alarm boolean", "last double, hist array<double>", "append", GroupStateTimeout.NoTimeout)

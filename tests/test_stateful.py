@@ -127,3 +127,28 @@ def test_a_replayed_batch_adds_nothing(spark, tmp_path):
         assert content() == before
     plan = sinks.read_log(spark, path, "predictions", "idx long").where("run_id = 5")
     assert [r.idx for r in plan.collect()] == [40] and len(plan.inputFiles()) <= len(sinks.read_log(spark, path, "predictions", "idx long").inputFiles())
+
+
+def test_stream_functions_hold_numbers_and_give_blocks(spark, tmp_path):
+    """60,000 rows of one key in two micro-batches, out of order inside each: values against a loop, rows in blocks."""
+    import numpy as np
+    import pandas as pd
+
+    r, n = random.Random(5), 60_000
+    values = [r.gauss(0, 1) + 30 * (i % 997 == 0) for i in range(n)]
+    rows = [(1, i, x) for i, x in enumerate(values)]
+    batches = [rows[: n // 2], rows[n // 2 :]]
+    for b in batches:
+        r.shuffle(b)
+    s = stream(spark, tmp_path, batches, "key long, at long, value double")
+    got = windows.drained(windows.ewma_mad(s, "key", "at", "value", 0.2, 21, 10, 3.0), "t").orderBy("at").collect()
+    last, hist = None, []
+    for g, x in zip(got, values, strict=True):
+        last = x if last is None else 0.2 * x + 0.8 * last
+        base = float(np.median(hist)) if hist else 0.0
+        spread = 3.0 * 1.4826 * max(float(np.median([abs(h - base) for h in hist])), 1e-6) if hist else 0.0
+        assert (g.ewma, g.alarm) == (last, len(hist) >= 10 and abs(last - base) > spread)
+        hist = [*hist, last][-21:]
+    assert sum(g.alarm for g in got) > 50
+    orders, xs = windows._in_order(iter([pd.DataFrame({"k": 1, "o": [3, 1], "x": [0.3, 0.1]}), pd.DataFrame({"k": 1, "o": [2], "x": [0.2]})]), "o", "x")
+    assert isinstance(xs, np.ndarray) and (orders.tolist(), xs.tolist()) == ([1, 2, 3], [0.1, 0.2, 0.3])
