@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netsift.sources.shared import written
+
 from .ordering import neighbours, numbered, running_sums
 
 
@@ -34,23 +36,45 @@ def rates(counts: DataFrame, undefined: str = "null") -> DataFrame:
     return out.withColumns({"base_rate": r(tp + fn, n), "alarm_rate": r(tp + fp, n), "balanced_accuracy": (F.col("recall") + F.col("tnr")) / 2, "mcc": mcc}).withColumn("lift", ratio(F.col("precision"), F.col("base_rate")))
 
 
+def _score_counts(df: DataFrame, y: str, score: str) -> DataFrame:
+    return df.where(F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
+
+
+def _steps(counts: DataFrame) -> DataFrame:
+    return running_sums(counts.withColumn("_down", -F.col("threshold")), "_down", {"tp": F.col("pos"), "fp": F.col("neg")})
+
+
 def score_steps(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row for each distinct score: positives, negatives, and both summed from the highest score down."""
-    by = df.where(F.col(y).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    return running_sums(by.withColumn("_down", -F.col("threshold")), "_down", {"tp": F.col("pos"), "fp": F.col("neg")})
+    return _steps(_score_counts(df, y, score))
+
+
+def _area() -> Column:
+    return F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) * 2 + F.col("pos") * F.col("neg"))
+
+
+def _precision_steps() -> Column:
+    return F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
+def score_metrics(df: DataFrame, y: str, score: str, cut: float) -> DataFrame:
+    """One row: tp, fp, fn, tn at ``cut``, ``roc_auc`` and ``average_precision``; ``df`` is read once, its distinct scores are written."""
+    s = _steps(written(_score_counts(df, y, score), "scores"))
+    at = F.col("threshold") >= cut
+    counts = [F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0)).alias(n) for n, c, x in (("tp", at, "pos"), ("fp", at, "neg"), ("fn", ~at, "pos"), ("tn", ~at, "neg"))]
+    one = s.agg(*counts, _area().alias("_a"), _precision_steps().alias("_s"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    return one.select("tp", "fp", "fn", "tn", ratio(F.col("_a"), 2 * F.col("_p") * F.col("_n")).alias("roc_auc"), ratio(F.col("_s"), F.col("_p")).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Mann-Whitney with mean ranks for ties; null with one class."""
     s = score_steps(df, y, score)
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos")) * 2 + F.col("pos") * F.col("neg"))
-    return s.agg(area.alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(ratio(F.col("a"), 2 * F.col("p") * F.col("n")).alias("roc_auc"))
+    return s.agg(_area().alias("a"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(ratio(F.col("a"), 2 * F.col("p") * F.col("n")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
     s = score_steps(df, y, score)
-    step = F.sum(F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp")))
-    return s.agg(step.alias("a"), F.sum("pos").alias("p")).select(ratio(F.col("a"), F.col("p")).alias("average_precision"))
+    return s.agg(_precision_steps().alias("a"), F.sum("pos").alias("p")).select(ratio(F.col("a"), F.col("p")).alias("average_precision"))
 
 
 def roc_points(df: DataFrame, y: str, score: str, drop_collinear: bool = False) -> DataFrame:

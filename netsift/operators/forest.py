@@ -55,7 +55,7 @@ def scored(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame
 
 @dataclass
 class Search:
-    """The table of candidates, the chosen setting refitted, and the threshold that was locked on validation rows."""
+    """The table of candidates, the chosen setting with its forest, and the threshold that was locked on validation rows."""
 
     table: DataFrame
     setting: dict
@@ -86,17 +86,19 @@ def search(train: DataFrame, validation: DataFrame, features: list[str], y: str,
     x = vectors(train, features, y)
     x = written(x.join(F.broadcast(class_weights(train, y).select(y, F.col("weight").alias("_w"))), y), "vectors")  # one row for each class
     held = written(vectors(validation, features, y), "validation")
+    models = {}
 
     def one(numbered: tuple[int, dict]) -> dict:
         i, setting = numbered
         model = fit(x, y, trees=trees, seed=seed, **setting)
-        s = written(scored(model, held).withColumn("pred", (F.col("score") >= 0.5).cast("int")), "scores")
+        s = scored(model, held)
         if seen:
+            s = written(s.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "scores")
             seen(i, s)
-        r = evaluate.rates(evaluate.confusion(s, y, "pred"), "zero").first()
-        return {
-            "candidate": i, **setting, "average_precision": evaluate.average_precision(s, y, "score").first()[0], "roc_auc": evaluate.roc_auc(s, y, "score").first()[0], "f1": r["f1"], "fpr": r["fpr"], "nodes": int(model.totalNumNodes),
-        }
+        m = written(evaluate.score_metrics(s, y, "score", 0.5), "metrics")  # one row
+        r = {**m.first().asDict(), **evaluate.rates(m.select("tp", "fp", "fn", "tn"), "zero").first().asDict()}
+        models[i] = model
+        return {"candidate": i, **setting, **{c: r[c] for c in ("average_precision", "roc_auc", "f1", "fpr")}, "nodes": int(model.totalNumNodes)}
 
     pool = ThreadPool(parallel)
     try:
@@ -105,7 +107,7 @@ def search(train: DataFrame, validation: DataFrame, features: list[str], y: str,
         pool.close()
     chosen = simplest(rows, tolerance)
     setting = {k: chosen[k] for k in (grid or GRID)}
-    model = fit(x, y, trees=trees, seed=seed, **setting)
+    model = models[chosen["candidate"]]
     threshold = locked_threshold(scored(model, held), y)
     table = train.sparkSession.createDataFrame([(*[r[c] for c in ("candidate", "depth", "leaf", "subset", "average_precision", "roc_auc", "f1", "fpr", "nodes")], r is chosen) for r in rows], _SCHEMA)
     return Search(table, setting, model, threshold, features, y)

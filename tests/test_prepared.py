@@ -162,3 +162,30 @@ def test_protocol_over_models_seeds_and_held_out_blocks(spark):
     assert {x.part for x in held.collect()} == {"known", "unseen"} and all(300 < n < 400 for _, n in made)
     for x in protocol.compared(long.where("part = 'test'"), held).collect():
         assert x.difference is None or math.isclose(x.difference, x.other - table[x.model, x.seed, "test", x.metric], abs_tol=1e-12)
+
+
+def test_scores_in_one_pass_and_seedless_models_fitted_once(spark):
+    """Metrics of one pass are those of the single functions; a model that no seed changes is fitted once for all seeds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from netsift.operators import evaluate, protocol
+
+    r = random.Random(3)
+    d = spark.createDataFrame([(r.choice([None, 0, 1]), r.randint(0, 20) / 20) for _ in range(400)], "y int, score double")
+    got = evaluate.score_metrics(d, "y", "score", 0.5).first()
+    want = evaluate.confusion(d.withColumn("pred", (F.col("score") >= 0.5).cast("int")), "y", "pred").first()
+    assert tuple(got[c] for c in ("tp", "fp", "fn", "tn")) == tuple(want[c] for c in ("tp", "fp", "fn", "tn"))
+    assert got.roc_auc == pytest.approx(evaluate.roc_auc(d, "y", "score").first()[0]) and got.average_precision == pytest.approx(evaluate.average_precision(d, "y", "score").first()[0])
+    fits = []
+
+    def model(train, y, seed):
+        fits.append(seed)
+        return protocol.logistic(train, y, seed)
+
+    model.seedless = True
+    rows = spark.createDataFrame([(i % 2, float(i % 7)) for i in range(60)], "y int, a double")
+    long = protocol.Protocol(["a"], models={"m": model}, seeds=(1, 2, 3)).run(rows, {"p": rows}).collect()
+    assert fits == [1] and {x.seed for x in long} == {1, 2, 3} and len(long) == 3 * 7
+    assert len({(x.metric, x.value) for x in long}) == 7
