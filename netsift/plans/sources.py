@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.operators import entropy, ordering, preparation
@@ -153,14 +153,15 @@ def _binary_files(records: DataFrame, tag: str, end: str, order: list[str]) -> s
     """A file for each key and million packet numbers: the head before its first record, then records in the order of ``order``.
 
     Each of ``record`` ends with the bytes ``end``, which Spark's text writer puts behind every row, so the
-    file holds the records' bytes and nothing else.
+    file holds the records' bytes and nothing else. The window needs a file's records in one task; behind a
+    join, adaptive execution may drop a repartition by its keys and deal a file's records to several tasks.
     """
     part = F.floor(F.col("packet_id") / 1_000_000).alias("part")
     d = records.select("flow_key", part, F.struct(*order).alias("_at"), "head", "record")
-    first = d.groupBy("flow_key", "part").agg(F.min("_at").alias("_first"))
-    whole = F.when(F.col("_at") == F.col("_first"), F.concat("head", "record")).otherwise(F.col("record"))
+    d = d.withColumn("_no", F.row_number().over(Window.partitionBy("flow_key", "part").orderBy("_at")))
+    whole = F.when(F.col("_no") == 1, F.concat("head", "record")).otherwise(F.col("record"))
     value = F.substring(whole, F.lit(1), F.length(whole) - len(end)).cast("string").alias("value")
-    rows = d.join(first, ["flow_key", "part"]).repartition("flow_key", "part").sortWithinPartitions("flow_key", "part", "_at")
+    rows = d.sortWithinPartitions("flow_key", "part", "_no")
     path = shared_path(d.sparkSession, tag)
     rows.select(value, "flow_key", "part").write.option("lineSep", end).partitionBy("flow_key", "part").text(path)
     return path

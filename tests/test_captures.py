@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,57 @@ def test_jobs_beyond_a_long_and_with_times_that_go_back(spark, tmp_path, name):
     (r,) = QUERIES[name](spark, f"file://{tmp_path}").collect()
     assert (r.path, r.frames, r.id_sum, r.out_of_order) == ("capture-7-0", n, n * (n - 1) // 2, 0)
     assert int(r.time_sum) == sum(first + i % (n // 2) for i in range(n)) > 2**63
+
+
+@pytest.fixture()
+def late_broadcast(spark):
+    """Joins are planned with shuffles and broadcast a small side once its size is known, so the other may be read without its keys."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def _events(spark, path, ids):
+    """A file of events for each range of ids, of two users, a microsecond apart."""
+    for lo, hi in ids:
+        at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id"))
+        e = spark.range(lo, hi).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 2).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+        e.coalesce(1).write.mode("append").parquet(f"file://{path}/events.parquet")
+
+
+@pytest.mark.parametrize("name", ["src_pcap_job"])
+def test_jobs_whose_captures_come_from_several_files(spark, tmp_path, late_broadcast, name):
+    from netsift.plans.registry import QUERIES
+
+    _events(spark, tmp_path, [(i * 100, i * 100 + 100) for i in range(4)])
+    rows = QUERIES[name](spark, f"file://{tmp_path}").orderBy("path").collect()
+    assert [(r.path, r.frames, r.id_sum, r.out_of_order) for r in rows] == [(f"capture-{k}-0", 200, sum(range(k, 400, 2)), 0) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("name", ["src_pcap_job"])
+def test_jobs_on_packets_that_come_twice(spark, tmp_path, name):
+    """Packets with the first time and number of their capture come twice, its head once."""
+    from netsift.plans.registry import QUERIES
+
+    _events(spark, tmp_path, [(0, 100)] * 2)
+    rows = QUERIES[name](spark, f"file://{tmp_path}").orderBy("path").collect()
+    assert [(r.path, r.frames, r.id_sum, r.out_of_order) for r in rows] == [(f"capture-{k}-0", 100, 2 * sum(range(k, 100, 2)), 0) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("end", ["\n"])
+def test_binary_files_are_not_dealt_to_several_tasks(spark, tmp_path, late_broadcast, end):
+    """A key's records of four input files lie in one file, in order, behind one head."""
+    from netsift.plans.sources import _binary_files
+
+    tail = F.unhex(F.lit(end.encode().hex()))
+    for i in range(4):
+        d = spark.range(i * 100, i * 100 + 100).select((F.col("id") % 3).alias("flow_key"), (999 - F.col("id")).alias("packet_id"), F.unhex(F.lit("ff00")).alias("head"))
+        d.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    d = spark.read.parquet(f"file://{tmp_path}/in").withColumn("record", F.concat(F.lpad(F.col("packet_id").cast("string"), 4, "0").cast("binary"), tail))
+    root = _binary_files(d, "made", end, ["packet_id"])
+    for k in range(3):
+        (f,) = Path(root.removeprefix("file:"), f"flow_key={k}", "part=0").glob("*.txt")
+        assert f.read_bytes() == b"\xff\x00" + b"".join(b"%04d" % p + end.encode() for p in sorted(999 - i for i in range(400) if i % 3 == k))
