@@ -174,7 +174,7 @@ def _events(spark, path, ids):
         e.coalesce(1).write.mode("append").parquet(f"file://{path}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["src_pcap_job"])
+@pytest.mark.parametrize("name", ["src_pcap_job", "src_pcapng_job"])
 def test_jobs_whose_captures_come_from_several_files(spark, tmp_path, late_broadcast, name):
     from netsift.plans.registry import QUERIES
 
@@ -183,7 +183,7 @@ def test_jobs_whose_captures_come_from_several_files(spark, tmp_path, late_broad
     assert [(r.path, r.frames, r.id_sum, r.out_of_order) for r in rows] == [(f"capture-{k}-0", 200, sum(range(k, 400, 2)), 0) for k in (0, 1)]
 
 
-@pytest.mark.parametrize("name", ["src_pcap_job"])
+@pytest.mark.parametrize("name", ["src_pcap_job", "src_pcapng_job"])
 def test_jobs_on_packets_that_come_twice(spark, tmp_path, name):
     """Packets with the first time and number of their capture come twice, its head once."""
     from netsift.plans.registry import QUERIES
@@ -193,7 +193,7 @@ def test_jobs_on_packets_that_come_twice(spark, tmp_path, name):
     assert [(r.path, r.frames, r.id_sum, r.out_of_order) for r in rows] == [(f"capture-{k}-0", 100, 2 * sum(range(k, 100, 2)), 0) for k in (0, 1)]
 
 
-@pytest.mark.parametrize("end", ["\n"])
+@pytest.mark.parametrize("end", ["\n", "`\x00\x00\x00"])
 def test_binary_files_are_not_dealt_to_several_tasks(spark, tmp_path, late_broadcast, end):
     """A key's records of four input files lie in one file, in order, behind one head."""
     from netsift.plans.sources import _binary_files
